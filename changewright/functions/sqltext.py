@@ -172,3 +172,20 @@ def name_list(text: Column) -> Column:
     """``a, s.b CASCADE`` as ``a, s.b``."""
     heads = F.transform(F.split(text, ","), lambda n: F.regexp_extract(F.trim(n), rf"(?i)^(?:ONLY )?({NAME})", 1))
     return F.array_join(F.transform(F.filter(heads, lambda h: h != ""), full_name), ", ")
+
+
+# The same three as SQL text, for rules.
+
+
+def full_name_sql(name: str) -> str:
+    folded = "p -> if(startswith(p, '\"'), replace(p, '\"', ''), lower(p))"
+    return f"array_join(transform(regexp_extract_all({name}, r'{_ID}', 0), {folded}), '.')"
+
+
+def last_name_sql(name: str) -> str:
+    return rf"regexp_replace({full_name_sql(name)}, r'^.*\.', '')"
+
+
+def name_list_sql(text: str) -> str:
+    heads = f"transform(split({text}, ','), n -> regexp_extract(trim(n), r'(?i)^(?:ONLY )?({NAME})', 1))"
+    return f"array_join(transform(filter({heads}, h -> h <> ''), h -> {full_name_sql('h')}), ', ')"

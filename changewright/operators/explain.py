@@ -156,7 +156,7 @@ def _with_ops(scripts: DataFrame) -> DataFrame:
 
 def operations(scripts: DataFrame) -> DataFrame:
     """One row per operation with its lock."""
-    rows = _with_ops(scripts).select("path", F.posexplode("_ops").alias("i", "o"))
+    rows = _with_ops(scripts).select("path", F.posexplode_outer("_ops").alias("i", "o")).where("o is not null")
     return rows.select("path", (F.col("i") + 1).alias("op_no"), "o.*", lock_of(F.col("o")).alias("l")).select("*", "l.*").drop("l")
 
 

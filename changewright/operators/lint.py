@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changewright.functions import sqltext as T
-from changewright.operators.rules import FINDING_ARRAY, RuleSet, default_rules, dml_table, findings_column, parsed
-from changewright.operators import rules as R
+from changewright.operators.rules import FINDING_ARRAY, RuleSet, default_rules, dml_table_column, findings_column, items_column, parsed
 
 # ``-- <tool>:disable A,B``; any tool name is accepted.
 _DIRECTIVE = r"--\s*[\w-]+:(disable|enable)\s+([\w,\s]+)"
@@ -36,6 +35,15 @@ class LintConfig:
 # -- statements --------------------------------------------------------------
 
 
+def _rows(df: DataFrame, column: str) -> DataFrame:
+    """Explode an array of findings.
+
+    The outer form, then a filter: from the inner form Spark infers
+    ``size(array) > 0`` and pushes it down, which computes the array twice.
+    """
+    return df.select("path", F.explode_outer(column).alias("f")).where("f is not null").select("path", "f.*")
+
+
 def _with_statements(scripts: DataFrame) -> DataFrame:
     masked = scripts.withColumn("_masked", T.mask(F.col("sql")))
     return masked.withColumn("_split", T.split_statements(F.col("_masked")))
@@ -43,13 +51,13 @@ def _with_statements(scripts: DataFrame) -> DataFrame:
 
 def statements(scripts: DataFrame) -> DataFrame:
     """One row per statement: number, position, masked text."""
-    rows = _with_statements(scripts).select("path", F.posexplode("_split").alias("i", "s"))
+    rows = _with_statements(scripts).select("path", F.posexplode_outer("_split").alias("i", "s")).where("s is not null")
     return rows.select("path", (F.col("i") + 1).alias("stmt_no"), "s.line", "s.column", "s.stmt")
 
 
 def alter_actions(scripts: DataFrame) -> DataFrame:
     """One row per ALTER TABLE action."""
-    rows = _with_statements(scripts).select("path", F.posexplode(F.transform("_split", parsed)).alias("i", "s"))
+    rows = _with_statements(scripts).select("path", F.posexplode_outer(F.transform("_split", parsed)).alias("i", "s")).where("s is not null")
     rows = rows.select("path", (F.col("i") + 1).alias("stmt_no"), F.col("s.table").alias("table"), F.posexplode("s.actions").alias("n", "action"))
     return rows.withColumn("action_no", F.col("n") + 1).drop("n")
 
@@ -234,7 +242,7 @@ def findings(scripts: DataFrame, rules: RuleSet | None = None, version: int = 14
     """Raw findings of the static and hybrid rules, before suppression and configuration."""
     rules = default_rules(version) if rules is None else rules
     found = _found(scripts, [r for r in rules if r.kind != "connected"])
-    return found.select("path", F.explode("_found").alias("f")).select("path", "f.*")
+    return _rows(found, "_found")
 
 
 def _found(scripts: DataFrame, rules: list) -> DataFrame:
@@ -246,8 +254,8 @@ def _found(scripts: DataFrame, rules: list) -> DataFrame:
     rows = _with_statements(scripts)
     rows = rows.withColumn("_broken", T.is_unparsable(F.col("_masked"), F.col("_split")))
     rows = rows.withColumn("_parsed", F.transform("_split", parsed))
-    hits = findings_column(F.col("_parsed"), F.col("kind"), F.col("sql").rlike(_NO_TXN), rules)
-    return rows.withColumn("_found", F.when(F.col("_broken"), parse_error).otherwise(hits))
+    rows = rows.withColumn("_items", items_column(F.col("_parsed"), F.col("kind"), F.col("sql").rlike(_NO_TXN)))
+    return rows.withColumn("_found", F.when(F.col("_broken"), parse_error).otherwise(findings_column("_items", rules)))
 
 
 def _first_match(finding: Column, ranges: Column) -> Column:
@@ -301,7 +309,7 @@ def _lint_static(scripts: DataFrame, rules: list, elsewhere: list[str], known: l
     idle = F.filter("_r", lambda r: ~F.array_contains(F.array_compact(used), r["ord"]) & ~F.array_contains(others, r["rule"]))
     warnings = F.concat(_directive_warnings(F.col("_d"), F.col("_r"), known), _unused_warnings(idle)).cast(FINDING_ARRAY)
     all_ = F.when(F.col("_broken"), F.col("_found")).otherwise(F.concat(kept.cast(FINDING_ARRAY), warnings))
-    return rows.select("path", F.explode(all_).alias("f")).select("path", "f.*")
+    return _rows(rows.withColumn("_all", all_), "_all")
 
 
 def _lint_connected(scripts: DataFrame, rules: list, stats: DataFrame, threshold: int) -> DataFrame:
@@ -310,7 +318,7 @@ def _lint_connected(scripts: DataFrame, rules: list, stats: DataFrame, threshold
     rows = _found(scripts.where(F.col("sql").rlike(r"(?i)\b(?:UPDATE|DELETE)\b")), rules).where(~F.col("_broken"))
     rows = rows.withColumn("_r", ranges_column(directives_column(F.col("sql")), _total_lines(F.col("sql"))))
     rows = rows.select("path", "_skips", "_parsed", "_r", F.explode("_found").alias("f"))
-    target = dml_table(F.get("_parsed", F.col("f.stmt_no") - 1))
+    target = dml_table_column(F.get("_parsed", F.col("f.stmt_no") - 1))
     rows = rows.select("path", "f", target.alias("_table"), F.array_contains("_skips", F.col("f.rule")).alias("_skip"), _first_match(F.col("f"), F.col("_r")).alias("_ord"))
     large = stats.where(F.col("rows") > threshold).select(F.col("table_name").alias("_table"))
     hits = rows.join(large, "_table", "left_semi").where(~F.col("_skip"))

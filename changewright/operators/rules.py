@@ -1,13 +1,14 @@
 """Safety rules over SQL statements, as column predicates.
 
-A rule looks at one item: a statement, or one action of an ALTER TABLE.  Rules
-are folded into a single array expression per script, so any number of them is
-one pass over the corpus and nothing is shuffled.
+A rule looks at one item ``i``: a statement, or one action of an ALTER TABLE.
+Its condition and message are SQL text over the fields of ``i``.  All rules are
+folded into one array expression per script, so any number of them is one pass
+over the corpus and nothing is shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -49,14 +50,6 @@ def _get(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract(text, pattern, group)
 
 
-def _or(text: Column, fallback: str) -> Column:
-    return F.when(text == "", fallback).otherwise(text)
-
-
-def _name(text: Column, pattern: str, group: int, fallback: str = "unknown") -> Column:
-    return _or(T.last_name(_get(text, pattern, group)), fallback)
-
-
 # -- items -------------------------------------------------------------------
 
 
@@ -84,10 +77,13 @@ def sets_timeout(s: Column) -> Column:
     return s["stmt"].rlike(r"(?i)^SET (?:SESSION |LOCAL )?lock_timeout ?(?:=|TO ) ?(?!DEFAULT\b)")
 
 
-def _items(statements: Column, kind: Column, no_txn: Column) -> Column:
+def items_column(statements: Column, kind: Column, no_txn: Column) -> Column:
     """One struct per statement and ALTER TABLE action; action 0 stands for the statement."""
     timeout_at = F.array_position(F.transform(statements, sets_timeout), F.lit(True))
+    return T.let(timeout_at, lambda at: _expand_items(statements, at, kind, no_txn))
 
+
+def _expand_items(statements: Column, timeout_at: Column, kind: Column, no_txn: Column) -> Column:
     def expand(s: Column, i: Column) -> Column:
         def item(action: Column, n: Column) -> Column:
             return F.struct(
@@ -108,16 +104,19 @@ def _items(statements: Column, kind: Column, no_txn: Column) -> Column:
 
 
 # -- rules -------------------------------------------------------------------
+#
+# Fields of ``i``: stmt, verb, flat (parentheses emptied), table, relation,
+# rest, action, flat_action, kind, no_txn, timeout_set, line, column.
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``when`` and ``message`` map an item to a column; ``each`` is statement or action."""
+    """``when`` and ``message`` are SQL text over ``i``; ``each`` is statement or action."""
 
     id: str
     severity: str
-    when: Callable[[Column], Column]
-    message: Callable[[Column], Column]
+    when: str
+    message: str
     suggestion: str | None = None
     each: str = "statement"
     kind: str = "static"
@@ -147,290 +146,229 @@ class RuleSet:
         return RuleSet(r for r in self if r.id not in set(ids))
 
 
-def _text(*parts) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-
-
-def _col_name(i: Column) -> Column:
-    return _name(i["action"], _ADD_COLUMN, 1)
-
-
-def _altered(i: Column) -> Column:
-    return _name(i["action"], _ALTER_COLUMN, 1)
-
-
-def _adds_column(i: Column) -> Column:
-    return i["action"].rlike(_ADD_COLUMN)
-
-
-def _default(i: Column) -> Column:
-    return _get(i["action"], _DEFAULT_TEXT)
-
-
-def _volatile(i: Column) -> Column:
-    return F.lower(_get(_default(i), _VOLATILE_CALL))
+def _like(text: str, pattern: str) -> str:
+    return f"({text} RLIKE r'{pattern}')"
 
 
-def _constraint(i: Column) -> Column:
-    return _name(i["action"], _CONSTRAINT, 1, "unnamed")
+def _part(text: str, pattern: str, group: int = 1) -> str:
+    return f"regexp_extract({text}, r'{pattern}', {group})"
 
 
-def _create_index(i: Column, concurrent: bool) -> Column:
-    there = (i["verb"] == "CREATE") & i["stmt"].rlike(_CREATE_INDEX)
-    flag = _get(i["stmt"], _CREATE_INDEX) != ""
-    return there & (flag if concurrent else ~flag)
+def _or(text: str, fallback: str) -> str:
+    return f"coalesce(nullif({text}, ''), '{fallback}')"
 
 
-def _drop(i: Column, what: str, concurrent: bool | None = None) -> Column:
-    there = (i["verb"] == "DROP") & (F.upper(_get(i["stmt"], _DROP)) == what)
-    if concurrent is None:
-        return there
-    flag = _get(i["stmt"], _DROP, 2) != ""
-    return there & (flag if concurrent else ~flag)
+def _name(text: str, pattern: str, group: int = 1, fallback: str = "unknown") -> str:
+    return _or(T.last_name_sql(_part(text, pattern, group)), fallback)
 
 
-def _dropped(i: Column) -> Column:
-    return _or(T.name_list(_get(i["stmt"], _DROP, 3)), "unnamed")
+def _say(*parts: str) -> str:
+    """Message from alternating literal text and SQL: text, sql, text, ..."""
+    return "concat(" + ", ".join(f"'{p}'" if n % 2 == 0 else p for n, p in enumerate(parts)) + ")"
 
 
-def _reindex(i: Column, concurrent: bool) -> Column:
-    there = (i["verb"] == "REINDEX") & i["stmt"].rlike(_REINDEX)
-    flag = (_get(i["stmt"], _REINDEX, 3) != "") | _get(i["stmt"], _REINDEX, 1).rlike(r"(?i)\bCONCURRENTLY\b")
-    return there & (flag if concurrent else ~flag)
+_COLUMN = _name("i.action", _ADD_COLUMN)
+_ALTERED = _name("i.action", _ALTER_COLUMN)
+_ADDS_DEFAULT = _like("i.action", _ADD_COLUMN) + " AND " + _like("i.flat_action", _DEFAULT)
+_VOLATILE_NAME = f"lower({_part(_part('i.action', _DEFAULT_TEXT), _VOLATILE_CALL)})"
+_CONSTRAINT_NAME = _name("i.action", _CONSTRAINT, 1, "unnamed")
+_VALIDATES = f"NOT {_like('i.flat_action', _NOT_VALID)}"
 
-
-def _reindexed(i: Column) -> Column:
-    return _name(i["stmt"], _REINDEX, 4)
-
-
-def _dml(i: Column) -> Column:
-    return i["verb"].isin("UPDATE", "DELETE", "WITH") & i["flat"].rlike(_DML)
-
-
-def _dml_verb(i: Column) -> Column:
-    return F.upper(_get(i["flat"], _DML))
-
-
-def dml_table(i: Column) -> Column:
-    """Table of an UPDATE or DELETE with its schema, null for other statements."""
-    return F.when(_dml(i), T.full_name(_get(i["flat"], _DML, 2)))
+_INDEX_NAME = _name("i.stmt", _CREATE_INDEX, 2, "unnamed")
+_DROPPED = _or(T.name_list_sql(_part("i.stmt", _DROP, 3)), "unnamed")
+_REINDEXED = _name("i.stmt", _REINDEX, 4)
+_IS_DML = f"(i.verb IN ('UPDATE', 'DELETE', 'WITH') AND {_like('i.flat', _DML)})"
+_DML_VERB = f"upper({_part('i.flat', _DML)})"
+_DML_NAME = T.full_name_sql(_part("i.flat", _DML, 2))
+_IS_VACUUM_FULL = f"(i.verb = 'VACUUM' AND {_like('i.stmt', _VACUUM_FULL)})"
+_MOVED = _like("i.rest", r"(?i)^(?:RENAME|SET SCHEMA) ")
+_OTHER_ALTER = r"(?i)^ALTER (?:INDEX|VIEW|MATERIALIZED VIEW|FOREIGN TABLE) (?:IF EXISTS )?"
 
 
-def _vacuum_full(i: Column) -> Column:
-    return (i["verb"] == "VACUUM") & i["stmt"].rlike(_VACUUM_FULL)
+def _create_index(concurrent: bool) -> str:
+    sign = "<>" if concurrent else "="
+    return f"(i.verb = 'CREATE' AND {_like('i.stmt', _CREATE_INDEX)} AND {_part('i.stmt', _CREATE_INDEX)} {sign} '')"
 
 
-def _rewrites(i: Column) -> Column:
-    target = F.when(_vacuum_full(i), _or(T.name_list(T.flatten_parens(_get(i["stmt"], _VACUUM_TABLES))), "all tables"))
-    return F.coalesce(target, _name(i["stmt"], _CLUSTER, 1))
+def _drop(what: str, concurrent: bool | None = None) -> str:
+    flag = "" if concurrent is None else f" AND {_part('i.stmt', _DROP, 2)} {'<>' if concurrent else '='} ''"
+    return f"(i.verb = 'DROP' AND upper({_part('i.stmt', _DROP)}) = '{what}'{flag})"
 
 
-_OTHER_ALTER = r"(?i)^ALTER (?:INDEX|VIEW|MATERIALIZED VIEW|FOREIGN TABLE) (?:IF EXISTS )?"
+def _reindex(concurrent: bool) -> str:
+    flag = f"({_part('i.stmt', _REINDEX, 3)} <> '' OR {_like(_part('i.stmt', _REINDEX), '(?i)CONCURRENTLY')})"
+    return f"(i.verb = 'REINDEX' AND {_like('i.stmt', _REINDEX)} AND {'' if concurrent else 'NOT '}{flag})"
 
 
-def _risky(i: Column) -> Column:
+def _risky() -> str:
     """What a risky statement does, null for others."""
-    moved = i["rest"].rlike(r"(?i)^(?:RENAME|SET SCHEMA) ")
-    other = i["stmt"].rlike(_OTHER_ALTER) & ~i["stmt"].rlike(r"(?i) (?:RENAME|SET SCHEMA|DEPENDS) ")
-    table = F.coalesce(i["table"], T.full_name(_get(i["stmt"], _OTHER_ALTER + f"({_N})")))
-    relation = F.regexp_replace(table, r"^.*\.", "")
-    alters = (i["verb"] == "ALTER") & ((i["table"].isNotNull() & ~moved) | other)
-    return (
-        F.when(alters, _text('ALTER TABLE on "', relation, '"'))
-        .when(_drop(i, "TABLE"), "DROP TABLE")
-        .when(_drop(i, "INDEX", False), "DROP INDEX")
-        .when(_create_index(i, False), "CREATE INDEX")
-        .when(i["verb"] == "TRUNCATE", "TRUNCATE")
-        .when(i["verb"] == "CLUSTER", "CLUSTER")
-        .when(_vacuum_full(i), "VACUUM FULL")
-        .when(_reindex(i, False), "REINDEX")
-    )
+    other = f"({_like('i.stmt', _OTHER_ALTER)} AND NOT {_like('i.stmt', '(?i) (?:RENAME|SET SCHEMA|DEPENDS) ')})"
+    named = f"coalesce(nullif(i.relation, 'unknown'), {T.last_name_sql(_part('i.stmt', _OTHER_ALTER + f'({_N})'))})"
+    return f"""CASE
+        WHEN i.verb = 'ALTER' AND ((i.table IS NOT NULL AND NOT {_MOVED}) OR {other}) THEN {_say('ALTER TABLE on "', named, '"')}
+        WHEN {_drop('TABLE')} THEN 'DROP TABLE'
+        WHEN {_drop('INDEX', False)} THEN 'DROP INDEX'
+        WHEN {_create_index(False)} THEN 'CREATE INDEX'
+        WHEN i.verb = 'TRUNCATE' THEN 'TRUNCATE'
+        WHEN i.verb = 'CLUSTER' THEN 'CLUSTER'
+        WHEN {_IS_VACUUM_FULL} THEN 'VACUUM FULL'
+        WHEN {_reindex(False)} THEN 'REINDEX' END"""
 
 
 _CONCURRENTLY_HINT = "Use CONCURRENTLY, outside a transaction."
 _EXPAND_HINT = "Use expand/contract: add a new column, backfill in batches, switch over, drop the old one."
-_NO_TXN_HINT = "Mark the script with a no-transaction comment."
+_VALIDATE_HINT = "Add it NOT VALID, then VALIDATE CONSTRAINT separately."
 
 
 def default_rules(version: int = 14) -> RuleSet:
     """The 22 rules for a server version."""
+    vacuumed = _or(T.name_list_sql(f"regexp_replace({_part('i.stmt', _VACUUM_TABLES)}, r'{T.PARENS}', '')"), "all tables")
+    rewritten = f"if(i.verb = 'VACUUM', {vacuumed}, {_name('i.stmt', _CLUSTER)})"
+    concurrent = f"""CASE i.verb
+        WHEN 'CREATE' THEN {_say('CREATE INDEX CONCURRENTLY "', _INDEX_NAME, '"')}
+        WHEN 'DROP' THEN {_say('DROP INDEX CONCURRENTLY ', _DROPPED)}
+        ELSE {_say('REINDEX CONCURRENTLY "', _REINDEXED, '"')} END"""
+    renamed = f"""if({_like('i.rest', _RENAME_TABLE)},
+        {_say('Renaming table "', 'i.relation', '" to "', _name('i.rest', _RENAME_TABLE), '" breaks running code.')},
+        {_say('Renaming column "', _name('i.rest', _RENAME_COLUMN), '" to "', _name('i.rest', _RENAME_COLUMN, 2), '" on table "', 'i.relation', '" breaks running code.')})"""
+    using = f"if({_like('i.flat_action', '(?i) USING ')}, ' with USING rewrites the table', ' may rewrite the table')"
+    key_columns = T.name_list_sql(_part("i.action", r"(?i)PRIMARY KEY ?\(([^)]*)\)"))
+    fk_columns = T.name_list_sql(_part("i.action", r"(?i)FOREIGN KEY ?\(([^)]*)\)"))
     return RuleSet([
         Rule(
             "SA001", "error",
-            lambda i: _adds_column(i) & i["flat_action"].rlike(r"(?i)\bNOT NULL\b") & ~i["flat_action"].rlike(_DEFAULT),
-            lambda i: _text('NOT NULL column "', _col_name(i), '" without a DEFAULT fails on table "', i["relation"], '" if it has rows.'),
+            f"{_like('i.action', _ADD_COLUMN)} AND {_like('i.flat_action', '(?i)\\bNOT NULL\\b')} AND NOT {_like('i.flat_action', _DEFAULT)}",
+            _say('NOT NULL column "', _COLUMN, '" without a DEFAULT fails on table "', "i.relation", '" if it has rows.'),
             "Give a DEFAULT, or add it nullable, backfill, then set NOT NULL.", "action",
         ),
         Rule(
-            "SA002", "error",
-            lambda i: _adds_column(i) & i["flat_action"].rlike(_DEFAULT) & (_volatile(i) != ""),
-            lambda i: _text('Volatile default ', _volatile(i), '() of column "', _col_name(i), '" rewrites table "', i["relation"], '".'),
+            "SA002", "error", f"{_ADDS_DEFAULT} AND {_VOLATILE_NAME} <> ''",
+            _say("Volatile default ", _VOLATILE_NAME, '() of column "', _COLUMN, '" rewrites table "', "i.relation", '".'),
             "Add the column without a default and backfill in batches.", "action",
         ),
         Rule(
-            "SA002b", "warn",
-            lambda i: F.lit(version < 11) & _adds_column(i) & i["flat_action"].rlike(_DEFAULT) & (_volatile(i) == ""),
-            lambda i: _text('Default of column "', _col_name(i), '" rewrites table "', i["relation"], f'" before version 11 (target {version}).'),
+            "SA002b", "warn", f"{str(version < 11).lower()} AND {_ADDS_DEFAULT} AND {_VOLATILE_NAME} = ''",
+            _say('Default of column "', _COLUMN, '" rewrites table "', "i.relation", f'" before version 11 (target {version}).'),
             "Upgrade, or add the column without a default and backfill.", "action",
         ),
         Rule(
-            "SA003", "error",
-            lambda i: i["action"].rlike(_ALTER_COLUMN + r"(?:SET DATA )?TYPE "),
-            lambda i: _text(
-                'Changing the type of column "', _altered(i), '" on table "', i["relation"], '"',
-                F.when(i["flat_action"].rlike(r"(?i) USING "), " with USING rewrites the table").otherwise(" may rewrite the table"),
-                " under an exclusive lock.",
-            ),
+            "SA003", "error", _like("i.action", _ALTER_COLUMN + r"(?:SET DATA )?TYPE "),
+            _say('Changing the type of column "', _ALTERED, '" on table "', "i.relation", '"', using, " under an exclusive lock."),
             _EXPAND_HINT, "action",
         ),
         Rule(
-            "SA004", "warn",
-            lambda i: _create_index(i, False),
-            lambda i: _text('CREATE INDEX "', _name(i["stmt"], _CREATE_INDEX, 2, "unnamed"), '" on "', _name(i["stmt"], _CREATE_INDEX, 3), '" without CONCURRENTLY blocks writes.'),
+            "SA004", "warn", _create_index(False),
+            _say('CREATE INDEX "', _INDEX_NAME, '" on "', _name("i.stmt", _CREATE_INDEX, 3), '" without CONCURRENTLY blocks writes.'),
             _CONCURRENTLY_HINT,
         ),
         Rule(
-            "SA005", "warn",
-            lambda i: _drop(i, "INDEX", False),
-            lambda i: _text("DROP INDEX ", _dropped(i), " without CONCURRENTLY takes an exclusive lock."),
+            "SA005", "warn", _drop("INDEX", False),
+            _say("DROP INDEX ", _DROPPED, " without CONCURRENTLY takes an exclusive lock."),
             _CONCURRENTLY_HINT,
         ),
         Rule(
-            "SA006", "warn",
-            lambda i: i["action"].rlike(r"(?i)^DROP (?!CONSTRAINT )"),
-            lambda i: _text('Dropping column "', _name(i["action"], rf"(?i)^DROP (?:COLUMN )?(?:IF EXISTS )?({_N})", 1), '" of table "', i["relation"], '" loses its data.'),
+            "SA006", "warn", _like("i.action", r"(?i)^DROP (?!CONSTRAINT )"),
+            _say('Dropping column "', _name("i.action", rf"(?i)^DROP (?:COLUMN )?(?:IF EXISTS )?({_N})"), '" of table "', "i.relation", '" loses its data.'),
             "Back up first and make sure that no code reads the column.", "action",
         ),
         Rule(
-            "SA007", "error",
-            lambda i: _drop(i, "TABLE") & (F.coalesce(i["kind"], F.lit("deploy")) != "revert"),
-            lambda i: _text("DROP TABLE ", _dropped(i), " loses its data."),
+            "SA007", "error", f"{_drop('TABLE')} AND coalesce(i.kind, 'deploy') <> 'revert'",
+            _say("DROP TABLE ", _DROPPED, " loses its data."),
             "Drop tables in revert scripts only, with a backup.",
         ),
         Rule(
-            "SA008", "warn",
-            lambda i: i["verb"] == "TRUNCATE",
-            lambda i: _text("TRUNCATE of ", _or(T.name_list(_get(i["stmt"], _TRUNCATE)), "unknown"), " removes all rows under an exclusive lock."),
+            "SA008", "warn", "i.verb = 'TRUNCATE'",
+            _say("TRUNCATE of ", _or(T.name_list_sql(_part("i.stmt", _TRUNCATE)), "unknown"), " removes all rows under an exclusive lock."),
             "Use DELETE with a condition, or back up first.",
         ),
         Rule(
-            "SA009", "warn",
-            lambda i: i["action"].rlike(rf"(?i)^ADD (?:CONSTRAINT {_N} )?FOREIGN KEY") & ~i["flat_action"].rlike(_NOT_VALID),
-            lambda i: _text(
-                'Foreign key "', _constraint(i), '" on ', i["relation"], "(", T.name_list(_get(i["action"], r"(?i)FOREIGN KEY ?\(([^)]*)\)")),
-                ") to ", _name(i["action"], rf"(?i)REFERENCES ({_N})", 1), " without NOT VALID checks every row under a lock.",
-            ),
-            "Add it NOT VALID, then VALIDATE CONSTRAINT separately.", "action", "hybrid",
+            "SA009", "warn", f"{_like('i.action', f'(?i)^ADD (?:CONSTRAINT {_N} )?FOREIGN KEY')} AND {_VALIDATES}",
+            _say('Foreign key "', _CONSTRAINT_NAME, '" on ', "i.relation", "(", fk_columns, ") to ",
+                 _name("i.action", rf"(?i)REFERENCES ({_N})"), " without NOT VALID checks every row under a lock."),
+            _VALIDATE_HINT, "action", "hybrid",
         ),
         Rule(
-            "SA010", "warn",
-            lambda i: _dml(i) & ~i["flat"].rlike(r"(?i)\bWHERE\b"),
-            lambda i: _text(_dml_verb(i), ' on "', T.last_name(dml_table(i)), '" without WHERE hits all rows.'),
+            "SA010", "warn", f"{_IS_DML} AND NOT {_like('i.flat', '(?i)\\bWHERE\\b')}",
+            _say("", _DML_VERB, ' on "', T.last_name_sql(_part("i.flat", _DML, 2)), '" without WHERE hits all rows.'),
             "Add a WHERE clause, or suppress the rule if all rows are meant.",
         ),
         Rule(
-            "SA011", "warn",
-            _dml,
-            lambda i: _text(_dml_verb(i), ' on large table "', dml_table(i), '".'),
+            "SA011", "warn", _IS_DML,
+            _say("", _DML_VERB, ' on large table "', _DML_NAME, '".'),
             "Run it in batches.", kind="connected",
         ),
         Rule(
-            "SA012", "info",
-            lambda i: (i["verb"] == "ALTER") & i["stmt"].rlike(r"(?i)^ALTER SEQUENCE .*\bRESTART\b"),
-            lambda i: _text('Restarting sequence "', _name(i["stmt"], rf"(?i)^ALTER SEQUENCE (?:IF EXISTS )?({_N})", 1), '" may repeat or reorder ids.'),
+            "SA012", "info", f"i.verb = 'ALTER' AND {_like('i.stmt', '(?i)^ALTER SEQUENCE .*\\bRESTART\\b')}",
+            _say('Restarting sequence "', _name("i.stmt", rf"(?i)^ALTER SEQUENCE (?:IF EXISTS )?({_N})"), '" may repeat or reorder ids.'),
             "Make sure that no row uses the restarted values.",
         ),
         Rule(
-            "SA013", "warn",
-            lambda i: ~i["timeout_set"] & _risky(i).isNotNull(),
-            lambda i: _text(_risky(i), " without an earlier SET lock_timeout may wait for locks without end."),
+            "SA013", "warn", f"NOT i.timeout_set AND {_risky()} IS NOT NULL",
+            _say("", _risky(), " without an earlier SET lock_timeout may wait for locks without end."),
             "Put SET lock_timeout before it.",
         ),
         Rule(
-            "SA014", "warn",
-            lambda i: _vacuum_full(i) | (i["verb"] == "CLUSTER"),
-            lambda i: _text(F.when(i["verb"] == "VACUUM", "VACUUM FULL").otherwise("CLUSTER"), " of ", _rewrites(i), " rewrites it under an exclusive lock."),
+            "SA014", "warn", f"{_IS_VACUUM_FULL} OR i.verb = 'CLUSTER'",
+            _say("", "if(i.verb = 'VACUUM', 'VACUUM FULL', 'CLUSTER')", " of ", rewritten, " rewrites it under an exclusive lock."),
             "Use plain VACUUM or an online repack.",
         ),
         Rule(
-            "SA015", "warn",
-            lambda i: i["rest"].rlike(_RENAME_TABLE) | i["rest"].rlike(_RENAME_COLUMN),
-            lambda i: F.when(
-                i["rest"].rlike(_RENAME_TABLE),
-                _text('Renaming table "', i["relation"], '" to "', _name(i["rest"], _RENAME_TABLE, 1), '" breaks running code.'),
-            ).otherwise(
-                _text('Renaming column "', _name(i["rest"], _RENAME_COLUMN, 1), '" to "', _name(i["rest"], _RENAME_COLUMN, 2), '" on table "', i["relation"], '" breaks running code.')
-            ),
+            "SA015", "warn", f"{_like('i.rest', _RENAME_TABLE)} OR {_like('i.rest', _RENAME_COLUMN)}", renamed,
             "Keep both names visible until all code has moved.",
         ),
         Rule(
-            "SA016", "error",
-            lambda i: i["action"].rlike(rf"(?i)^ADD (?:CONSTRAINT {_N} )?CHECK\b") & ~i["flat_action"].rlike(_NOT_VALID),
-            lambda i: _text('CHECK "', _constraint(i), '" on table "', i["relation"], '" without NOT VALID scans it under a lock.'),
-            "Add it NOT VALID, then VALIDATE CONSTRAINT separately.", "action",
+            "SA016", "error", f"{_like('i.action', f'(?i)^ADD (?:CONSTRAINT {_N} )?CHECK\\b')} AND {_VALIDATES}",
+            _say('CHECK "', _CONSTRAINT_NAME, '" on table "', "i.relation", '" without NOT VALID scans it under a lock.'),
+            _VALIDATE_HINT, "action",
         ),
         Rule(
-            "SA017", "warn",
-            lambda i: i["action"].rlike(_ALTER_COLUMN + r"SET NOT NULL"),
-            lambda i: _text('SET NOT NULL on column "', _altered(i), '" of table "', i["relation"], '" scans the table.'),
+            "SA017", "warn", _like("i.action", _ALTER_COLUMN + "SET NOT NULL"),
+            _say('SET NOT NULL on column "', _ALTERED, '" of table "', "i.relation", '" scans the table.'),
             "Validate a CHECK (column IS NOT NULL) first.", "action", "hybrid",
         ),
         Rule(
             "SA018", "warn",
-            lambda i: i["action"].rlike(rf"(?i)^ADD (?:CONSTRAINT {_N} )?PRIMARY KEY") & ~i["action"].rlike(r"(?i)PRIMARY KEY USING INDEX (?!TABLESPACE)"),
-            lambda i: _text('PRIMARY KEY on "', i["relation"], '" (', T.name_list(_get(i["action"], r"(?i)PRIMARY KEY ?\(([^)]*)\)")), ") without USING INDEX builds the index under an exclusive lock."),
+            f"{_like('i.action', f'(?i)^ADD (?:CONSTRAINT {_N} )?PRIMARY KEY')} AND NOT {_like('i.action', '(?i)PRIMARY KEY USING INDEX (?!TABLESPACE)')}",
+            _say('PRIMARY KEY on "', "i.relation", '" (', key_columns, ") without USING INDEX builds the index under an exclusive lock."),
             "Build a unique index concurrently, then add the key USING INDEX.", "action", "hybrid",
         ),
         Rule(
-            "SA019", "warn",
-            lambda i: _reindex(i, False),
-            lambda i: _text("REINDEX of ", F.lower(_get(i["stmt"], _REINDEX, 2)), ' "', _reindexed(i), '" without CONCURRENTLY takes an exclusive lock.'),
+            "SA019", "warn", _reindex(False),
+            _say("REINDEX of ", f"lower({_part('i.stmt', _REINDEX, 2)})", ' "', _REINDEXED, '" without CONCURRENTLY takes an exclusive lock.'),
             _CONCURRENTLY_HINT,
         ),
         Rule(
-            "SA020", "error",
-            lambda i: ~i["no_txn"] & (_create_index(i, True) | _drop(i, "INDEX", True) | _reindex(i, True)),
-            lambda i: _text(
-                F.when(i["verb"] == "CREATE", _text('CREATE INDEX CONCURRENTLY "', _name(i["stmt"], _CREATE_INDEX, 2, "unnamed"), '"'))
-                .when(i["verb"] == "DROP", _text("DROP INDEX CONCURRENTLY ", _dropped(i)))
-                .otherwise(_text('REINDEX CONCURRENTLY "', _reindexed(i), '"')),
-                " cannot run inside a transaction.",
-            ),
-            _NO_TXN_HINT,
+            "SA020", "error", f"NOT i.no_txn AND ({_create_index(True)} OR {_drop('INDEX', True)} OR {_reindex(True)})",
+            _say("", concurrent, " cannot run inside a transaction."),
+            "Mark the script with a no-transaction comment.",
         ),
         Rule(
-            "SA021", "warn",
-            lambda i: i["verb"] == "LOCK",
-            lambda i: _text("LOCK TABLE ", _or(T.name_list(_get(i["stmt"], _LOCK)), "unknown"), " in ", _or(F.upper(_get(i["stmt"], _LOCK, 2)), "ACCESS EXCLUSIVE"), " mode."),
+            "SA021", "warn", "i.verb = 'LOCK'",
+            _say("LOCK TABLE ", _or(T.name_list_sql(_part("i.stmt", _LOCK)), "unknown"), " in ", _or(f"upper({_part('i.stmt', _LOCK, 2)})", "ACCESS EXCLUSIVE"), " mode."),
             "Avoid explicit locks; if needed take the weakest mode with a lock_timeout.",
         ),
     ])
 
 
-def findings_column(statements: Column, kind: Column, no_txn: Column, rules: Iterable[Rule]) -> Column:
-    """All findings of a script as one array."""
-    rules = list(rules)
-    if not rules:
+def findings_column(items: str, rules: Iterable[Rule]) -> Column:
+    """All findings of a script as one array; ``items`` names the column of ``items_column``."""
+
+    def hit(rule: Rule) -> str:
+        scope = "i.action_no > 0" if rule.each == "action" else "i.action_no = 0"
+        hint = "null" if rule.suggestion is None else "'" + rule.suggestion.replace("'", r"\'") + "'"
+        return f"""CASE WHEN {scope} AND ({rule.when}) THEN named_struct('rule', '{rule.id}', 'severity', '{rule.severity}',
+            'message', {rule.message}, 'suggestion', {hint}, 'stmt_no', i.stmt_no, 'action_no', i.action_no,
+            'line', i.line, 'column', i.column) END"""
+
+    hits = ", ".join(hit(rule) for rule in rules)
+    if not hits:
         return F.array().cast(FINDING_ARRAY)
+    return F.expr(f"flatten(transform({items}, i -> array_compact(array({hits}))))").cast(FINDING_ARRAY)
 
-    def check(i: Column) -> Column:
-        hits = []
-        for rule in rules:
-            scope = (i["action_no"] > 0) if rule.each == "action" else (i["action_no"] == 0)
-            finding = F.struct(
-                F.lit(rule.id).alias("rule"),
-                F.lit(rule.severity).alias("severity"),
-                rule.message(i).alias("message"),
-                F.lit(rule.suggestion).cast("string").alias("suggestion"),
-                i["stmt_no"].alias("stmt_no"),
-                i["action_no"].alias("action_no"),
-                i["line"].alias("line"),
-                i["column"].alias("column"),
-            )
-            hits.append(F.when(scope & F.coalesce(rule.when(i), F.lit(False)), finding))
-        return F.array_compact(F.array(*hits)).cast(FINDING_ARRAY)
 
-    return F.flatten(F.transform(_items(statements, kind, no_txn), check))
+def dml_table_column(item: Column) -> Column:
+    """Table of an UPDATE or DELETE with its schema."""
+    return T.full_name(_get(T.flatten_parens(item["stmt"]), _DML, 2))
 
 
 FINDING_ARRAY = (
