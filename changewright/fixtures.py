@@ -56,8 +56,13 @@ def plan_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plan_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Release tags on every tenth order, a candidate tag on every fiftieth."""
     rows = plan_changes(spark, sf_dir).where("o_orderkey % 10 = 0")
-    return rows.select("target", "project", "pos", "change_id", F.concat(F.lit("v"), F.col("o_orderkey").cast("string")).alias("tag"))
+    key = F.col("o_orderkey")
+    release = F.concat(F.lit("v"), F.floor(key / 500).cast("string"))
+    candidate = F.when(key % 50 == 0, F.concat(F.lit("rc"), key.cast("string")))
+    names = F.array_compact(F.array(release, candidate))
+    return rows.select("target", "project", "pos", "change_id", F.explode(names).alias("tag"))
 
 
 def change_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +90,8 @@ plan_changes AS (
          o_orderkey, o_orderpriority
   FROM orders),
 plan_tags AS (
-  SELECT target, project, pos, change_id, 'v' || o_orderkey AS tag FROM plan_changes WHERE o_orderkey % 10 = 0)"""
+  SELECT target, project, pos, change_id, 'v' || (o_orderkey // 500) AS tag FROM plan_changes WHERE o_orderkey % 10 = 0
+  UNION ALL SELECT target, project, pos, change_id, 'rc' || o_orderkey FROM plan_changes WHERE o_orderkey % 50 = 0)"""
 
 EVENTS_SQL = PLAN_SQL + """,
 change_events AS (
@@ -97,3 +103,48 @@ deployed AS (
     SELECT *, row_number() OVER (PARTITION BY target, project, change_id ORDER BY committed_at DESC, event_id DESC) AS rn
     FROM change_events WHERE event IN ('deploy', 'revert'))
   WHERE rn = 1 AND event = 'deploy')"""
+
+
+def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of backfill jobs, one job per user."""
+    e = table(spark, sf_dir, "events")
+    kind = F.col("event_type")
+    step = (
+        F.when(kind == "signup", "created").when(kind == "view", "start").when(kind == "click", "heartbeat")
+        .when(kind == "purchase", "done").otherwise("failed")
+    )
+    return e.select(F.col("user_id").alias("job_id"), "event_id", F.col("ts").alias("at"), step.alias("step"))
+
+
+def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queue rows, one per order."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    status = F.get(F.array(*[F.lit(s) for s in ("pending", "running", "paused", "done", "failed", "dead", "cancelled")]), (k % 7).cast("int"))
+    return o.select(
+        k.alias("id"), F.concat(F.lit("job_"), F.col("o_custkey").cast("string")).alias("name"), status.alias("status"),
+        (k % 3).cast("int").alias("partition_id"), (F.col("o_custkey") % 5).cast("int").alias("attempt"), F.lit(3).alias("max_retries"),
+        F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderdate")).alias("heartbeat_at"), F.col("o_orderdate").alias("created_at"),
+    )
+
+
+def deployed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from changewright.operators.history import current_state
+
+    return current_state(change_events(spark, sf_dir))
+
+
+JOB_EVENTS_SQL = """
+job_events AS (
+  SELECT user_id AS job_id, event_id, ts AS at,
+         CASE event_type WHEN 'signup' THEN 'created' WHEN 'view' THEN 'start' WHEN 'click' THEN 'heartbeat'
+                         WHEN 'purchase' THEN 'done' ELSE 'failed' END AS step
+  FROM events)"""
+
+JOBS_SQL = """
+jobs AS (
+  SELECT o_orderkey AS id, 'job_' || o_custkey AS name,
+         ['pending', 'running', 'paused', 'done', 'failed', 'dead', 'cancelled'][o_orderkey % 7 + 1] AS status,
+         CAST(o_orderkey % 3 AS INTEGER) AS partition_id, CAST(o_custkey % 5 AS INTEGER) AS attempt, 3 AS max_retries,
+         CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderdate END AS heartbeat_at, o_orderdate AS created_at
+  FROM orders)"""

@@ -397,7 +397,7 @@ def script_names(plan: DataFrame, tags: DataFrame, keys: Sequence[str] = KEYS) -
     The tag is the first one from that version up to, not including, the next
     version.  Two fills over the same slices replace a range join.
     """
-    first_tag = tags.groupBy(*keys, "change_id").agg(F.min_by("tag", "pos").alias("_tag"))
+    first_tag = tags.groupBy(*keys, "change_id").agg(F.min(F.struct("pos", "tag"))["tag"].alias("_tag"))
     rows = plan.select(*keys, "pos", "change_id", "name").join(first_tag, [*keys, "change_id"], "left")
     mark = F.when(F.col("_tag").isNotNull(), F.struct(F.col("pos").alias("at"), F.col("_tag").alias("tag")))
     rows = ordered.fill_up(ordered.slice_by_position(rows, "pos"), keys, mark, "_next_tag")
