@@ -330,8 +330,9 @@ def deploy_levels(s, d):
 ORDER_SQL = f"""{EDGES_SQL},
 anc AS (SELECT target, project, src AS a, dst AS v FROM edges
         UNION SELECT e.target, e.project, e.src, anc.v FROM anc JOIN edges e ON e.target = anc.target AND e.project = anc.project AND e.dst = anc.a),
-m1 AS (SELECT p.target, p.project, p.pos, p.change_id, p.name, greatest(p.pos, coalesce(max(a.a), 0)) AS k1
-       FROM plan_changes p LEFT JOIN anc a ON a.target = p.target AND a.project = p.project AND a.v = p.pos GROUP BY ALL),
+top AS (SELECT target, project, v AS pos, max(a) AS m FROM anc GROUP BY 1, 2, 3),
+m1 AS (SELECT p.target, p.project, p.pos, p.change_id, p.name, greatest(p.pos, coalesce(t.m, 0)) AS k1
+       FROM plan_changes p LEFT JOIN top t USING (target, project, pos)),
 in1 AS (SELECT anc.* FROM anc JOIN m1 x ON x.target = anc.target AND x.project = anc.project AND x.pos = anc.a
         JOIN m1 y ON y.target = anc.target AND y.project = anc.project AND y.pos = anc.v WHERE x.k1 = y.k1 AND x.pos < x.k1),
 m2 AS (SELECT m1.*, CASE WHEN pos = k1 THEN 0 ELSE greatest(pos, coalesce((SELECT max(i.a) FROM in1 i
@@ -348,7 +349,7 @@ def deploy_order(s, d):
     return G.deploy_order(plan_changes(s, d)).select(*K, "pos", "change_id", "seq")
 
 
-@query("deploy_preview", f"""WITH RECURSIVE {PLAN_SQL.replace("FROM orders)", "FROM orders)", 1)}, {ORDER_SQL}
+@query("deploy_preview", f"""WITH RECURSIVE {PLAN_SQL}, {ORDER_SQL}
 SELECT target, project, seq, change_id, name, o_orderpriority = '1-URGENT' AS no_transaction
 FROM deploy_order JOIN plan_changes USING (target, project, change_id, name)""")
 def deploy_preview(s, d):

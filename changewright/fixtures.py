@@ -136,7 +136,7 @@ def deployed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 JOB_EVENTS_SQL = """
 job_events AS (
-  SELECT user_id AS job_id, event_id, ts AS at,
+  SELECT user_id AS job_id, event_id, ts,
          CASE event_type WHEN 'signup' THEN 'created' WHEN 'view' THEN 'start' WHEN 'click' THEN 'heartbeat'
                          WHEN 'purchase' THEN 'done' ELSE 'failed' END AS step
   FROM events)"""

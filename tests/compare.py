@@ -40,7 +40,6 @@ def difference(df, con, sql: str) -> str | None:
     if not got:
         return "no rows"
     if got != want:
-        extra = [r for r in got if r not in set(want)][:3]
-        lost = [r for r in want if r not in set(got)][:3]
+        extra, lost = sorted(set(got) - set(want), key=repr)[:3], sorted(set(want) - set(got), key=repr)[:3]
         return f"{len(got)} rows, {len(want)} wanted; only ours {extra}; only theirs {lost}"
     return None
