@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changewright.fixtures import table
+from changewright.session import spread
 
 T = "SET lock_timeout = '5s';\n"
 
@@ -99,7 +100,7 @@ N = len(SHAPES)
 
 def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, kind, sql: one script per order; every tenth is a revert script."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey"))
     key = F.col("o_orderkey").cast("string")
     shape = F.get(F.array(*[F.lit(s.sql) for s in SHAPES]), (F.col("o_orderkey") % N).cast("int"))
     kind = F.when(F.col("o_orderkey") % 10 == 0, "revert").otherwise("deploy")

@@ -9,6 +9,7 @@ from changewright.fixtures import PLAN_SQL, micros, plan_changes, table
 from changewright.functions import ids
 from changewright.operators import includes as I
 from changewright.plans import text as P
+from changewright.session import spread
 
 # Plan file of one order; {k} order key, {p} project number.
 PLAN = (
@@ -21,7 +22,7 @@ PLAN = (
 
 
 def plan_texts(s, d):
-    o = table(s, d, "orders")
+    o = spread(table(s, d, "orders").select("o_orderkey", "o_custkey"))
     key, project = F.col("o_orderkey").cast("string"), (F.col("o_custkey") % 11).cast("string")
     text = F.replace(F.replace(F.lit(PLAN), F.lit("{k}"), key), F.lit("{p}"), project)
     return o.select(F.concat(F.lit("plan"), key).alias("plan"), text.alias("text"))
@@ -119,7 +120,7 @@ SCRIPT = "-- head\n\\ir ../shared/f{c}.sql\nSELECT {k};\n/*\n\\i skipped.sql\n*/
 
 
 def include_scripts(s, d):
-    o = table(s, d, "orders")
+    o = spread(table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate"))
     key, file = F.col("o_orderkey").cast("string"), (F.col("o_custkey") % 20).cast("string")
     sql = F.replace(F.replace(F.lit(SCRIPT), F.lit("{k}"), key), F.lit("{c}"), file)
     return o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("deploy/c"), key, F.lit(".sql")).alias("path"), F.col("o_orderdate").alias("planned_at"), sql.alias("sql"))

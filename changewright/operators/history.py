@@ -19,10 +19,14 @@ from changewright.operators import ordered
 KEYS = ("target", "project")
 
 
-def _fail_if(condition: Column, message: str) -> Column:
-    """A boolean column: true, or the query stops with ``message``."""
-    stop = F.raise_error(F.lit(message)).cast("boolean")
-    return F.when(condition, stop).otherwise(F.lit(True))
+def _refuse(bad: DataFrame, message: str) -> None:
+    """Stop if there is any bad row.
+
+    An action, not an error expression in the plan: the optimizer may drop the
+    rows that would raise before they are seen.
+    """
+    if not bad.isEmpty():
+        raise ValueError(message)
 
 
 # -- difference and status -------------------------------------------------
@@ -62,9 +66,8 @@ def range_diff(
     )
     if strict:
         everything = plan.select(*keys).distinct().join(bounds, list(keys), "left")
-        known = _fail_if(F.col("_lo").isNull() | F.col("_hi").isNull(), f"tag {from_tag} or {to_tag} is not in the plan")
-        forward = _fail_if(F.col("_lo") > F.col("_hi"), f"tag {from_tag} comes after {to_tag}")
-        bounds = everything.where(known & forward)
+        _refuse(everything.where("_lo is null or _hi is null"), f"tag {from_tag} or {to_tag} is not in the plan")
+        _refuse(bounds.where("_lo > _hi"), f"tag {from_tag} comes after tag {to_tag}")
     inside = (F.col("pos") > F.col("_lo")) & (F.col("pos") <= F.col("_hi"))
     return diff_status(plan.join(bounds, list(keys)).where(inside).drop("_lo", "_hi"), deployed, keys)
 
@@ -262,7 +265,7 @@ def up_to_target(changes: DataFrame, name: str, keys: Sequence[str] = KEYS, stri
     """Plan up to the first change of ``name``; a project without it is an error, or empty if not ``strict``."""
     firsts = changes.groupBy(*keys).agg(F.min(F.when(F.col("name") == name, F.col("pos"))).alias("_cut"))
     if strict:
-        firsts = firsts.where(_fail_if(F.col("_cut").isNull(), f"change {name} is not in the plan"))
+        _refuse(firsts.where("_cut is null"), f"change {name} is not in the plan")
     return changes.join(firsts, list(keys)).where("pos <= _cut").drop("_cut")
 
 
@@ -366,7 +369,7 @@ def verify_range(
         if name is None:
             continue
         if strict:
-            bounds = bounds.where(_fail_if(F.col(f"_p{i}").isNull(), f"change {name} is not deployed"))
+            _refuse(bounds.where(f"_p{i} is null"), f"change {name} is not deployed")
         inside = inside & (here >= F.col("_p0") if i == 0 else here <= F.col("_p1"))
     return deployed.join(bounds, list(keys)).where(inside).drop("_p0", "_p1")
 
@@ -379,7 +382,7 @@ def revert_set(
     if to_change is not None:
         bounds = _log_place(deployed, [to_change], keys)
         if strict:
-            bounds = bounds.where(_fail_if(F.col("_p0").isNull(), f"change {to_change} is not deployed"))
+            _refuse(bounds.where("_p0 is null"), f"change {to_change} is not deployed")
         rows = rows.join(bounds, list(keys)).where(F.struct("committed_at", "change_id") > F.col("_p0")).drop("_p0")
     return ordered.number_by(rows, keys, [F.col("committed_at").desc(), F.col("change_id").desc()], "seq")
 

@@ -38,3 +38,13 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for heavy work on small input.
+
+    One small file is one partition.  Input that already has a partition per
+    core, as any large table has, is returned as it is: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

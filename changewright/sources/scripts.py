@@ -12,7 +12,7 @@ from changewright.functions.ids import script_hash
 
 def read_scripts(spark: SparkSession, folder: str, kind: str = "deploy") -> DataFrame:
     """``.sql`` files of one folder: path, kind, name, whole text."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.sql").text(folder)
+    files = spark.read.option("pathGlobFilter", "*.sql").text(folder, wholetext=True)
     return _named(files.select(F.col("_metadata.file_path").alias("path"), F.lit(kind).alias("kind"), F.col("value").alias("sql")))
 
 

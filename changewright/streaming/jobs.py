@@ -68,7 +68,7 @@ def history_state(spark: SparkSession, path: str, keys: Sequence[str] = KEYS) ->
 
 def _newest_per_job(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        yield frame.groupby("job_id", as_index=False)["at"].max()
+        yield frame.groupby("job_id", as_index=False)[["at", "ms"]].max()
 
 
 class _SilenceWatch(StatefulProcessor):
@@ -82,7 +82,7 @@ class _SilenceWatch(StatefulProcessor):
         self._newest = handle.getValueState("newest", "ms long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        newest = max(int(frame["at"].max().timestamp() * 1000) for frame in rows)
+        newest = max(int(frame["ms"].max()) for frame in rows)
         if self._newest.exists():
             newest = max(newest, self._newest.get()[0])
         self._newest.update((newest,))
@@ -94,7 +94,7 @@ class _SilenceWatch(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         (newest,) = self._newest.get()
         self._newest.clear()
-        yield pd.DataFrame({"job_id": [key[0]], "last_heartbeat": [pd.Timestamp(newest, unit="ms")]})
+        yield pd.DataFrame({"job_id": [key[0]], "ms": [newest]})
 
     def close(self) -> None:
         pass
@@ -107,11 +107,11 @@ def heartbeat_stream(beats: DataFrame, limit_ms: int = 300_000, lateness: str =
     batch, so a chatty job sends few rows to its state.  Needs the RocksDB
     state store.
     """
-    newest = beats.select("job_id", "at").mapInPandas(_newest_per_job, "job_id long, at timestamp")
+    timed = beats.select("job_id", "at", F.unix_millis("at").alias("ms"))
+    newest = timed.mapInPandas(_newest_per_job, "job_id long, at timestamp, ms long")
     keyed = newest.withWatermark("at", lateness).groupBy("job_id")
-    return keyed.transformWithStateInPandas(
-        _SilenceWatch(limit_ms), "job_id long, last_heartbeat timestamp", outputMode="Append", timeMode="EventTime"
-    )
+    silent = keyed.transformWithStateInPandas(_SilenceWatch(limit_ms), "job_id long, ms long", outputMode="Append", timeMode="EventTime")
+    return silent.select("job_id", F.timestamp_millis("ms").alias("last_heartbeat"))
 
 
 # -- scripts -----------------------------------------------------------------
@@ -119,7 +119,7 @@ def heartbeat_stream(beats: DataFrame, limit_ms: int = 300_000, lateness: str =
 
 def script_stream(spark: SparkSession, folder: str, kind: str = "deploy") -> DataFrame:
     """New ``.sql`` files of a folder as a stream of scripts."""
-    files = spark.readStream.option("wholetext", True).option("pathGlobFilter", "*.sql").text(folder)
+    files = spark.readStream.option("pathGlobFilter", "*.sql").text(folder, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.lit(kind).alias("kind"), F.col("value").alias("sql"))
 
 
@@ -172,10 +172,12 @@ def sync_stream(
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         version = batch_id + 1
+        batch = batch.persist()
         placed = batch.withColumn("bucket", _bucket(keys, buckets))
         touched = placed.select("bucket").distinct()
         now = synced_table(spark, path, before=version)
         part = now.withColumn("bucket", _bucket(keys, buckets)).join(touched, "bucket", "left_semi").drop("bucket")
         _publish(X.apply_changes(part, batch, keys, change, order), touched, version, path, keys, buckets)
+        batch.unpersist()
 
     return changes.writeStream.foreachBatch(apply).outputMode("update")

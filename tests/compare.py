@@ -28,7 +28,7 @@ def _rows(columns, rows):
     return sorted((tuple(_plain(r[i]) for i in order) for r in rows), key=repr)
 
 
-def difference(df, con, sql: str) -> str | None:
+def difference(df, con, sql: str, allow_empty: bool = False) -> str | None:
     """Null if both give the same rows, else what differs."""
     got_cols = df.columns
     got = _rows(got_cols, [tuple(r) for r in df.collect()])
@@ -37,7 +37,7 @@ def difference(df, con, sql: str) -> str | None:
     want = _rows(want_cols, result.fetchall())
     if sorted(got_cols) != sorted(want_cols):
         return f"columns {sorted(got_cols)} <> {sorted(want_cols)}"
-    if not got:
+    if not got and not allow_empty:
         return "no rows"
     if got != want:
         extra, lost = sorted(set(got) - set(want), key=repr)[:3], sorted(set(want) - set(got), key=repr)[:3]
