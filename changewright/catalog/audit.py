@@ -21,12 +21,15 @@ FOUND = C.expected("found", "rule, severity, line, col", "found")
 RAW = C.expected("raw", "rule, severity, line, col", "findings")
 NOT_EXEMPT = "NOT (rule = 'SA007' AND kind = 'revert')"
 LINTED = f"{S}, {FOUND}, linted AS (SELECT path, kind, k, s.n, rule, severity, line, col FROM scripts s JOIN found USING (n) WHERE {NOT_EXEMPT})"
-COLS = ["path", "rule", "severity", "line", F.col("column").alias("col")]
+
+
+def _short(found):
+    return found.select("path", "rule", "severity", "line", F.col("column").alias("col"))
 
 
 @query("lint", f"{LINTED} SELECT path, rule, severity, line, col FROM linted")
 def lint(s, d):
-    return L.lint(scripts(s, d)).select(*COLS)
+    return _short(L.lint(scripts(s, d)))
 
 
 @query("lint_configured", f"""{LINTED}, extra AS (SELECT path, 'SA002b' AS rule, 'error' AS severity, 2 AS line, 1 AS col FROM scripts WHERE n = 2),
@@ -40,7 +43,7 @@ def lint_configured(s, d):
     rows = scripts(s, d)
     key = F.regexp_extract("path", r"c(\d+)\.sql", 1).cast("long")
     skips = rows.where(key % 3 == 0).select("path", F.lit("SA004").alias("rule"))
-    return L.lint(rows, config, skips=skips).select(*COLS)
+    return _short(L.lint(rows, config, skips=skips))
 
 
 @query("lint_connected", f"""{LINTED}, big AS (SELECT o_orderkey AS k FROM orders WHERE o_totalprice > 200000)
@@ -50,12 +53,12 @@ UNION ALL SELECT path, 'SA011', 'warn', 2, 12 FROM scripts JOIN big USING (k) WH
 UNION ALL SELECT path, 'SA011', 'warn', unnest([2, 4]), 1 FROM scripts JOIN big USING (k) WHERE n = 22""")
 def lint_connected(s, d):
     stats = table(s, d, "orders").select(F.concat(F.lit("t_"), F.col("o_orderkey").cast("string")).alias("table_name"), F.col("o_totalprice").alias("rows"))
-    return L.lint(scripts(s, d), L.LintConfig(max_affected_rows=200000), stats=stats).select(*COLS)
+    return _short(L.lint(scripts(s, d), L.LintConfig(max_affected_rows=200000), stats=stats))
 
 
 @query("findings", f"{S}, {RAW} SELECT path, rule, severity, line, col FROM scripts JOIN raw USING (n) WHERE {NOT_EXEMPT}")
 def findings(s, d):
-    return L.findings(scripts(s, d)).select(*COLS)
+    return _short(L.findings(scripts(s, d)))
 
 
 @query("custom_rule", f"""{S} SELECT path, 'X001' AS rule, line, col, 'SELECT in ' || kind AS message
