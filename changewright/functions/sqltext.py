@@ -91,32 +91,41 @@ def mask(sql: Column) -> Column:
     return F.array_join(F.transform(tokens, _mask_token), "")
 
 
+def _mark(line: Column, column: Column) -> Column:
+    return F.concat(F.lit(_OPEN), line.cast("string"), F.lit(":"), column.cast("string"), F.lit(_CLOSE))
+
+
 def _marked_line(line: Column, index: Column) -> Column:
-    def segment(parts: Column) -> Callable[[Column, Column], Column]:
+    def segments(parts: Column) -> Column:
         def one(part: Column, j: Column) -> Column:
             before = F.aggregate(F.slice(parts, F.lit(1), j), F.lit(1), lambda acc, p: acc + F.length(p) + 1)
-            return F.concat(F.lit(_OPEN), (index + 1).cast("string"), F.lit(":"), before.cast("string"), F.lit(_CLOSE), part)
+            return F.concat(_mark(index + 1, before), part)
 
-        return one
+        return F.array_join(F.transform(parts, one), ";")
 
-    return let(F.split(line, ";"), lambda parts: F.array_join(F.transform(parts, segment(parts)), ";"))
+    plain = F.concat(_mark(index + 1, F.lit(1)), line)
+    return F.when(line.contains(";"), let(F.split(line, ";"), segments)).otherwise(plain)
 
 
 def split_statements(masked: Column) -> Column:
     """Array of ``(line, column, stmt)``: position of the first visible character, text on one line."""
     marked = F.array_join(F.transform(F.split(masked, "\n"), _marked_line), "\n")
-    first = rf"(?s)^.*?{_OPEN}(\d+):(\d+){_CLOSE}([ \t\r\f]*)[^\s{_OPEN}]"
+    # The mark before the first visible character, with the blanks behind it.
+    first = rf"(?s)^.*?{_OPEN}(\d+:\d+{_CLOSE}[ \t\r\f]*+)[^\s{_OPEN}]"
 
     def one(chunk: Column) -> Column:
-        text = F.regexp_replace(chunk, f"{_OPEN}[^{_CLOSE}]*{_CLOSE}", "")
-        column = F.regexp_extract(chunk, first, 2).try_cast("int") + F.length(F.regexp_extract(chunk, first, 3))
-        return F.struct(
-            F.regexp_extract(chunk, first, 1).try_cast("int").alias("line"),
-            column.alias("column"),
-            F.trim(F.regexp_replace(text, r"\s+", " ")).alias("stmt"),
-        )
-
-    return F.filter(F.transform(F.split(marked, ";"), one), lambda s: s["stmt"] != "")
+        def placed(mark: Column) -> Column:
+            column = F.regexp_extract(mark, r":(\d+)", 1).try_cast("int")
+            return F.struct(
+                F.substring_index(mark, ":", 1).try_cast("int").alias("line"),
+                (column + F.length(F.substring_index(mark, _CLOSE, -1))).alias("column"),
+                F.trim(F.regexp_replace(chunk, rf"(?:{_OPEN}[^{_CLOSE}]*+{_CLOSE}|\s++)+", " ")).alias("stmt"),
+            )
+
+        return let(F.regexp_extract(chunk, first, 1), placed)
+
+    chunks = F.filter(F.split(marked, ";"), lambda c: c.rlike(rf"{_CLOSE}\s*+[^\s{_OPEN}]"))
+    return F.transform(chunks, one)
 
 
 def is_unparsable(masked: Column, statements: Column) -> Column:

@@ -87,7 +87,7 @@ def _propagate_max(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     return raised.drop("fresh")
 
 
-def deploy_order(changes: DataFrame, keys: Sequence[str] = KEYS, check_cycles: bool = True) -> DataFrame:
+def deploy_order(changes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Topological order that always takes the smallest free plan position.
 
     A change can only be deployed once its largest ancestor M is, and all
@@ -97,10 +97,11 @@ def deploy_order(changes: DataFrame, keys: Sequence[str] = KEYS, check_cycles: b
     change is therefore the path of its M values, ending in its own position.
     Plans without forward requirements need a single round, and no project is
     ever gathered in one task.
+
+    A cycle shows in the round whose M lies on it: the change at M then waits
+    for a change of its own group.
     """
     edges = cut(requirement_edges(changes, keys))
-    if check_cycles and not peel(edges, keys)[1].isEmpty():
-        raise CycleError("requirements form a cycle; see cycles()")
     work = changes.select(*keys, "pos", F.array().cast("array<long>").alias("path"))
     settled: list[DataFrame] = []
     while True:
@@ -109,11 +110,17 @@ def deploy_order(changes: DataFrame, keys: Sequence[str] = KEYS, check_cycles: b
         settled.append(own.select(*keys, "pos", F.concat("path", F.array("pos")).alias("path")))
         if raised.isEmpty():
             break
+        back = raised.select(*keys, F.col("pos").alias("src"), F.col("label").alias("dst"))
+        loops = edges.join(back, [*keys, "src", "dst"], "left_semi").unionByName(edges.where("src = dst"))
+        if not loops.isEmpty():
+            raise CycleError("requirements form a cycle; see cycles()")
         work = work.join(raised, [*keys, "pos"])
         work = cut(work.select(*keys, "pos", F.concat("path", F.array("label")).alias("path")))
         ends = [work.select(*keys, F.col("pos").alias(e), F.col("path").alias(f"_{e}")) for e in ("src", "dst")]
         edges = edges.join(ends[0], [*keys, "src"]).join(ends[1], [*keys, "dst"]).where("_src = _dst")
         edges = cut(edges.select(*keys, "src", "dst"))
+    if not edges.where("src = dst").isEmpty():
+        raise CycleError("a change requires itself; see cycles()")
     placed = ordered.number_by(_union(settled), keys, [F.col("path")], "seq").drop("path")
     return changes.join(placed, [*keys, "pos"])
 

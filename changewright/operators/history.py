@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from changewright.functions.names import base_name, pair_base, phase_of
 from changewright.operators import ordered
+from changewright.session import cut
 
 KEYS = ("target", "project")
 
@@ -121,7 +122,7 @@ def status_rollup(
 
 def pending_list(plan: DataFrame, deployed: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Pending changes with their running number in plan order."""
-    rows = pending(plan, deployed, keys).select(*keys, "pos", "name", "change_id")
+    rows = cut(pending(plan, deployed, keys).select(*keys, "pos", "name", "change_id"))
     return ordered.unsliced(ordered.number(ordered.slice_by_position(rows, "pos"), keys, "seq"))
 
 
@@ -401,10 +402,11 @@ def script_names(plan: DataFrame, tags: DataFrame, keys: Sequence[str] = KEYS) -
     version.  Two fills over the same slices replace a range join.
     """
     first_tag = tags.groupBy(*keys, "change_id").agg(F.min(F.struct("pos", "tag"))["tag"].alias("_tag"))
-    rows = plan.select(*keys, "pos", "change_id", "name").join(first_tag, [*keys, "change_id"], "left")
+    rows = cut(plan.select(*keys, "pos", "change_id", "name").join(first_tag, [*keys, "change_id"], "left"))
+    base = ordered.slice_by_position(rows, "pos")
     mark = F.when(F.col("_tag").isNotNull(), F.struct(F.col("pos").alias("at"), F.col("_tag").alias("tag")))
-    rows = ordered.fill_up(ordered.slice_by_position(rows, "pos"), keys, mark, "_next_tag")
-    rows = ordered.neighbour(rows, [*keys, "name"], F.col("pos"), "_next_pos", 1)
+    rows = ordered.fill_up(base, keys, mark, "_next_tag")
+    rows = ordered.neighbour(rows, [*keys, "name"], F.col("pos"), "_next_pos", 1, base)
     tagged = F.col("_next_pos").isNotNull() & (F.col("_next_tag.at") < F.col("_next_pos"))
     name = F.when(tagged, F.concat("name", F.lit("@"), F.col("_next_tag.tag"))).otherwise(F.col("name"))
     return rows.select(*keys, "change_id", "pos", "name", name.alias("script_name"))

@@ -11,6 +11,10 @@ Slices come from either
   position).  Its quotient bounds a slice to ``width`` rows; no extra job.
 * ``slice_by_sort``: any order.  A range partitioning on (keys, order) is
   written once, so that slice numbers stay the same for every later use.
+
+A step reads its input twice: rows and summary.  Where the input is itself
+the result of such a step, ``base`` names the sliced table it came from, and
+the summary is taken from there instead of running the earlier step again.
 """
 
 from __future__ import annotations
@@ -55,10 +59,10 @@ def _inside(keys: Sequence[str]):
     return Window.partitionBy(*keys, SLICE).orderBy(AT)
 
 
-def number(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+def number(df: DataFrame, keys: Sequence[str], name: str, base: DataFrame | None = None) -> DataFrame:
     """``row_number`` (from 1) within the key; ``df`` is sliced."""
     before = F.coalesce(F.sum("_n").over(_across(keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = _summary(df, keys, F.count(F.lit(1)).alias("_n")).withColumn("_before", before).drop("_n")
+    counts = _summary(df if base is None else base, keys, F.count(F.lit(1)).alias("_n")).withColumn("_before", before).drop("_n")
     ranked = df.withColumn("_rank", F.row_number().over(_inside(keys)))
     return (
         ranked.join(counts, [*keys, SLICE])
@@ -67,33 +71,35 @@ def number(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     )
 
 
-def neighbour(df: DataFrame, keys: Sequence[str], value: Column, name: str, step: int) -> DataFrame:
+def neighbour(
+    df: DataFrame, keys: Sequence[str], value: Column, name: str, step: int, base: DataFrame | None = None
+) -> DataFrame:
     """``lag`` (step -1) or ``lead`` (step 1) of ``value`` within the key."""
     pick = F.max_by if step < 0 else F.min_by
     shift = F.lag if step < 0 else F.lead
     boxed = F.struct(value.alias("v"))
-    edge = _summary(df, keys, pick(boxed, F.col(AT)).alias("_edge"))
+    edge = _summary(df if base is None else base, keys, pick(boxed, F.col(AT)).alias("_edge"))
     edge = edge.withColumn("_carry", shift("_edge").over(_across(keys))).drop("_edge")
     local = df.withColumn("_box", boxed).withColumn("_near", shift("_box").over(_inside(keys)))
     joined = local.join(edge, [*keys, SLICE])
     return joined.withColumn(name, F.coalesce("_near", "_carry")["v"]).drop("_box", "_near", "_carry")
 
 
-def fill_down(df: DataFrame, keys: Sequence[str], value: Column, name: str) -> DataFrame:
+def fill_down(df: DataFrame, keys: Sequence[str], value: Column, name: str, base: DataFrame | None = None) -> DataFrame:
     """Latest non-null ``value`` at or before each row."""
-    return _fill(df, keys, value, name, down=True)
+    return _fill(df, keys, value, name, True, base)
 
 
-def fill_up(df: DataFrame, keys: Sequence[str], value: Column, name: str) -> DataFrame:
+def fill_up(df: DataFrame, keys: Sequence[str], value: Column, name: str, base: DataFrame | None = None) -> DataFrame:
     """Nearest non-null ``value`` at or after each row."""
-    return _fill(df, keys, value, name, down=False)
+    return _fill(df, keys, value, name, False, base)
 
 
-def _fill(df: DataFrame, keys: Sequence[str], value: Column, name: str, down: bool) -> DataFrame:
+def _fill(df: DataFrame, keys: Sequence[str], value: Column, name: str, down: bool, base: DataFrame | None) -> DataFrame:
     pick, take = (F.max_by, F.last) if down else (F.min_by, F.first)
     outer = (Window.unboundedPreceding, -1) if down else (1, Window.unboundedFollowing)
     inner = (Window.unboundedPreceding, 0) if down else (0, Window.unboundedFollowing)
-    edge = _summary(df, keys, pick(value, F.when(value.isNotNull(), F.col(AT))).alias("_edge"))
+    edge = _summary(df if base is None else base, keys, pick(value, F.when(value.isNotNull(), F.col(AT))).alias("_edge"))
     carry = take("_edge", ignorenulls=True).over(_across(keys).rowsBetween(*outer))
     edge = edge.withColumn("_carry", carry).drop("_edge")
     local = df.withColumn("_value", value)

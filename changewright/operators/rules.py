@@ -90,7 +90,8 @@ def _expand_items(statements: Column, timeout_at: Column, kind: Column, no_txn:
                 (i + 1).alias("stmt_no"),
                 n.alias("action_no"),
                 action.alias("action"),
-                T.flatten_parens(action).alias("flat_action"),
+                F.upper(F.regexp_extract(action, r"^(\w*)", 1)).alias("action_verb"),
+                F.when(action != "", T.flatten_parens(action)).otherwise("").alias("flat_action"),
                 F.coalesce(F.regexp_replace(s["table"], r"^.*\.", ""), F.lit("unknown")).alias("relation"),
                 ((timeout_at > 0) & (timeout_at <= i)).alias("timeout_set"),
                 kind.alias("kind"),
@@ -106,7 +107,7 @@ def _expand_items(statements: Column, timeout_at: Column, kind: Column, no_txn:
 # -- rules -------------------------------------------------------------------
 #
 # Fields of ``i``: stmt, verb, flat (parentheses emptied), table, relation,
-# rest, action, flat_action, kind, no_txn, timeout_set, line, column.
+# rest, action, action_verb, flat_action, kind, no_txn, timeout_set, line, column.
 
 
 @dataclass(frozen=True)
@@ -169,7 +170,8 @@ def _say(*parts: str) -> str:
 
 _COLUMN = _name("i.action", _ADD_COLUMN)
 _ALTERED = _name("i.action", _ALTER_COLUMN)
-_ADDS_DEFAULT = _like("i.action", _ADD_COLUMN) + " AND " + _like("i.flat_action", _DEFAULT)
+_ADDS_COLUMN = f"(i.action_verb = 'ADD' AND {_like('i.action', _ADD_COLUMN)})"
+_ADDS_DEFAULT = _ADDS_COLUMN + " AND " + _like("i.flat_action", _DEFAULT)
 _VOLATILE_NAME = f"lower({_part(_part('i.action', _DEFAULT_TEXT), _VOLATILE_CALL)})"
 _CONSTRAINT_NAME = _name("i.action", _CONSTRAINT, 1, "unnamed")
 _VALIDATES = f"NOT {_like('i.flat_action', _NOT_VALID)}"
@@ -237,7 +239,7 @@ def default_rules(version: int = 14) -> RuleSet:
     return RuleSet([
         Rule(
             "SA001", "error",
-            f"{_like('i.action', _ADD_COLUMN)} AND {_like('i.flat_action', '(?i)\\bNOT NULL\\b')} AND NOT {_like('i.flat_action', _DEFAULT)}",
+            f"{_ADDS_COLUMN} AND {_like('i.flat_action', '(?i)\\bNOT NULL\\b')} AND NOT {_like('i.flat_action', _DEFAULT)}",
             _say('NOT NULL column "', _COLUMN, '" without a DEFAULT fails on table "', "i.relation", '" if it has rows.'),
             "Give a DEFAULT, or add it nullable, backfill, then set NOT NULL.", "action",
         ),
@@ -252,7 +254,7 @@ def default_rules(version: int = 14) -> RuleSet:
             "Upgrade, or add the column without a default and backfill.", "action",
         ),
         Rule(
-            "SA003", "error", _like("i.action", _ALTER_COLUMN + r"(?:SET DATA )?TYPE "),
+            "SA003", "error", "i.action_verb = 'ALTER' AND " + _like("i.action", _ALTER_COLUMN + r"(?:SET DATA )?TYPE "),
             _say('Changing the type of column "', _ALTERED, '" on table "', "i.relation", '"', using, " under an exclusive lock."),
             _EXPAND_HINT, "action",
         ),
@@ -267,7 +269,7 @@ def default_rules(version: int = 14) -> RuleSet:
             _CONCURRENTLY_HINT,
         ),
         Rule(
-            "SA006", "warn", _like("i.action", r"(?i)^DROP (?!CONSTRAINT )"),
+            "SA006", "warn", "i.action_verb = 'DROP' AND " + _like("i.action", r"(?i)^DROP (?!CONSTRAINT )"),
             _say('Dropping column "', _name("i.action", rf"(?i)^DROP (?:COLUMN )?(?:IF EXISTS )?({_N})"), '" of table "', "i.relation", '" loses its data.'),
             "Back up first and make sure that no code reads the column.", "action",
         ),
@@ -282,7 +284,7 @@ def default_rules(version: int = 14) -> RuleSet:
             "Use DELETE with a condition, or back up first.",
         ),
         Rule(
-            "SA009", "warn", f"{_like('i.action', f'(?i)^ADD (?:CONSTRAINT {_N} )?FOREIGN KEY')} AND {_VALIDATES}",
+            "SA009", "warn", f"i.action_verb = 'ADD' AND {_like('i.action', f'(?i)^ADD (?:CONSTRAINT {_N} )?FOREIGN KEY')} AND {_VALIDATES}",
             _say('Foreign key "', _CONSTRAINT_NAME, '" on ', "i.relation", "(", fk_columns, ") to ",
                  _name("i.action", rf"(?i)REFERENCES ({_N})"), " without NOT VALID checks every row under a lock."),
             _VALIDATE_HINT, "action", "hybrid",
@@ -313,22 +315,22 @@ def default_rules(version: int = 14) -> RuleSet:
             "Use plain VACUUM or an online repack.",
         ),
         Rule(
-            "SA015", "warn", f"{_like('i.rest', _RENAME_TABLE)} OR {_like('i.rest', _RENAME_COLUMN)}", renamed,
+            "SA015", "warn", f"i.rest <> '' AND ({_like('i.rest', _RENAME_TABLE)} OR {_like('i.rest', _RENAME_COLUMN)})", renamed,
             "Keep both names visible until all code has moved.",
         ),
         Rule(
-            "SA016", "error", f"{_like('i.action', f'(?i)^ADD (?:CONSTRAINT {_N} )?CHECK\\b')} AND {_VALIDATES}",
+            "SA016", "error", f"i.action_verb = 'ADD' AND {_like('i.action', f'(?i)^ADD (?:CONSTRAINT {_N} )?CHECK\\b')} AND {_VALIDATES}",
             _say('CHECK "', _CONSTRAINT_NAME, '" on table "', "i.relation", '" without NOT VALID scans it under a lock.'),
             _VALIDATE_HINT, "action",
         ),
         Rule(
-            "SA017", "warn", _like("i.action", _ALTER_COLUMN + "SET NOT NULL"),
+            "SA017", "warn", "i.action_verb = 'ALTER' AND " + _like("i.action", _ALTER_COLUMN + "SET NOT NULL"),
             _say('SET NOT NULL on column "', _ALTERED, '" of table "', "i.relation", '" scans the table.'),
             "Validate a CHECK (column IS NOT NULL) first.", "action", "hybrid",
         ),
         Rule(
             "SA018", "warn",
-            f"{_like('i.action', f'(?i)^ADD (?:CONSTRAINT {_N} )?PRIMARY KEY')} AND NOT {_like('i.action', '(?i)PRIMARY KEY USING INDEX (?!TABLESPACE)')}",
+            f"i.action_verb = 'ADD' AND {_like('i.action', f'(?i)^ADD (?:CONSTRAINT {_N} )?PRIMARY KEY')} AND NOT {_like('i.action', '(?i)PRIMARY KEY USING INDEX (?!TABLESPACE)')}",
             _say('PRIMARY KEY on "', "i.relation", '" (', key_columns, ") without USING INDEX builds the index under an exclusive lock."),
             "Build a unique index concurrently, then add the key USING INDEX.", "action", "hybrid",
         ),
