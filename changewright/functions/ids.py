@@ -23,31 +23,54 @@ def _note(note: Column) -> Column:
     return F.when(_present(note), F.concat(F.lit("\n"), note))
 
 
-def change_content(
+def change_parts(
     project: Column,
     uri: Column,
     name: Column,
-    parent: Column,
     planner_name: Column,
     planner_email: Column,
     planned_at: Column,
     requires: Column,
     conflicts: Column,
     note: Column,
-) -> Column:
-    """Text that identifies a change; absent parts are nulls, which ``concat_ws`` skips."""
-    return F.concat_ws(
+) -> tuple[Column, Column]:
+    """Text of a change before and after its parent line; absent parts are nulls, which ``concat_ws`` skips."""
+    before = F.concat_ws(
         "\n",
         F.concat(F.lit("project "), project),
         F.when(_present(uri), F.concat(F.lit("uri "), uri)),
         F.concat(F.lit("change "), name),
-        F.when(_present(parent), F.concat(F.lit("parent "), parent)),
+    )
+    after = F.concat_ws(
+        "\n",
         _planner(planner_name, planner_email),
         F.concat(F.lit("date "), planned_at),
         _listed("requires", "+", requires),
         _listed("conflicts", "-", conflicts),
         _note(note),
     )
+    return before, after
+
+
+def parent_line(parent: Column) -> Column:
+    return F.when(_present(parent), F.concat(F.lit("parent "), parent))
+
+
+def change_content(
+    project: Column,
+    uri: Column,
+    name: Column,
+    parent: Column,
+    planner_name: Column,
+    planner_email: Column,
+    planned_at: Column,
+    requires: Column,
+    conflicts: Column,
+    note: Column,
+) -> Column:
+    """Text that identifies a change."""
+    before, after = change_parts(project, uri, name, planner_name, planner_email, planned_at, requires, conflicts, note)
+    return F.concat_ws("\n", before, parent_line(parent), after)
 
 
 def tag_content(

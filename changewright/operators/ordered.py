@@ -61,13 +61,13 @@ def _inside(keys: Sequence[str]):
 
 def number(df: DataFrame, keys: Sequence[str], name: str, base: DataFrame | None = None) -> DataFrame:
     """``row_number`` (from 1) within the key; ``df`` is sliced."""
-    before = F.coalesce(F.sum("_n").over(_across(keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = _summary(df if base is None else base, keys, F.count(F.lit(1)).alias("_n")).withColumn("_before", before).drop("_n")
-    ranked = df.withColumn("_rank", F.row_number().over(_inside(keys)))
+    before = F.coalesce(F.sum("_o_n").over(_across(keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = _summary(df if base is None else base, keys, F.count(F.lit(1)).alias("_o_n")).withColumn("_o_before", before).drop("_o_n")
+    ranked = df.withColumn("_o_rank", F.row_number().over(_inside(keys)))
     return (
         ranked.join(counts, [*keys, SLICE])
-        .withColumn(name, (F.col("_before") + F.col("_rank")).cast("long"))
-        .drop("_before", "_rank")
+        .withColumn(name, (F.col("_o_before") + F.col("_o_rank")).cast("long"))
+        .drop("_o_before", "_o_rank")
     )
 
 
@@ -78,11 +78,11 @@ def neighbour(
     pick = F.max_by if step < 0 else F.min_by
     shift = F.lag if step < 0 else F.lead
     boxed = F.struct(value.alias("v"))
-    edge = _summary(df if base is None else base, keys, pick(boxed, F.col(AT)).alias("_edge"))
-    edge = edge.withColumn("_carry", shift("_edge").over(_across(keys))).drop("_edge")
-    local = df.withColumn("_box", boxed).withColumn("_near", shift("_box").over(_inside(keys)))
+    edge = _summary(df if base is None else base, keys, pick(boxed, F.col(AT)).alias("_o_edge"))
+    edge = edge.withColumn("_o_carry", shift("_o_edge").over(_across(keys))).drop("_o_edge")
+    local = df.withColumn("_o_box", boxed).withColumn("_o_near", shift("_o_box").over(_inside(keys)))
     joined = local.join(edge, [*keys, SLICE])
-    return joined.withColumn(name, F.coalesce("_near", "_carry")["v"]).drop("_box", "_near", "_carry")
+    return joined.withColumn(name, F.coalesce("_o_near", "_o_carry")["v"]).drop("_o_box", "_o_near", "_o_carry")
 
 
 def fill_down(df: DataFrame, keys: Sequence[str], value: Column, name: str, base: DataFrame | None = None) -> DataFrame:
@@ -96,16 +96,19 @@ def fill_up(df: DataFrame, keys: Sequence[str], value: Column, name: str, base:
 
 
 def _fill(df: DataFrame, keys: Sequence[str], value: Column, name: str, down: bool, base: DataFrame | None) -> DataFrame:
-    pick, take = (F.max_by, F.last) if down else (F.min_by, F.first)
-    outer = (Window.unboundedPreceding, -1) if down else (1, Window.unboundedFollowing)
-    inner = (Window.unboundedPreceding, 0) if down else (0, Window.unboundedFollowing)
-    edge = _summary(df if base is None else base, keys, pick(value, F.when(value.isNotNull(), F.col(AT))).alias("_edge"))
-    carry = take("_edge", ignorenulls=True).over(_across(keys).rowsBetween(*outer))
-    edge = edge.withColumn("_carry", carry).drop("_edge")
-    local = df.withColumn("_value", value)
-    near = take("_value", ignorenulls=True).over(_inside(keys).rowsBetween(*inner))
-    joined = local.withColumn("_near", near).join(edge, [*keys, SLICE])
-    return joined.withColumn(name, F.coalesce("_near", "_carry")).drop("_value", "_near", "_carry")
+    # Upwards is the same walk in reverse order: a frame that grows from the
+    # start costs one step per row, one that ends at the last row costs all.
+    pick = F.max_by if down else F.min_by
+
+    def walk(by: str, *group: str):
+        return Window.partitionBy(*keys, *group).orderBy(F.col(by).asc() if down else F.col(by).desc())
+
+    edge = _summary(df if base is None else base, keys, pick(value, F.when(value.isNotNull(), F.col(AT))).alias("_o_edge"))
+    carry = F.last("_o_edge", ignorenulls=True).over(walk(SLICE).rowsBetween(Window.unboundedPreceding, -1))
+    edge = edge.withColumn("_o_carry", carry).drop("_o_edge")
+    near = F.last("_o_value", ignorenulls=True).over(walk(AT, SLICE).rowsBetween(Window.unboundedPreceding, 0))
+    joined = df.withColumn("_o_value", value).withColumn("_o_near", near).join(edge, [*keys, SLICE])
+    return joined.withColumn(name, F.coalesce("_o_near", "_o_carry")).drop("_o_value", "_o_near", "_o_carry")
 
 
 def number_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
@@ -115,10 +118,10 @@ def number_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name:
     an offset: no second sort, only a join with one row per (key, slice).
     """
     sliced = slice_by_sort(df, keys, order)
-    before = F.coalesce(F.sum("_n").over(_across(keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    start = _summary(sliced, keys, F.count(F.lit(1)).alias("_n"), F.min(AT).alias("_first"))
-    start = start.select(*keys, SLICE, (before - F.col("_first") + 1).alias("_shift"))
-    return unsliced(sliced.join(start, [*keys, SLICE]).withColumn(name, F.col(AT) + F.col("_shift")).drop("_shift"))
+    before = F.coalesce(F.sum("_o_n").over(_across(keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    start = _summary(sliced, keys, F.count(F.lit(1)).alias("_o_n"), F.min(AT).alias("_o_first"))
+    start = start.select(*keys, SLICE, (before - F.col("_o_first") + 1).alias("_o_shift"))
+    return unsliced(sliced.join(start, [*keys, SLICE]).withColumn(name, F.col(AT) + F.col("_o_shift")).drop("_o_shift"))
 
 
 def asof(
@@ -137,9 +140,9 @@ def asof(
     row per (on, right_at).
     """
     lrow = F.struct(*[F.col(c) for c in left.columns])
-    stacked = left.select(*on, F.col(left_at).alias("_ts"), F.lit(1).alias("_side"), lrow.alias("_row"))
-    points = right.select(*on, F.col(right_at).alias("_ts"), F.lit(0).alias("_side"), F.struct(value.alias("v")).alias("_point"))
+    stacked = left.select(*on, F.col(left_at).alias("_o_ts"), F.lit(1).alias("_o_side"), lrow.alias("_o_row"))
+    points = right.select(*on, F.col(right_at).alias("_o_ts"), F.lit(0).alias("_o_side"), F.struct(value.alias("v")).alias("_o_point"))
     rows = stacked.unionByName(points, allowMissingColumns=True)
-    sliced = slice_by_sort(rows, on, [F.col("_ts"), F.col("_side")])
-    filled = fill_down(sliced, on, F.col("_point"), "_found").where("_side = 1")
-    return filled.select("_row.*", F.col("_found")["v"].alias(name))
+    sliced = slice_by_sort(rows, on, [F.col("_o_ts"), F.col("_o_side")])
+    filled = fill_down(sliced, on, F.col("_o_point"), "_o_found").where("_o_side = 1")
+    return filled.select("_o_row.*", F.col("_o_found")["v"].alias(name))

@@ -112,7 +112,11 @@ def _expand_items(statements: Column, timeout_at: Column, kind: Column, no_txn:
 
 @dataclass(frozen=True)
 class Rule:
-    """``when`` and ``message`` are SQL text over ``i``; ``each`` is statement or action."""
+    """``when`` and ``message`` are SQL text over ``i``; ``each`` is statement or action.
+
+    ``verbs``: first words of the statements (actions) the rule looks at, so
+    that others do not try it; empty means all.
+    """
 
     id: str
     severity: str
@@ -121,6 +125,7 @@ class Rule:
     suggestion: str | None = None
     each: str = "statement"
     kind: str = "static"
+    verbs: tuple[str, ...] = ()
 
 
 class RuleSet:
@@ -241,131 +246,141 @@ def default_rules(version: int = 14) -> RuleSet:
             "SA001", "error",
             f"{_ADDS_COLUMN} AND {_like('i.flat_action', '(?i)\\bNOT NULL\\b')} AND NOT {_like('i.flat_action', _DEFAULT)}",
             _say('NOT NULL column "', _COLUMN, '" without a DEFAULT fails on table "', "i.relation", '" if it has rows.'),
-            "Give a DEFAULT, or add it nullable, backfill, then set NOT NULL.", "action",
+            "Give a DEFAULT, or add it nullable, backfill, then set NOT NULL.", "action", verbs=("ADD",),
         ),
         Rule(
             "SA002", "error", f"{_ADDS_DEFAULT} AND {_VOLATILE_NAME} <> ''",
             _say("Volatile default ", _VOLATILE_NAME, '() of column "', _COLUMN, '" rewrites table "', "i.relation", '".'),
-            "Add the column without a default and backfill in batches.", "action",
+            "Add the column without a default and backfill in batches.", "action", verbs=("ADD",),
         ),
         Rule(
             "SA002b", "warn", f"{str(version < 11).lower()} AND {_ADDS_DEFAULT} AND {_VOLATILE_NAME} = ''",
             _say('Default of column "', _COLUMN, '" rewrites table "', "i.relation", f'" before version 11 (target {version}).'),
-            "Upgrade, or add the column without a default and backfill.", "action",
+            "Upgrade, or add the column without a default and backfill.", "action", verbs=("ADD",),
         ),
         Rule(
             "SA003", "error", "i.action_verb = 'ALTER' AND " + _like("i.action", _ALTER_COLUMN + r"(?:SET DATA )?TYPE "),
             _say('Changing the type of column "', _ALTERED, '" on table "', "i.relation", '"', using, " under an exclusive lock."),
-            _EXPAND_HINT, "action",
+            _EXPAND_HINT, "action", verbs=("ALTER",),
         ),
         Rule(
             "SA004", "warn", _create_index(False),
             _say('CREATE INDEX "', _INDEX_NAME, '" on "', _name("i.stmt", _CREATE_INDEX, 3), '" without CONCURRENTLY blocks writes.'),
-            _CONCURRENTLY_HINT,
+            _CONCURRENTLY_HINT, verbs=("CREATE",),
         ),
         Rule(
             "SA005", "warn", _drop("INDEX", False),
             _say("DROP INDEX ", _DROPPED, " without CONCURRENTLY takes an exclusive lock."),
-            _CONCURRENTLY_HINT,
+            _CONCURRENTLY_HINT, verbs=("DROP",),
         ),
         Rule(
             "SA006", "warn", "i.action_verb = 'DROP' AND " + _like("i.action", r"(?i)^DROP (?!CONSTRAINT )"),
             _say('Dropping column "', _name("i.action", rf"(?i)^DROP (?:COLUMN )?(?:IF EXISTS )?({_N})"), '" of table "', "i.relation", '" loses its data.'),
-            "Back up first and make sure that no code reads the column.", "action",
+            "Back up first and make sure that no code reads the column.", "action", verbs=("DROP",),
         ),
         Rule(
             "SA007", "error", f"{_drop('TABLE')} AND coalesce(i.kind, 'deploy') <> 'revert'",
             _say("DROP TABLE ", _DROPPED, " loses its data."),
-            "Drop tables in revert scripts only, with a backup.",
+            "Drop tables in revert scripts only, with a backup.", verbs=("DROP",),
         ),
         Rule(
             "SA008", "warn", "i.verb = 'TRUNCATE'",
             _say("TRUNCATE of ", _or(T.name_list_sql(_part("i.stmt", _TRUNCATE)), "unknown"), " removes all rows under an exclusive lock."),
-            "Use DELETE with a condition, or back up first.",
+            "Use DELETE with a condition, or back up first.", verbs=("TRUNCATE",),
         ),
         Rule(
             "SA009", "warn", f"i.action_verb = 'ADD' AND {_like('i.action', f'(?i)^ADD (?:CONSTRAINT {_N} )?FOREIGN KEY')} AND {_VALIDATES}",
             _say('Foreign key "', _CONSTRAINT_NAME, '" on ', "i.relation", "(", fk_columns, ") to ",
                  _name("i.action", rf"(?i)REFERENCES ({_N})"), " without NOT VALID checks every row under a lock."),
-            _VALIDATE_HINT, "action", "hybrid",
+            _VALIDATE_HINT, "action", "hybrid", verbs=("ADD",),
         ),
         Rule(
             "SA010", "warn", f"{_IS_DML} AND NOT {_like('i.flat', '(?i)\\bWHERE\\b')}",
             _say("", _DML_VERB, ' on "', T.last_name_sql(_part("i.flat", _DML, 2)), '" without WHERE hits all rows.'),
-            "Add a WHERE clause, or suppress the rule if all rows are meant.",
+            "Add a WHERE clause, or suppress the rule if all rows are meant.", verbs=("UPDATE", "DELETE", "WITH"),
         ),
         Rule(
             "SA011", "warn", _IS_DML,
             _say("", _DML_VERB, ' on large table "', _DML_NAME, '".'),
-            "Run it in batches.", kind="connected",
+            "Run it in batches.", kind="connected", verbs=("UPDATE", "DELETE", "WITH"),
         ),
         Rule(
             "SA012", "info", f"i.verb = 'ALTER' AND {_like('i.stmt', '(?i)^ALTER SEQUENCE .*\\bRESTART\\b')}",
             _say('Restarting sequence "', _name("i.stmt", rf"(?i)^ALTER SEQUENCE (?:IF EXISTS )?({_N})"), '" may repeat or reorder ids.'),
-            "Make sure that no row uses the restarted values.",
+            "Make sure that no row uses the restarted values.", verbs=("ALTER",),
         ),
         Rule(
             "SA013", "warn", f"NOT i.timeout_set AND {_risky()} IS NOT NULL",
             _say("", _risky(), " without an earlier SET lock_timeout may wait for locks without end."),
-            "Put SET lock_timeout before it.",
+            "Put SET lock_timeout before it.", verbs=("ALTER", "CREATE", "DROP", "TRUNCATE", "CLUSTER", "VACUUM", "REINDEX"),
         ),
         Rule(
             "SA014", "warn", f"{_IS_VACUUM_FULL} OR i.verb = 'CLUSTER'",
             _say("", "if(i.verb = 'VACUUM', 'VACUUM FULL', 'CLUSTER')", " of ", rewritten, " rewrites it under an exclusive lock."),
-            "Use plain VACUUM or an online repack.",
+            "Use plain VACUUM or an online repack.", verbs=("VACUUM", "CLUSTER"),
         ),
         Rule(
             "SA015", "warn", f"i.rest <> '' AND ({_like('i.rest', _RENAME_TABLE)} OR {_like('i.rest', _RENAME_COLUMN)})", renamed,
-            "Keep both names visible until all code has moved.",
+            "Keep both names visible until all code has moved.", verbs=("ALTER",),
         ),
         Rule(
             "SA016", "error", f"i.action_verb = 'ADD' AND {_like('i.action', f'(?i)^ADD (?:CONSTRAINT {_N} )?CHECK\\b')} AND {_VALIDATES}",
             _say('CHECK "', _CONSTRAINT_NAME, '" on table "', "i.relation", '" without NOT VALID scans it under a lock.'),
-            _VALIDATE_HINT, "action",
+            _VALIDATE_HINT, "action", verbs=("ADD",),
         ),
         Rule(
             "SA017", "warn", "i.action_verb = 'ALTER' AND " + _like("i.action", _ALTER_COLUMN + "SET NOT NULL"),
             _say('SET NOT NULL on column "', _ALTERED, '" of table "', "i.relation", '" scans the table.'),
-            "Validate a CHECK (column IS NOT NULL) first.", "action", "hybrid",
+            "Validate a CHECK (column IS NOT NULL) first.", "action", "hybrid", verbs=("ALTER",),
         ),
         Rule(
             "SA018", "warn",
             f"i.action_verb = 'ADD' AND {_like('i.action', f'(?i)^ADD (?:CONSTRAINT {_N} )?PRIMARY KEY')} AND NOT {_like('i.action', '(?i)PRIMARY KEY USING INDEX (?!TABLESPACE)')}",
             _say('PRIMARY KEY on "', "i.relation", '" (', key_columns, ") without USING INDEX builds the index under an exclusive lock."),
-            "Build a unique index concurrently, then add the key USING INDEX.", "action", "hybrid",
+            "Build a unique index concurrently, then add the key USING INDEX.", "action", "hybrid", verbs=("ADD",),
         ),
         Rule(
             "SA019", "warn", _reindex(False),
             _say("REINDEX of ", f"lower({_part('i.stmt', _REINDEX, 2)})", ' "', _REINDEXED, '" without CONCURRENTLY takes an exclusive lock.'),
-            _CONCURRENTLY_HINT,
+            _CONCURRENTLY_HINT, verbs=("REINDEX",),
         ),
         Rule(
             "SA020", "error", f"NOT i.no_txn AND ({_create_index(True)} OR {_drop('INDEX', True)} OR {_reindex(True)})",
             _say("", concurrent, " cannot run inside a transaction."),
-            "Mark the script with a no-transaction comment.",
+            "Mark the script with a no-transaction comment.", verbs=("CREATE", "DROP", "REINDEX"),
         ),
         Rule(
             "SA021", "warn", "i.verb = 'LOCK'",
             _say("LOCK TABLE ", _or(T.name_list_sql(_part("i.stmt", _LOCK)), "unknown"), " in ", _or(f"upper({_part('i.stmt', _LOCK, 2)})", "ACCESS EXCLUSIVE"), " mode."),
-            "Avoid explicit locks; if needed take the weakest mode with a lock_timeout.",
+            "Avoid explicit locks; if needed take the weakest mode with a lock_timeout.", verbs=("LOCK",),
         ),
     ])
 
 
 def findings_column(items: str, rules: Iterable[Rule]) -> Column:
     """All findings of a script as one array; ``items`` names the column of ``items_column``."""
+    rules = list(rules)
+    nothing = f"CAST(array() AS {FINDING_ARRAY})"
 
     def hit(rule: Rule) -> str:
-        scope = "i.action_no > 0" if rule.each == "action" else "i.action_no = 0"
         hint = "null" if rule.suggestion is None else "'" + rule.suggestion.replace("'", r"\'") + "'"
-        return f"""CASE WHEN {scope} AND ({rule.when}) THEN named_struct('rule', '{rule.id}', 'severity', '{rule.severity}',
+        return f"""CASE WHEN {rule.when} THEN named_struct('rule', '{rule.id}', 'severity', '{rule.severity}',
             'message', {rule.message}, 'suggestion', {hint}, 'stmt_no', i.stmt_no, 'action_no', i.action_no,
             'line', i.line, 'column', i.column) END"""
 
-    hits = ", ".join(hit(rule) for rule in rules)
-    if not hits:
-        return F.array().cast(FINDING_ARRAY)
-    return F.expr(f"flatten(transform({items}, i -> array_compact(array({hits}))))").cast(FINDING_ARRAY)
+    def hits(chosen: list[Rule]) -> str:
+        return "array_compact(array(" + ", ".join(hit(r) for r in chosen) + "))" if chosen else nothing
+
+    def branches(each: str, verb: str) -> str:
+        """One branch per first word, holding the rules for it; other words try the general rules."""
+        scoped = [r for r in rules if r.each == each]
+        words = sorted({v for r in scoped for v in r.verbs})
+        general = hits([r for r in scoped if not r.verbs])
+        listed = " ".join(f"WHEN '{w}' THEN {hits([r for r in scoped if not r.verbs or w in r.verbs])}" for w in words)
+        return f"CASE {verb} {listed} ELSE {general} END" if words else general
+
+    per_item = f"if(i.action_no = 0, {branches('statement', 'i.verb')}, {branches('action', 'i.action_verb')})"
+    return F.expr(f"flatten(transform({items}, i -> {per_item}))").cast(FINDING_ARRAY)
 
 
 def dml_table_column(item: Column) -> Column:
