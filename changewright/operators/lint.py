@@ -287,7 +287,7 @@ def lint(
     else:
         scripts = scripts.withColumn("_skips", F.lit(None).cast("array<string>"))
     scripts = scripts.withColumn("_skips", F.coalesce("_skips", F.array().cast("array<string>")))
-    visible = scripts.where(F.trim(F.regexp_replace(T.mask_metacommands(F.col("sql")), r"\s+", " ")) != "")
+    visible = scripts.where(F.exists(F.split("sql", "\n"), lambda l: l.rlike(r"\S") & ~T.is_metacommand(l)))
 
     out = _lint_static(visible, static, [r.id for r in connected], known)
     if connected:
