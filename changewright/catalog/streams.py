@@ -47,7 +47,7 @@ def history_stream(s, d):
 LIMIT_MS = 4 * 3600 * 1000
 
 
-@query("heartbeat_stream", f"""WITH b AS (SELECT user_id AS job_id, max(epoch_ms(ts)) AS ms FROM events WHERE event_type IN ('view', 'click') GROUP BY 1)
+@query("heartbeat_stream", f"""WITH b AS (SELECT user_id AS job_id, max(epoch_us(ts) // 1000) AS ms FROM events WHERE event_type IN ('view', 'click') GROUP BY 1)
 SELECT job_id, ms AS last_ms FROM b WHERE ms + {LIMIT_MS} <= (SELECT max(ms) FROM b)""")
 def heartbeat_stream(s, d):
     s.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
