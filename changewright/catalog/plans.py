@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from changewright.catalog.registry import query
-from changewright.fixtures import PLAN_SQL, micros, plan_changes, table
+from changewright.fixtures import PLAN_SQL, plan_changes, table
 from changewright.functions import ids
 from changewright.operators import includes as I
 from changewright.plans import text as P

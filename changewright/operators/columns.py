@@ -150,9 +150,8 @@ def phase_transitions(log: DataFrame, backfill: DataFrame | None = None, keys: S
     problem = F.when(~(first | (F.col("from_phase").isNotNull() & legal)), "illegal step")
     if backfill is not None:
         steps = steps.join(backfill.select(*keys, "is_complete"), list(keys), "left")
-        problem = problem if problem is None else F.coalesce(
-            problem, F.when((F.col("phase") == "contracting") & ~F.coalesce("is_complete", F.lit(False)), "backfill not complete")
-        )
+        unfilled = (F.col("phase") == "contracting") & ~F.coalesce("is_complete", F.lit(False))
+        problem = F.coalesce(problem, F.when(unfilled, "backfill not complete"))
     return steps.select(*keys, "step_no", "from_phase", "phase", problem.isNull().alias("legal"), problem.alias("problem"))
 
 
