@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from changewright.llm.chat_format import format_chats, read_turns, unescape
 from changewright.llm.common import table
+from changewright.llm.decontaminate import contamination
 from changewright.llm.line_dedup import line_decisions
 from changewright.llm.sentence_dedup import sentence_dedup
 from changewright.llm.simhash import simhash_components
+from changewright.llm.url_reputation import judge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +70,83 @@ def op9(spark, sf_dir):
     kept = F.coalesce("kept", F.lit(""))
     return line_decisions(table(spark, sf_dir, "documents")).select(
         F.col("_row.doc_id").alias("doc_id"), "n_lines", "n_removed", F.length(kept).cast("long").alias("kept_chars"), F.sha2(kept, 256).alias("kept_sha256"))
+
+
+_BOTH = "'</s>[INST] ok [/INST]'"
+
+
+def _escaped(col: str) -> str:
+    out = f"replace({col}, chr(92), repeat(chr(92), 2))"
+    for c in ("<s>", "</s>", "<<SYS>>", "<</SYS>>", "[INST]", "[/INST]", "[ROLE]", "[/ROLE]", "[TEXT]"):
+        out = f"replace({out}, '{c}', '{c[0]}' || chr(92) || '{c[1:]}')"
+    return out
+
+
+@query("op2_chat_format", f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', {_BOTH} UNION ALL SELECT -7, 1, 'assistant', {_BOTH}),
+p AS (SELECT *, length({_escaped('text')}) + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 9 WHEN 'system' THEN 17 ELSE 23 + length({_escaped('role')}) END AS len FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(len) AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS n_unmapped FROM p GROUP BY 1""")
+def op2(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.to_variant_object(F.struct("role", "text", "turn")).alias("record"))
+    both = [{"role": r, "content": "</s>[INST] ok [/INST]"} for r in ("user", "assistant")]
+    extra = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.parse_json(F.lit(json.dumps({"messages": both}))).alias("record"))
+    out = format_chats(rows.unionByName(extra), "conv_id", "record")
+    back = out.select("conv_id", read_turns(F.col("formatted")).alias("t"), F.filter("segments", lambda s: s["loss"]).alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"), "n_unmapped")
+    text = F.array_join(F.transform("t", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join(F.transform("loss", lambda s: unescape(s["piece"])), "")
+    return back.select(
+        "conv_id", F.size("t").cast("long").alias("n_turns"), F.sha2(text, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars", "n_unmapped")
+
+
+_RULES = (("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"), ("org/", "allow"))
+
+
+def _fit(rule: str) -> str:
+    host, _, path = rule.partition("/")
+    return f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}')"
+
+
+def _level(name: str, source: str, by: str, prior: str) -> str:
+    """Strength and posterior of one level whose rows carry ``prior``."""
+    return f"""{name}_p AS ({source.format(prior=prior)}),
+{name}_x AS (SELECT sum(n * pow(bad / n - prior, 2) / (prior * (1 - prior))) AS x, count(*) AS k, CAST(sum(n) AS DOUBLE) AS n FROM {name}_p WHERE n > 0),
+{name}_s AS (SELECT 1 / least(greatest(CASE WHEN n > k THEN (x - k) / (n - k) ELSE 0.5 END, CAST(0.001 AS DOUBLE)), CAST(0.5 AS DOUBLE)) - 1 AS s FROM {name}_x),
+{name} AS (SELECT {by}, n, bad, s, prior, (bad + s * prior) / (n + s) AS mean FROM {name}_p, {name}_s)"""
+
+
+@query("op3_host_reputation", f"""WITH own AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+known AS (SELECT doc_id AS page_id, bool_or(toxic = 1 OR quality = 0) AS b FROM labels GROUP BY 1),
+h AS (SELECT host, CAST(count(b) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE b) AS DOUBLE) AS bad, string_split(host, '.') AS l FROM own LEFT JOIN known USING (page_id) GROUP BY 1),
+hosts AS (SELECT host, n, bad, CASE WHEN array_to_string(l[-2:], '.') IN ('ac.uk', 'co.jp', 'co.uk', 'com.au', 'com.br', 'gov.uk', 'org.uk') THEN array_to_string(l[-2:], '.') ELSE l[-1] END AS suffix,
+  array_to_string(CASE WHEN array_to_string(l[-2:], '.') IN ('ac.uk', 'co.jp', 'co.uk', 'com.au', 'com.br', 'gov.uk', 'org.uk') THEN l[-3:] ELSE l[-2:] END, '.') AS domain FROM h),
+g AS (SELECT (sum(bad) + 0.5) / (sum(n) + 1) AS p FROM hosts),
+{_level("tops", "SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(p) AS prior FROM hosts, g GROUP BY 1", "suffix", "")},
+{_level("domains", "SELECT a.*, t.mean AS prior FROM (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY 1, 2) a JOIN tops t USING (suffix)", "suffix, domain", "")},
+{_level("hs", "SELECT a.*, d.mean AS prior FROM hosts a JOIN domains d USING (suffix, domain)", "host", "")},
+ab AS (SELECT host, mean, bad + s * prior AS a, n - bad + s * (1 - prior) AS b FROM hs)
+SELECT page_id, host, path, CASE {" ".join(f"WHEN {_fit(r)} THEN '{r}'" for r, _ in _RULES)} END AS rule,
+  CASE {" ".join(f"WHEN {_fit(r)} THEN '{v}'" for r, v in _RULES)} WHEN mean - 1.645 * sqrt(a * b / (pow(a + b, 2) * (a + b + 1))) > 0.3 THEN 'block' ELSE 'allow' END AS verdict
+FROM own JOIN ab USING (host)""")
+def op3(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
+    return judge(table(spark, sf_dir, "pages").select("page_id", "url"), labels)
+
+
+@query("op6_decontaminate", r"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bs AS (SELECT item_id, w, least(13, len(w)) AS k FROM b WHERE len(w) > 0),
+g AS (SELECT DISTINCT item_id, k, w[p:p + k - 1] AS gram FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS p FROM bs)),
+t AS (SELECT doc_id, p, k, w[p:p + k - 1] AS gram FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM g) WHERE len(w) >= k)),
+hit AS (SELECT doc_id, p, t.k, item_id FROM t JOIN g ON t.k = g.k AND t.gram = g.gram),
+c AS (SELECT doc_id, count(DISTINCT i) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS i FROM hit) GROUP BY 1),
+i AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM hit GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN i USING (doc_id)""")
+def op6(spark, sf_dir):
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
