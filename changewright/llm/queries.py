@@ -5,12 +5,15 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from changewright.llm.bpe import encode_documents
 from changewright.llm.chat_format import format_chats, read_turns, unescape
 from changewright.llm.common import table
 from changewright.llm.decontaminate import contamination
+from changewright.llm.language_id import identify_languages
 from changewright.llm.line_dedup import line_decisions
 from changewright.llm.sentence_dedup import sentence_dedup
 from changewright.llm.simhash import simhash_components
@@ -150,3 +153,23 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 def op6(spark, sf_dir):
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def token_digests(docs):
+    out = encode_documents(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return out.select(
+        "doc_id", F.size("tokens").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("tokens").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op7_byte_bpe")
+def op7(spark, sf_dir):
+    return token_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op1_language_id")
+def op1(spark, sf_dir):
+    return identify_languages(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
