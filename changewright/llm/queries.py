@@ -17,6 +17,7 @@ from changewright.llm.language_id import identify_languages
 from changewright.llm.line_dedup import line_decisions
 from changewright.llm.sentence_dedup import sentence_dedup
 from changewright.llm.simhash import simhash_components
+from changewright.llm.suffix_dedup import suffix_dedup
 from changewright.llm.url_reputation import judge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +174,10 @@ def op7(spark, sf_dir):
 @query("op1_language_id")
 def op1(spark, sf_dir):
     return identify_languages(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op10_suffix_dedup")
+def op10(spark, sf_dir):
+    out = suffix_dedup(table(spark, sf_dir, "documents"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
