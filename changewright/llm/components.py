@@ -7,6 +7,7 @@ minima before its edges move, and joins with it are plain equi-joins that adapti
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,3 +48,20 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         now = after
     roots = now.groupBy("u").agg(F.min("v").alias("root"))
     return roots.select(F.col("u").alias("node"), "root").unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For edges among lanes 0..n-1, each linked lane with the least lane of its component (vectorised label passing)."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        before = root.copy()
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        np.minimum.at(root, before[a], low)
+        np.minimum.at(root, before[b], low)
+        root = root[root]
+        if np.array_equal(root, before):
+            break
+    lanes = np.flatnonzero(root != np.arange(n))
+    return lanes, root[lanes]

@@ -15,6 +15,7 @@ from changewright.llm.common import table
 from changewright.llm.decontaminate import contamination
 from changewright.llm.language_id import identify_languages
 from changewright.llm.line_dedup import line_decisions
+from changewright.llm.multi_index import near_vectors
 from changewright.llm.sentence_dedup import sentence_dedup
 from changewright.llm.simhash import simhash_components
 from changewright.llm.suffix_dedup import suffix_dedup
@@ -181,3 +182,8 @@ def op10(spark, sf_dir):
     out = suffix_dedup(table(spark, sf_dir, "documents"))
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op4_multi_index")
+def op4(spark, sf_dir):
+    return near_vectors(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from changewright.llm.common import KEY, cut, keyed, unpack, with_row
-from changewright.llm.components import connected_components
+from changewright.llm.components import connected_components, forest
 
 SHINGLE, RADIUS, BLOCKS = 3, 3, 6
 SEED = 42
@@ -96,23 +96,6 @@ def _near(left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
     return np.unpackbits(bad.view(np.uint8), bitorder="little")[: len(left)] == 0
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """For edges among lanes 0..n-1, each linked lane with the least lane of its component (vectorised label passing)."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        before = root.copy()
-        np.minimum.at(root, a, low)
-        np.minimum.at(root, b, low)
-        np.minimum.at(root, before[a], low)
-        np.minimum.at(root, before[b], low)
-        root = root[root]
-        if np.array_equal(root, before):
-            break
-    lanes = np.flatnonzero(root != np.arange(n))
-    return lanes, root[lanes]
-
-
 def bucket_links(bucket: np.ndarray, fps: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links inside the buckets of a block sorted by bucket, as (lane, least lane of its component).
 
@@ -133,7 +116,7 @@ def bucket_links(bucket: np.ndarray, fps: np.ndarray, side: np.ndarray, radius:
         shift += 1
         lanes = lanes[lanes + shift < size]
         lanes = lanes[bucket[lanes] == bucket[lanes + shift]]
-    return _forest(np.concatenate(found_a), np.concatenate(found_b), size)
+    return forest(np.concatenate(found_a), np.concatenate(found_b), size)
 
 
 def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
