@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from changewright.llm.common import keyed, unpack
+from changewright.llm.common import keyed
 
 UNKNOWN = "und"
 GRAMS, BITS = (1, 2, 3), 15
