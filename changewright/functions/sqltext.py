@@ -21,11 +21,12 @@ _METACOMMAND = r"^\\(?:[a-zA-Z_]|!(?:\w|\s|$))"
 
 # First words of the statements a script may hold.
 COMMANDS = (
-    "ABORT ALTER ANALYZE ANALYSE BEGIN CALL CHECKPOINT CLOSE CLUSTER COMMENT COMMIT COPY CREATE DEALLOCATE DECLARE "
-    "DELETE DISCARD DO DROP END EXECUTE EXPLAIN FETCH GRANT IMPORT INSERT LISTEN LOAD LOCK MERGE MOVE NOTIFY PREPARE "
-    "REASSIGN REFRESH REINDEX RELEASE RESET REVOKE ROLLBACK SAVEPOINT SECURITY SELECT SET SHOW START TABLE TRUNCATE "
-    "UNLISTEN UPDATE VACUUM VALUES WITH"
-).split()
+    "ABORT", "ALTER", "ANALYZE", "ANALYSE", "BEGIN", "CALL", "CHECKPOINT", "CLOSE", "CLUSTER", "COMMENT", "COMMIT",
+    "COPY", "CREATE", "DEALLOCATE", "DECLARE", "DELETE", "DISCARD", "DO", "DROP", "END", "EXECUTE", "EXPLAIN",
+    "FETCH", "GRANT", "IMPORT", "INSERT", "LISTEN", "LOAD", "LOCK", "MERGE", "MOVE", "NOTIFY", "PREPARE", "REASSIGN",
+    "REFRESH", "REINDEX", "RELEASE", "RESET", "REVOKE", "ROLLBACK", "SAVEPOINT", "SECURITY", "SELECT", "SET", "SHOW",
+    "START", "TABLE", "TRUNCATE", "UNLISTEN", "UPDATE", "VACUUM", "VALUES", "WITH",
+)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

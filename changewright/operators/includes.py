@@ -13,7 +13,8 @@ from changewright.operators import ordered
 from changewright.session import cut
 
 MAX_DEPTH = 64
-_INCLUDE = r"^[ \t]*\\(i|ir|include|include_relative)\s+(.+)$"
+# The words of an include line, relative to the root and to the including file.
+FROM_ROOT, FROM_FILE = ("i", "include"), ("ir", "include_relative")
 # A block comment that begins its line hides everything up to the line where it ends.
 _CHUNK = r"(?m)^[ \t\r\f]*/(?=\*)(?s:.*?)(?:\*/[^\n]*+|\z)|[^\n]*+\n|[^\n]++"
 
@@ -31,10 +32,11 @@ def _clean_path(raw: Column) -> Column:
 
 def directive_column(line: Column) -> Column:
     """(type, path) of an include line, null for other lines."""
-    word = F.regexp_extract(line, _INCLUDE, 1)
-    kind = F.when(word.isin("ir", "include_relative"), "ir").otherwise("i")
-    found = F.struct(kind.alias("type"), _clean_path(F.regexp_extract(line, _INCLUDE, 2)).alias("path"))
-    return F.when(line.rlike(_INCLUDE), found)
+    words = F.split(F.ltrim(line, F.lit(" \t")), r"\s+", 2)
+    word, rest = F.substr(words[0], F.lit(2)), F.get(words, F.lit(1))
+    kind = F.when(word.isin(*FROM_FILE), "ir").when(word.isin(*FROM_ROOT), "i")
+    found = words[0].startswith("\\") & kind.isNotNull() & (F.coalesce(rest, F.lit("")) != "")
+    return F.when(found, F.struct(kind.alias("type"), _clean_path(rest).alias("path")))
 
 
 def normal_path(path: Column) -> Column:

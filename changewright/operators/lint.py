@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from changewright.functions import sqltext as T
 from changewright.operators.rules import FINDING_ARRAY, RuleSet, default_rules, dml_table_column, findings_column, items_column, parsed
 
-# ``-- <tool>:disable A,B``; any tool name is accepted.
-_DIRECTIVE = r"--\s*[\w-]+:(disable|enable)\s+([\w,\s]+)"
+# Fixed values: ``-- <tool>:disable A,B`` and its end; any tool name is accepted.
+ACTIONS = ("disable", "enable")
 _NO_TXN = r"(?i)--\s*[\w-]+:no-transaction"
 _NEVER = 2**31 - 1
 
@@ -71,19 +71,28 @@ def directives_column(sql: Column) -> Column:
     ``inline``: a disable behind a statement, which covers its own line only.
     """
 
+    def parts(comment: Column) -> Column:
+        words = F.split(F.ltrim(comment, F.lit(" \t\r\f")), r"\s+", 2)
+        mark = F.split(words[0], ":")
+        rules = F.regexp_extract(F.get(words, F.lit(1)), r"^[\w,\s]+", 0)
+        fits = (F.size(mark) == 2) & mark[0].rlike(r"^[\w-]+$") & F.get(mark, F.lit(1)).isin(*ACTIONS) & (rules != "")
+        return F.struct(F.coalesce(fits, F.lit(False)).alias("is"), F.get(mark, F.lit(1)).alias("action"), rules.alias("rules"))
+
     def one(line: Column, i: Column) -> Column:
-        ids = F.transform(F.split(F.regexp_extract(line, _DIRECTIVE, 2), ","), lambda r: F.trim(F.regexp_replace(r, r"\s+", " ")))
-        action = F.regexp_extract(line, _DIRECTIVE, 1)
-        before = F.trim(F.regexp_replace(F.substring_index(line, "--", 1), r"\s", " "))
+        pieces = F.split(line, "--")
+        comment = F.get(F.filter(F.transform(F.slice(pieces, 2, F.size(pieces)), parts), lambda c: c["is"]), F.lit(0))
+        ids = F.transform(F.split(comment["rules"], ","), lambda r: F.trim(F.regexp_replace(r, r"\s+", " ")))
+        before = F.trim(F.regexp_replace(pieces[0], r"\s", " "))
         return F.struct(
             (i + 1).alias("line"),
-            action.alias("action"),
+            F.coalesce(comment["action"], F.lit("")).alias("action"),
             F.filter(ids, lambda r: r != "").alias("rules"),
-            ((action == "disable") & (before != "")).alias("inline"),
+            ((comment["action"] == "disable") & (before != "")).alias("inline"),
         )
 
     marked = F.transform(F.split(sql, "\n"), one)
-    return F.when(sql.rlike(_DIRECTIVE), F.filter(marked, lambda d: d["action"] != "")).otherwise(
+    maybe = sql.contains(":disable") | sql.contains(":enable")
+    return F.when(maybe, F.filter(marked, lambda d: d["action"] != "")).otherwise(
         F.array().cast("array<struct<line:int,action:string,rules:array<string>,inline:boolean>>")
     )
 

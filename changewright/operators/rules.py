@@ -18,9 +18,9 @@ from changewright.functions import sqltext as T
 
 # Functions whose result differs per row or call.
 VOLATILE = (
-    "random gen_random_uuid clock_timestamp txid_current timeofday uuid_generate_v1 uuid_generate_v1mc "
-    "uuid_generate_v4 statement_timestamp setseed nextval currval lastval"
-).split()
+    "random", "gen_random_uuid", "clock_timestamp", "txid_current", "timeofday", "uuid_generate_v1", "uuid_generate_v1mc",
+    "uuid_generate_v4", "statement_timestamp", "setseed", "nextval", "currval", "lastval",
+)
 
 _N = T.NAME
 _ALTER_TABLE = rf"(?i)^ALTER TABLE (?:IF EXISTS )?(?:ONLY )?({_N})(?: ?\*)? (.+)$"
