@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from changewright.catalog.registry import query
 from changewright.fixtures import JOB_EVENTS_SQL, JOBS_SQL, job_events, jobs, micros, table
 from changewright.functions import values as V
 from changewright.operators import backfill as B
+from changewright.session import checkpoint_dir
 
 J, JE = "WITH " + JOBS_SQL, "WITH " + JOB_EVENTS_SQL
 NOW = "1999-06-01 00:00:00"
@@ -219,3 +222,24 @@ def mask_uri(s, d):
         .otherwise(F.concat(F.lit("postgres://"), user, F.lit("@h/z")))
     )
     return table(s, d, "events").select("event_id", V.mask_uri(uri).alias("masked"))
+
+
+@query("run_backfill", "SELECT o_orderkey, o_totalprice * 2 AS doubled FROM orders")
+def run_backfill(s, d):
+    """Half of the table, then the rest by ``last_pk`` with another size, then all ranges once more with a third."""
+    folder = f"{checkpoint_dir(s)}/{uuid.uuid4().hex}"
+    orders = table(s, d, "orders").select("o_orderkey", "o_totalprice")
+    half = orders.agg(F.percentile_approx("o_orderkey", 0.5)).first()[0]
+
+    def run(rows, batches):
+        def doubled(x):
+            return x.select("o_orderkey", (F.col("o_totalprice") * 2).alias("doubled"), "commit_no")
+
+        B.run_backfill(rows, "o_orderkey", doubled, batches, f"{folder}/out", f"{folder}/log", batches_per_commit=7)
+
+    if half is not None:
+        early = orders.where(F.col("o_orderkey") <= half)
+        run(early, B.plan_batches(early, "o_orderkey", 500))
+        run(orders, B.plan_batches(orders, "o_orderkey", 700, last_pk=half))
+        run(orders, B.plan_batches(orders, "o_orderkey", 300))
+    return B.backfilled(s, f"{folder}/out", f"{folder}/log")

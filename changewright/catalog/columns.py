@@ -79,20 +79,34 @@ def sync_update(s, d):
 
 
 def change_rows(s, d):
-    """Two images per touched customer (only the later counts), deletes, and inserts under negative keys."""
+    """Two images per touched customer, then deletes, of which every other comes back, and inserts under negative keys."""
     _, after = _images(s, d)
     nation = table(s, d, "customer").select("c_custkey", "c_nationkey")
     rows = after.join(nation, "c_custkey")
     last = rows.select("c_custkey", "c_acctbal", "balance", F.when(F.col("c_nationkey") == 5, "delete").otherwise("update").alias("op"), F.lit(2).alias("seq"))
     first = rows.select("c_custkey", (F.col("c_acctbal") * 0).alias("c_acctbal"), "balance", F.lit("update").alias("op"), F.lit(1).alias("seq"))
+    back = rows.where("c_nationkey = 5 and c_custkey % 2 = 0").select("c_custkey", "c_acctbal", F.lit(None).cast("decimal(15,2)").alias("balance"), F.lit("insert").alias("op"), F.lit(3).alias("seq"))
     fresh = _inserted(s, d).select((-F.col("c_custkey") - 1).alias("c_custkey"), "c_acctbal", "balance", F.lit("insert").alias("op"), F.lit(1).alias("seq"))
-    return last.unionByName(first).unionByName(fresh)
+    return last.unionByName(first).unionByName(back).unionByName(fresh)
 
 
-@query("apply_changes", f"""WITH {IMAGES}, {SYNCED}, i AS (SELECT -c_custkey - 1 AS c_custkey, CASE WHEN c_nationkey % 4 IN (0, 2) THEN c_acctbal END AS c_acctbal,
-  CAST(CASE WHEN c_nationkey % 4 IN (1, 2) THEN c_custkey END AS DECIMAL(15, 2)) AS balance FROM customer)
-SELECT s.* FROM synced s JOIN customer c USING (c_custkey) WHERE c.c_nationkey <> 5
-UNION ALL SELECT c_custkey, coalesce(c_acctbal, CAST(balance AS DOUBLE)), coalesce(balance, {FWD}) FROM i""")
+def _step(name: str, source: str, old: str, new: str, was_old: str, was_new: str) -> str:
+    """One image against the row before it."""
+    return f"""{name} AS (SELECT c_custkey, CASE WHEN {old} IS DISTINCT FROM {was_old} THEN {old} WHEN {new} IS DISTINCT FROM {was_new} THEN CAST({new} AS DOUBLE) ELSE {old} END AS o,
+  CASE WHEN {old} IS DISTINCT FROM {was_old} THEN CAST({old} AS DECIMAL(15, 2)) ELSE {new} END AS n FROM {source})"""
+
+
+#: Row by row, whatever the batches.
+APPLIED = f"""WITH {IMAGES}, i AS (SELECT -c_custkey - 1 AS c_custkey, CASE WHEN c_nationkey % 4 IN (0, 2) THEN c_acctbal END AS c_acctbal,
+  CAST(CASE WHEN c_nationkey % 4 IN (1, 2) THEN c_custkey END AS DECIMAL(15, 2)) AS balance FROM customer),
+{_step("s1", "after a JOIN before b USING (c_custkey)", "a.c_acctbal * 0", "a.balance", "b.c_acctbal", "b.balance")},
+{_step("s2", "after a JOIN s1 USING (c_custkey)", "a.c_acctbal", "a.balance", "s1.o", "s1.n")}
+SELECT c_custkey, CASE WHEN c_nationkey = 5 THEN a.c_acctbal ELSE o END AS c_acctbal, CASE WHEN c_nationkey = 5 THEN CAST(a.c_acctbal AS DECIMAL(15, 2)) ELSE n END AS balance
+FROM s2 JOIN after a USING (c_custkey) JOIN (SELECT c_custkey, c_nationkey FROM customer) USING (c_custkey) WHERE c_nationkey <> 5 OR c_custkey % 2 = 0
+UNION ALL SELECT c_custkey, coalesce(c_acctbal, CAST(balance AS DOUBLE)), coalesce(balance, {FWD}) FROM i"""
+
+
+@query("apply_changes", APPLIED)
 def apply_changes(s, d):
     before, _ = _images(s, d)
     return X.apply_changes(before, change_rows(s, d), ["c_custkey"], CHANGE, ["seq"])

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_OPEN, _CLOSE = "\x01", "\x02"
+_OPEN, _CLOSE, _HIDDEN = "\x01", "\x02", "\x03"
 _ID = r"(?:\"[^\"]+\"|[\w$\x80-\uffff]+)"
 NAME = rf"{_ID}(?:\.{_ID})*"
 _METACOMMAND = r"^\\(?:[a-zA-Z_]|!(?:\w|\s|$))"
@@ -44,6 +44,7 @@ def _parens(depth: int) -> str:
     return rf"\((?:{inner})*+\)"
 
 
+# Comments of the usual depth are one token; a deeper one leaves its mark and the script is lexed by a fold.
 # Possessive loops throughout: a literal of many megabytes must not recurse.
 _TOKEN = "(?s)" + "|".join((
     r"--[^\n]*+",
@@ -55,6 +56,7 @@ _TOKEN = "(?s)" + "|".join((
     r"[^'\"$/-]++",
     r".",
 ))
+#: Parentheses of the usual depth in one match; what is deeper is left over and goes through a fold that counts.
 PARENS = _parens(5)
 _ITEM = rf"(?:[^,()]++|{PARENS})++"
 
@@ -85,11 +87,80 @@ def _mask_token(tok: Column) -> Column:
     )
 
 
+#: Pieces at which the lexer may change its state.
+_PIECE = r"(?s)--|/\*|\*/|\n|\\.|['\"]|\$(?:[A-Za-z_]\w*)?\$|[^-/*\n\\'\"$]++|."
+
+
+def _lexed(clean: Column) -> Column:
+    """``mask`` by a fold over pieces that carries quote and comment depth, for comments of any depth.
+
+    The text so far is copied with every piece, so this is for scripts that the token pattern leaves over.  Null if
+    a comment stays open.
+    """
+    start = F.struct(F.lit("").alias("mode"), F.lit(0).alias("depth"), F.lit("").alias("last"), F.lit("").alias("out"))
+
+    def step(a: Column, p: Column) -> Column:
+        mode, depth, last = a["mode"], a["depth"], a["last"]
+        code, nested = mode == "", mode == "/*"
+        dollar = (F.length(p) > 1) & p.startswith("$") & p.endswith("$")
+        escaped = last.rlike(r"(?:^|\W)[eE]$")
+        # in a plain literal a backslash is a character, so the piece behind it may hold the closing quote
+        shuts = ((mode == "'") & p.endswith("'")) | ((mode == "E") & (p == "'")) | ((mode == '"') & p.endswith('"')) | (mode.startswith("$") & (p == mode)) | ((mode == "--") & (p == "\n"))
+        opens = F.when(p == "--", "--").when(p == "/*", "/*").when((p == "'") & escaped, "E").when(p == "'", "'").when(p == '"', '"').when(dollar & ~last.rlike(r"[\w$]$"), p)
+        inner = F.when(p == "/*", depth + 1).when(p == "*/", depth - 1).otherwise(depth)
+        next_mode = F.when(code, F.coalesce(opens, F.lit(""))).when(nested, F.when(inner > 0, "/*").otherwise("")).when(shuts, "").otherwise(mode)
+        next_depth = F.when(code, F.when(p == "/*", 1).otherwise(0)).when(nested, inner).otherwise(0)
+        blank = _blank(p)
+        opened = F.when(opens.isin("--", "/*"), blank).when(opens.startswith("$"), F.concat(F.lit("$"), _blank(F.substr(p, F.lit(2))))).otherwise(p)
+        closed = F.when(mode.startswith("$"), F.concat(_blank(F.substr(p, F.lit(2))), F.lit("$"))).when(mode == "--", p).otherwise(F.concat(_blank(F.substr(p, F.lit(1), F.length(p) - 1)), F.right(p, F.lit(1))))
+        quoted = F.translate(p, ";,()", "____")
+        text = F.when(code, F.when(opens.isNotNull(), opened).otherwise(p)).when(mode == '"', quoted).when(shuts, closed).otherwise(blank)
+        return F.struct(next_mode.alias("mode"), next_depth.alias("depth"), p.alias("last"), F.concat(a["out"], text).alias("out"))
+
+    return F.aggregate(F.regexp_extract_all(clean, F.lit(_PIECE), 0), start, step, lambda a: F.when(a["mode"] != "/*", a["out"]))
+
+
 def mask(sql: Column) -> Column:
     """Blank comments, literals and bodies; length and line breaks are kept."""
-    clean = F.translate(mask_metacommands(sql), _OPEN + _CLOSE, "  ")
+    clean = F.translate(mask_metacommands(sql), _OPEN + _CLOSE + _HIDDEN, "   ")
+
+    def checked(masked: Column) -> Column:
+        return F.when(masked.contains("/*"), F.coalesce(_lexed(clean), masked)).otherwise(masked)
+
     tokens = F.regexp_extract_all(clean, F.lit(_TOKEN), 0)
-    return F.array_join(F.transform(tokens, _mask_token), "")
+    return let(F.array_join(F.transform(tokens, _mask_token), ""), checked)
+
+
+#: Pieces at which the depth of a statement may change.
+_NESTING = r"(?is)\"[^\"]*+\"|\bBEGIN\s+ATOMIC\b|[\w$]++|[();]|[^\w$();\"]++|."
+
+
+def _hide_inner_ends(masked: Column) -> Column:
+    """Semicolons inside parentheses or a ``BEGIN ATOMIC`` body become a mark: they end no statement."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("body"), F.lit("").alias("out"))
+
+    def step(a: Column, p: Column) -> Column:
+        word, body = F.upper(p), a["body"]
+        inside = (a["depth"] > 0) | (body > 0)
+        return F.struct(
+            F.when(p == "(", a["depth"] + 1).when(p == ")", F.greatest(a["depth"] - 1, F.lit(0))).otherwise(a["depth"]).alias("depth"),
+            F.when(word.startswith("BEGIN") & (F.length(p) > 5), F.when(word.rlike(r"^BEGIN\s"), body + 1).otherwise(body))
+            .when((body > 0) & (word == "CASE"), body + 1).when((body > 0) & (word == "END"), body - 1).otherwise(body).alias("body"),
+            F.concat(a["out"], F.when((p == ";") & inside, _HIDDEN).otherwise(p)).alias("out"),
+        )
+
+    # text that never closes is a parse error anyhow and is split at every semicolon
+    closed = lambda a: F.when((a["depth"] == 0) & (a["body"] == 0), a["out"]).otherwise(masked)
+    folded = F.aggregate(F.regexp_extract_all(masked, F.lit(_NESTING), 0), start, step, closed)
+
+    def ends(text: Column) -> Column:
+        return F.length(text) - F.length(F.replace(text, F.lit(";")))
+
+    def needed(outer: Column) -> Column:
+        inner = outer.contains("(") | (ends(outer) != ends(masked)) | masked.rlike(r"(?i)\bBEGIN\s+ATOMIC\b")
+        return F.when(inner, folded).otherwise(masked)
+
+    return F.when(masked.contains(";"), let(F.regexp_replace(masked, PARENS, ""), needed)).otherwise(masked)
 
 
 def _mark(line: Column, column: Column) -> Column:
@@ -110,7 +181,7 @@ def _marked_line(line: Column, index: Column) -> Column:
 
 def split_statements(masked: Column) -> Column:
     """Array of ``(line, column, stmt)``: position of the first visible character, text on one line."""
-    marked = F.array_join(F.transform(F.split(masked, "\n"), _marked_line), "\n")
+    marked = F.array_join(F.transform(F.split(_hide_inner_ends(masked), "\n"), _marked_line), "\n")
     # The mark before the first visible character, with the blanks behind it.
     first = rf"(?s)^.*?{_OPEN}(\d+:\d+{_CLOSE}[ \t\r\f]*+)[^\s{_OPEN}]"
 
@@ -120,7 +191,7 @@ def split_statements(masked: Column) -> Column:
             return F.struct(
                 F.substring_index(mark, ":", 1).try_cast("int").alias("line"),
                 (column + F.length(F.substring_index(mark, _CLOSE, -1))).alias("column"),
-                F.trim(F.regexp_replace(chunk, rf"(?:{_OPEN}[^{_CLOSE}]*+{_CLOSE}|\s++)+", " ")).alias("stmt"),
+                F.translate(F.trim(F.regexp_replace(chunk, rf"(?:{_OPEN}[^{_CLOSE}]*+{_CLOSE}|\s++)+", " ")), _HIDDEN, ";").alias("stmt"),
             )
 
         return let(F.regexp_extract(chunk, first, 1), placed)
@@ -155,15 +226,34 @@ def location_column(text: Column, offset: Column) -> Column:
     return F.length(F.substring_index(F.substr(text, F.lit(1), offset), "\n", -1)) + 1
 
 
+def _nested(text: Column, inside: Callable[[Column], Column], edge: Callable[[Column, Column], Column]) -> Column:
+    """Fold over parentheses and what lies between: ``inside`` maps text at depth 1 and more, ``edge`` a parenthesis."""
+    start = F.struct(F.lit(0).alias("d"), F.lit("").alias("out"))
+
+    def step(a: Column, p: Column) -> Column:
+        d = F.when(p == "(", a["d"] + 1).when(p == ")", F.greatest(a["d"] - 1, F.lit(0))).otherwise(a["d"])
+        outer = F.when(p == "(", a["d"] == 0).otherwise(d == 0)
+        return F.struct(d.alias("d"), F.concat(a["out"], F.when(p.isin("(", ")"), edge(p, outer)).when(a["d"] > 0, inside(p)).otherwise(p)).alias("out"))
+
+    return F.aggregate(F.regexp_extract_all(text, F.lit(r"[()]|[^()]++"), 0), start, step, lambda a: a["out"])
+
+
 def flatten_parens(stmt: Column) -> Column:
-    """Every parenthesis at depth 0 becomes ``()``."""
-    once = F.regexp_replace(stmt, PARENS, "()")
-    return F.regexp_replace(once, PARENS, "()")
+    """Every parenthesis at depth 0 becomes ``()``, whatever it holds."""
+    def checked(once: Column) -> Column:
+        deep = F.replace(once, F.lit("()")).contains("(")
+        return F.when(deep, _nested(stmt, lambda p: F.lit(""), lambda p, outer: F.when(outer, p).otherwise(""))).otherwise(once)
+
+    return let(F.regexp_replace(stmt, PARENS, "()"), checked)
 
 
 def top_level_items(text: Column) -> Column:
-    """Comma-separated parts; commas inside parentheses do not split."""
-    return F.transform(F.regexp_extract_all(text, F.lit(_ITEM), 0), lambda i: F.trim(i))
+    """Comma-separated parts; commas inside parentheses of any depth do not split."""
+    items = F.regexp_extract_all(text, F.lit(_ITEM), 0)
+    kept = _nested(text, lambda p: F.translate(p, ",", _HIDDEN), lambda p, outer: p)
+    apart = F.filter(F.transform(F.split(kept, ","), lambda i: F.translate(i, _HIDDEN, ",")), lambda i: i != "")
+    deep = F.regexp_replace(text, PARENS, "").contains("(")
+    return F.transform(F.when(deep, apart).otherwise(items), lambda i: F.trim(i))
 
 
 def full_name(name: Column) -> Column:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changewright.functions.values import interval_seconds
 from changewright.operators import ordered
+from changewright.session import read_table
 
 # Job states and the steps allowed between them.
 STATUSES = ("pending", "running", "paused", "done", "failed", "dead", "cancelled")
@@ -47,13 +48,6 @@ def plan_batches(df: DataFrame, pk: str, size: int = BATCH_SIZE, last_pk=None) -
     return rows.groupBy("batch_no").agg(F.min(pk).alias("min_pk"), F.max(pk).alias("max_pk"), F.count(F.lit(1)).alias("rows"))
 
 
-def _read_log(spark, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
-
-
 def run_backfill(
     df: DataFrame,
     pk: str,
@@ -65,29 +59,43 @@ def run_backfill(
 ) -> DataFrame:
     """Write every unfinished batch through ``transform``; returns the log.
 
-    ``batches_per_commit`` batches share an output directory, overwritten as a
-    whole: repeating a run after a failure is harmless, and batches named in
-    the log are not computed again.  ``pk`` is unique in ``df``.
+    A batch is its key range: a range in the log is not computed again, and rows inside any logged range are left
+    out, whatever the batch size or numbers of this plan.  ``batches_per_commit`` batches share an output directory
+    under the id of this run; output counts only if the log names it (``backfilled``), so a failed run leaves
+    nothing behind that is read.  ``pk`` is unique in ``df``.
     """
     spark = df.sparkSession
+    run = uuid.uuid4().hex
     todo = batches.withColumn("commit_no", F.floor((F.col("batch_no") - 1) / batches_per_commit))
-    done = _read_log(spark, log)
+    done = read_table(spark, log)
     if done is not None:
-        todo = todo.join(done.select("commit_no").distinct(), "commit_no", "left_anti")
+        todo = todo.join(done.select("min_pk", F.col("last_pk").alias("max_pk")), ["min_pk", "max_pk"], "left_anti")
     if todo.isEmpty():
         return done
-    starts = todo.select(F.lit(0).alias("_all"), F.col("min_pk").alias("_at"), "batch_no", "commit_no", "max_pk")
-    value = F.struct("batch_no", "commit_no", "max_pk")
-    rows = ordered.asof(df.withColumn("_all", F.lit(0)), starts, ["_all"], pk, "_at", value, "_b").drop("_all")
-    placed = rows.where(F.col("_b").isNotNull() & (F.col(pk) <= F.col("_b.max_pk")))
-    placed = placed.withColumns({"batch_no": F.col("_b.batch_no"), "commit_no": F.col("_b.commit_no")}).drop("_b")
-    result = transform(placed).repartition("commit_no")
-    result.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("commit_no").parquet(out)
-    entry = todo.select("commit_no", "batch_no", F.col("max_pk").alias("last_pk"), "rows")
-    entry.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("commit_no").parquet(log)
+
+    def within(rows: DataFrame, ranges: DataFrame, value: Column, name: str) -> DataFrame:
+        starts = ranges.withColumns({"_all": F.lit(0), "_at": F.col("min_pk")})
+        return ordered.asof(rows.withColumn("_all", F.lit(0)), starts, ["_all"], pk, "_at", value, name).drop("_all")
+
+    rows = within(df, todo, F.struct("batch_no", "commit_no", "max_pk"), "_b")
+    rows = rows.where(F.col("_b").isNotNull() & (F.col(pk) <= F.col("_b.max_pk")))
+    if done is not None:
+        covered = done.groupBy("min_pk").agg(F.max("last_pk").alias("end"))
+        rows = within(rows, covered, F.col("end"), "_end").where(F.col("_end").isNull() | (F.col(pk) > F.col("_end"))).drop("_end")
+    placed = rows.withColumns({"batch_no": F.col("_b.batch_no"), "commit_no": F.col("_b.commit_no")}).drop("_b")
+    placed = transform(placed).withColumn("run", F.lit(run)).repartition("commit_no")
+    placed.write.mode("append").partitionBy("run", "commit_no").parquet(out)
+    entry = todo.select(F.lit(run).alias("run"), "commit_no", "batch_no", "min_pk", F.col("max_pk").alias("last_pk"), "rows")
+    entry.write.mode("append").parquet(log)
     return spark.read.parquet(log)
 
 
+def backfilled(spark: SparkSession, out: str, log: str) -> DataFrame:
+    """Output of all finished runs."""
+    runs = spark.read.parquet(log).select("run").distinct()
+    return spark.read.parquet(out).join(runs, "run", "left_semi").drop("run", "commit_no")
+
+
 def batch_totals(batches: DataFrame, job: str = "job_id") -> DataFrame:
     return batches.groupBy(job).agg(
         F.count(F.lit(1)).alias("batches"), F.sum("rows").alias("rows"), F.max("last_pk").alias("last_pk")

@@ -8,8 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from changewright.operators import ordered
+
 # Allowed steps of a column change.
 PHASE_STEPS = (("expanding", "expanded"), ("expanded", "contracting"), ("contracting", "completed"))
+_GONE = 4  # ``apply_changes``: no row
 DELETABLE_PHASES = ("expanding", "completed")
 
 
@@ -88,29 +91,56 @@ def apply_changes(
 ) -> DataFrame:
     """New table after a batch of ``op`` = insert / update / delete rows.
 
-    ``changes`` holds full row images, ``op`` and the order columns.  Only the
-    last image of a key counts and is compared with the stored row.
+    ``changes`` holds full row images, ``op`` and the order columns, unique per key.  Images of a key are applied one
+    by one, each compared with the row that the one before left, so any split into batches gives the same table.  An
+    update of a missing row inserts it, an insert of a present row updates it.
+
+    A row's image can only end in four ways: old moved, new moved, neither, inserted.  Which one follows from which
+    is a small map per image; maps compose, so they are folded inside bounded slices of the order and then across
+    slices, and a key with any share of all changes stays in bounded steps.
     """
     cols = [x for x in table.columns if x not in keys]
-    last = latest_changes(changes, keys, order).select(*keys, "op", F.struct(*cols).alias("_c"))
-    both = table.select(*keys, F.struct(*cols).alias("_t")).join(last, list(keys), "full")
-    kept = both.where("op is null or op <> 'delete'")
-    kind = F.when(F.col("op").isNull(), "keep").when(F.col("_t").isNull(), "insert").otherwise("update")
-    flat = kept.select(
-        *keys,
-        *[F.when(F.col("op").isNull(), F.col(f"_t.`{x}`")).otherwise(F.col(f"_c.`{x}`")).alias(x) for x in cols],
-        F.col(f"_t.`{c.old}`").alias("_old"),
-        F.col(f"_t.`{c.new}`").alias("_new"),
-        kind.alias("_kind"),
-    )
-    # One pass: an untouched row equals its own before image, so only real moves sync.
-    old_before = F.when(F.col("_kind") == "insert", F.col(c.old)).otherwise(F.col("_old"))
-    new_before = F.when(F.col("_kind") == "insert", F.col(c.new)).otherwise(F.col("_new"))
-    updated = _sync_changed(flat, c, old_before, new_before)
-    inserting = F.col("_kind") == "insert"
-    filled = updated.withColumn(c.new, F.when(inserting & F.col(c.new).isNull(), fwd_expr(c)).otherwise(F.col(c.new)))
-    need_old = inserting & F.col(c.old).isNull() & F.col(c.new).isNotNull()
-    return filled.withColumn(c.old, F.when(need_old, rev_expr(c)).otherwise(F.col(c.old))).select(*table.columns)
+    touched = changes.select(*keys).distinct()
+    rest = table.join(touched, list(keys), "left_anti")
+    stored = table.join(touched, list(keys), "left_semi").select(*table.columns, F.lit("stored").alias("op"), F.lit(0).alias("_late"))
+    images = changes.select(*keys, *cols, "op", F.lit(1).alias("_late"), *[F.col(x).alias(f"_by{i}") for i, x in enumerate(order)])
+    log = stored.unionByName(images, allowMissingColumns=True)
+
+    def pair(old: Column, new: Column) -> Column:
+        return F.struct(old.cast(c.old_type).alias("old"), new.cast(c.new_type).alias("new"))
+
+    old, new = F.col(c.old), F.col(c.new)
+    ends = F.array(pair(old, fwd_expr(c)), pair(rev_expr(c), new), pair(old, new))
+    log = log.withColumn("_ends", ends)
+    log = log.withColumn("_new", F.when(new.isNull(), fwd_expr(c)).otherwise(new)).withColumn("_image_new", new)
+    refilled = log.drop(c.new).withColumnRenamed("_new", c.new)
+    inserted = F.when(F.col(c.old).isNull() & F.col(c.new).isNotNull(), rev_expr(c)).otherwise(F.col(c.old))
+    log = refilled.withColumn("_ends", F.concat("_ends", F.array(pair(inserted, F.col(c.new))))).drop(c.new).withColumnRenamed("_image_new", c.new)
+
+    by = [F.col("_late"), *[F.col(f"_by{i}") for i in range(len(order))]]
+    sliced = ordered.neighbour(ordered.slice_by_sort(log, keys, by), keys, F.col("_ends"), "_before", -1)
+    image = F.col("_ends")[2]
+
+    def after(p: int) -> Column:
+        was = F.get("_before", F.lit(p))
+        moved = F.when(~image["old"].eqNullSafe(was["old"]), 0).when(~image["new"].eqNullSafe(was["new"]), 1).otherwise(2)
+        return F.when(F.col("op") == "delete", _GONE).when(F.col("op") == "stored", 2).otherwise(moved)
+
+    missing = F.when(F.col("op") == "delete", _GONE).when(F.col("op") == "stored", 2).otherwise(3)
+    step = F.array(*[after(p) for p in range(4)], missing)
+
+    def fold(maps: Column) -> Column:
+        start = F.array(*[F.lit(p) for p in range(_GONE + 1)])
+        return F.aggregate(F.array_sort(maps), start, lambda acc, m: F.transform(acc, lambda s: m["m"][s]))
+
+    row = F.struct(*cols, "_ends")
+    part = sliced.groupBy(*keys, ordered.SLICE).agg(
+        fold(F.collect_list(F.struct(F.col(ordered.AT).alias("at"), step.alias("m")))).alias("m"), F.max_by(row, ordered.AT).alias("r"))
+    whole = part.groupBy(*keys).agg(fold(F.collect_list(F.struct(F.col(ordered.SLICE).alias("at"), F.col("m").alias("m"))))[_GONE].alias("end"), F.max_by("r", ordered.SLICE).alias("r"))
+    last = F.get(F.col("r._ends"), F.col("end"))
+    value = {c.old: last["old"], c.new: last["new"]}
+    kept = whole.where(F.col("end") < _GONE).select(*keys, *[value.get(x, F.col(f"r.`{x}`")).cast(table.schema[x].dataType).alias(x) for x in cols])
+    return rest.unionByName(kept.select(*table.columns))
 
 
 def backfill_status(df: DataFrame, new: str, source_filter: Column | None = None) -> DataFrame:

@@ -40,6 +40,14 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
+    """The Parquet table at ``path``, or null if nothing was written there yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    return (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for heavy work on small input.
 

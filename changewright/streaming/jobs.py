@@ -6,29 +6,20 @@ again after a failure changes nothing.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter
 
 from changewright.operators import columns as X
 from changewright.operators import lint as L
 from changewright.schemas import SCRIPTS
+from changewright.session import cut, read_table
 
 KEYS = ("target", "project")
 
 
-def _read(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
-    try:
-        reader = spark.read if schema is None else spark.read.schema(schema)
-        return reader.parquet(path)
-    except AnalysisException:
-        return None
-
-
 def _put(df: DataFrame, path: str, *by: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
@@ -36,15 +27,12 @@ def _put(df: DataFrame, path: str, *by: str) -> None:
 # -- history -----------------------------------------------------------------
 
 
-def history_stream(events: DataFrame, path: str, lateness: str = "1 day", keys: Sequence[str] = KEYS) -> DataStreamWriter:
+def history_stream(events: DataFrame, path: str, keys: Sequence[str] = KEYS) -> DataStreamWriter:
     """Fold the deploy/revert log continuously.
 
-    A batch only adds its own maxima per change; ``history_state`` combines
-    them.  Maxima are associative, so the cost of a batch does not grow with
-    the history and late or repeated events cannot spoil it.
+    A batch only adds its own maxima per change; ``history_state`` combines them.  Maxima are associative and
+    idempotent, so no event is ever too late, repeated events change nothing and nothing needs to be remembered.
     """
-    unique = events.withWatermark("committed_at", lateness).dropDuplicatesWithinWatermark(["change_id", "committed_at"])
-
     def last(kind: str):
         return F.max(F.when(F.col("event") == kind, F.col("committed_at")))
 
@@ -53,7 +41,25 @@ def history_stream(events: DataFrame, path: str, lateness: str = "1 day", keys:
         part = part.agg(last("deploy").alias("deployed_at"), last("revert").alias("reverted_at"))
         _put(part.withColumn("batch_id", F.lit(batch_id)), path, "batch_id")
 
-    return unique.writeStream.foreachBatch(fold).outputMode("append")
+    return events.writeStream.foreachBatch(fold).outputMode("append")
+
+
+def compact_history(spark: SparkSession, path: str, keys: Sequence[str] = KEYS) -> None:
+    """Fold all batches written so far into the newest of them and delete the others.
+
+    The fold is written before anything is deleted, and a maximum read twice is the same maximum, so readers see
+    one state at any time and a compaction that stops half-way may be repeated.
+    """
+    parts = spark.read.parquet(path)
+    newest = parts.agg(F.max("batch_id")).first()[0]
+    if newest is None:
+        return
+    folded = cut(parts.where(F.col("batch_id") <= newest).groupBy(*keys, "change_id", "name").agg(F.max("deployed_at").alias("deployed_at"), F.max("reverted_at").alias("reverted_at")))
+    old = [r[0] for r in parts.where(F.col("batch_id") < newest).select("batch_id").distinct().collect()]  # one per batch
+    _put(folded.withColumn("batch_id", F.lit(newest)), path, "batch_id")
+    for batch_id in old:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id={batch_id}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def history_state(spark: SparkSession, path: str, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -66,52 +72,16 @@ def history_state(spark: SparkSession, path: str, keys: Sequence[str] = KEYS) ->
 # -- heartbeats --------------------------------------------------------------
 
 
-def _newest_per_job(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        yield frame.groupby("job_id", as_index=False)[["at", "ms"]].max()
-
-
-class _SilenceWatch(StatefulProcessor):
-    """Keeps the newest heartbeat of a job and a timer at its limit."""
-
-    def __init__(self, limit_ms: int):
-        self._limit_ms = limit_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._newest = handle.getValueState("newest", "ms long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        newest = max(int(frame["ms"].max()) for frame in rows)
-        if self._newest.exists():
-            newest = max(newest, self._newest.get()[0])
-        self._newest.update((newest,))
-        for timer in list(self._handle.listTimers()):
-            self._handle.deleteTimer(timer)
-        self._handle.registerTimer(newest + self._limit_ms)
-        yield pd.DataFrame()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        (newest,) = self._newest.get()
-        self._newest.clear()
-        yield pd.DataFrame({"job_id": [key[0]], "ms": [newest]})
-
-    def close(self) -> None:
-        pass
-
-
-def heartbeat_stream(beats: DataFrame, limit_ms: int = 300_000, lateness: str = "0 seconds") -> DataFrame:
-    """Jobs whose newest heartbeat is older than the limit, as the watermark passes it.
+def heartbeat_stream(beats: DataFrame, limit_ms: int = 300_000, lateness: str = "1 minute") -> DataFrame:
+    """Every silence of a job that lasts the limit or longer: job_id and the last heartbeat before it.
 
-    ``beats``: job_id, at.  Each task first keeps the newest beat per job of a
-    batch, so a chatty job sends few rows to its state.  Needs the RocksDB
-    state store.
+    ``beats``: job_id, at.  A silence is the end of a session window with the limit as its gap, told once the
+    watermark (the newest beat less ``lateness``) has passed it.  Sessions live in Spark's state, with map-side
+    merging, so the answer does not depend on how beats fall into batches.
     """
-    timed = beats.select("job_id", "at", F.unix_millis("at").alias("ms"))
-    newest = timed.mapInPandas(_newest_per_job, "job_id long, at timestamp, ms long")
-    keyed = newest.withWatermark("at", lateness).groupBy("job_id")
-    silent = keyed.transformWithStateInPandas(_SilenceWatch(limit_ms), "job_id long, ms long", outputMode="Append", timeMode="EventTime")
-    return silent.select("job_id", F.timestamp_millis("ms").alias("last_heartbeat"))
+    timed = beats.select("job_id", "at").withWatermark("at", lateness)
+    sessions = timed.groupBy("job_id", F.session_window("at", f"{limit_ms} milliseconds")).agg(F.max("at").alias("last_heartbeat"))
+    return sessions.select("job_id", "last_heartbeat")
 
 
 # -- scripts -----------------------------------------------------------------
@@ -137,7 +107,7 @@ def _bucket(keys: Sequence[str], buckets: int):
 
 def synced_table(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
     """Table kept by ``sync_stream``: of each bucket the newest version (older than ``before``)."""
-    log = _read(spark, f"{path}/manifest", "bucket int, version long")
+    log = read_table(spark, f"{path}/manifest", "bucket int, version long")
     if log is None:
         return None
     if before is not None:

@@ -179,3 +179,26 @@ def test_context_keeps_known_quirks(spark):
     assert got["type"].operations[0].type == "CREATE TYPE" and got["conc"].tables == ["s.t"]
     assert [o.object_name for o in got["multi"].operations] == ["a, b.c", "t"] and got["multi"].risk == "critical"
     assert got["multi"].operations[1].actions == ["OWNER TO", 'DROP COLUMN "x"']
+
+
+DEPTHS = (1, 2, 6, 7, 20, 50)
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    (lambda d: f"DELETE FROM t USING (SELECT 1 FROM a WHERE {'(' * d}x = 1{')' * d}) x;", {"SA010"}),
+    (lambda d: f"ALTER TABLE t ADD CONSTRAINT c CHECK ({'(' * d}a IN (1, 2), b{')' * d}) NOT VALID;", {"SA013"}),
+    (lambda d: "/* a ' ; " * d + "*/ " * d + "\nDROP TABLE foo;", {"SA007", "SA013"}),
+    (lambda d: f"CREATE RULE r AS ON INSERT TO t DO ALSO ({'(' * d}SELECT 1{')' * d}; SELECT 2);\nDROP TABLE foo;", {"SA007", "SA013"}),
+], ids=["using", "check", "comment", "rule"])
+def test_depth_does_not_matter(spark, text, want):
+    rows = spark.createDataFrame([(str(d), "deploy", text(d)) for d in DEPTHS], "path string, kind string, sql string")
+    got = {}
+    for r in L.lint(rows).collect():
+        got.setdefault(r["path"], set()).add(r["rule"])
+    assert got == {str(d): want for d in DEPTHS}
+
+
+def test_atomic_body_is_one_statement(spark):
+    sql = "CREATE FUNCTION f() RETURNS int LANGUAGE sql BEGIN ATOMIC SELECT CASE WHEN true THEN 1 END; RETURN 2; END;\nBEGIN;\nDROP TABLE foo;\nEND;"
+    rows = L.statements(spark.createDataFrame([("p", "deploy", sql)], "path string, kind string, sql string")).orderBy("stmt_no").collect()
+    assert [(r["line"], r["stmt"]) for r in rows] == [(1, sql.split(";\n")[0]), (2, "BEGIN"), (3, "DROP TABLE foo"), (4, "END")]

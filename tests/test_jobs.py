@@ -41,12 +41,48 @@ def test_backfill_resumes(spark, tmp_path):
 
     done = B.run_backfill(df, "k", counted, batches, out, log, batches_per_commit=2)
     assert seen == [60] and done.count() == 10
-    got = spark.read.parquet(out)
+    got = B.backfilled(spark, out, log)
     assert got.count() == 100 and got.where("v <> k * 2").count() == 0
     assert B.batch_totals(done.withColumn("job_id", F.lit(1))).first().asDict() == {"job_id": 1, "batches": 10, "rows": 100, "last_pk": 100}
     assert B.run_backfill(df, "k", counted, batches, out, log, batches_per_commit=2).count() == 10 and seen == [60]
 
 
+def test_backfill_of_a_grown_table(spark, tmp_path):
+    out, log = str(tmp_path / "out"), str(tmp_path / "log")
+
+    def copy(rows):
+        return rows.withColumn("v", F.col("k") * 2)
+
+    small, grown = (spark.range(1, n + 1).withColumnRenamed("id", "k") for n in (1000, 1500))
+    B.run_backfill(small, "k", copy, B.plan_batches(small, "k", 100), out, log)
+    B.run_backfill(grown, "k", copy, B.plan_batches(grown, "k", 70), out, log)
+    assert sorted(r.k for r in B.backfilled(spark, out, log).collect()) == list(range(1, 1501))
+
+    def broken(rows):
+        return rows.withColumn("v", F.raise_error(F.lit("no")).cast("long"))
+
+    more = spark.range(1, 1601).withColumnRenamed("id", "k")
+    plan = B.plan_batches(more, "k", 50, last_pk=1500)
+    with pytest.raises(Exception, match="no"):
+        B.run_backfill(more, "k", broken, plan, out, log)
+    B.run_backfill(more, "k", copy, plan, out, log)
+    assert sorted(r.k for r in B.backfilled(spark, out, log).collect()) == list(range(1, 1601))
+
+
+def test_changes_are_applied_one_by_one(spark):
+    change = X.ColumnChange("old", "new", "int", "int")
+    table = spark.createDataFrame([(1, 10, 10), (2, 1, 1), (4, 7, 7)], "k int, old int, new int")
+    rows = [(1, None, None, "delete", 1), (1, 10, None, "insert", 2), (2, 2, 1, "update", 3), (2, 2, 3, "update", 4), (3, 5, 6, "update", 5), (3, 5, 6, "delete", 6), (5, None, 9, "insert", 7)]
+    changes = spark.createDataFrame(rows, "k int, old int, new int, op string, seq int")
+    want = [(1, 10, 10), (2, 3, 3), (4, 7, 7), (5, 9, 9)]
+    for cuts in ([7], [1, 7], [3, 7], [1, 2, 3, 4, 5, 6, 7]):
+        now, low = table, 0
+        for high in cuts:
+            now = X.apply_changes(now, changes.where(f"seq > {low} and seq <= {high}"), ["k"], change, ["seq"])
+            now, low = spark.createDataFrame(now.collect(), table.schema), high
+        assert sorted(map(tuple, now.collect())) == want, cuts
+
+
 def test_rotation(spark, tmp_path):
     jobs = spark.createDataFrame([(1, 0), (2, 1), (3, 2)], "id long, partition_id int")
     assert B.write_rotation(jobs, 0, str(tmp_path / "q")) == 2
