@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -20,31 +21,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces of at most SHORT bytes go through the bulk query, CHUNK bytes at a time.
-SHORT, CHUNK = 64, 1 << 20
-#: Characters of text encoded, and tokens decoded, in one go; entries a task remembers.
-SLICE, TOKENS, KNOWN = 1 << 22, 1 << 19, 200_000
+SHORT, CHUNK = 64, 1 << 19
+#: Characters of text encoded, and tokens decoded, in one go; entries a task remembers between slices.
+SLICE, TOKENS, KNOWN = 1 << 21, 1 << 19, 400_000
 #: White space that a cut before a space would tear apart.
 _TORN = re.compile(r"\s \s|  |\s \Z")
+#: Chunks that are one piece by any version of the character tables.
+_WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
 
-#: Every round holds the rows of unfinished pieces only; the rows of a piece's last round are its tokens.
+#: A row knows its token, the place and token of its right neighbour (-1 at the end).  Every round writes the rows of
+#: unfinished pieces only; the rows of a piece's last round are its tokens.
 _BULK = """
-WITH RECURSIVE t(w, p, id, nid, step) AS (
-  SELECT w, p, id, lead(id) OVER (PARTITION BY w ORDER BY p), 0 FROM pieces
+WITH RECURSIVE t(w, p, n, id, nid, step) AS (
+  SELECT w, p, n, id, nid, 0 FROM pieces
   UNION ALL
-  SELECT w, p, id, lead(id) OVER (PARTITION BY w ORDER BY p), step + 1 FROM (
-    WITH best AS (
-      SELECT w, min((CAST(m AS BIGINT) << 32) | p) AS k FROM t JOIN merges ON t.id = merges.l AND t.nid = merges.r GROUP BY w),
-    marked AS (
-      SELECT t.w, p, id, step, k & 4294967295 AS pos, k >> 32 AS m, lag(p) OVER (PARTITION BY t.w ORDER BY p) AS prev
-      FROM t JOIN best ON t.w = best.w)
-    SELECT w, p, CASE WHEN p = pos THEN m ELSE id END AS id, step FROM marked WHERE prev IS DISTINCT FROM pos))
-SELECT w, p, id FROM (SELECT *, max(step) OVER (PARTITION BY w) AS top FROM t) WHERE step = top ORDER BY w, p
+  SELECT t.w, t.p, CASE WHEN t.p = pos THEN qn ELSE n END, CASE WHEN t.p = pos THEN m ELSE id END,
+    CASE WHEN t.p = pos THEN qnid WHEN n = pos THEN m ELSE nid END, step + 1
+  FROM t JOIN (
+    SELECT best.w, k & 65535 AS pos, k >> 16 AS m, q.p AS gone, q.n AS qn, q.nid AS qnid
+    FROM (
+      SELECT t.w, min((CAST(m AS BIGINT) << 16) | p) AS k, arg_min(n, (CAST(m AS BIGINT) << 16) | p) AS nx
+      FROM t JOIN merges ON t.id = merges.l AND t.nid = merges.r GROUP BY t.w) best
+    JOIN t q ON q.w = best.w AND q.p = best.nx) x ON t.w = x.w
+  WHERE t.p <> gone)
+SELECT t.w, t.p, t.id FROM t JOIN (SELECT w, max(step) AS top FROM t GROUP BY w) last ON t.w = last.w AND t.step = last.top
 """
 #: For long pieces: rows are replaced by key, so memory stays that of the piece, and all places of the least pair are
 #: joined in one round where no later merge could come in between (``early`` lists the tokens where one could).
 _LONG = """
 WITH RECURSIVE t(w, p, id, nid) USING KEY (w, p) AS (
-  SELECT w, p, id, lead(id) OVER (PARTITION BY w ORDER BY p) FROM pieces
+  SELECT w, p, id, nid FROM pieces
   UNION
   SELECT w, p, CASE WHEN gone THEN -1 ELSE id END, CASE WHEN gone THEN NULL ELSE lead(id) OVER (PARTITION BY w, gone ORDER BY p) END FROM (
     WITH pairs AS (
@@ -57,7 +63,7 @@ WITH RECURSIVE t(w, p, id, nid) USING KEY (w, p) AS (
     runs AS (SELECT *, n - row_number() OVER (PARTITION BY w, hit ORDER BY p) AS run FROM hits),
     odd AS (SELECT *, hit AND (row_number() OVER (PARTITION BY w, hit, run ORDER BY p)) % 2 = 1 AS joined FROM runs)
     SELECT w, p, CASE WHEN joined THEN m ELSE id END AS id, coalesce(lag(joined) OVER (PARTITION BY w ORDER BY p), false) AS gone FROM odd))
-SELECT w, p, id FROM t WHERE id >= 0 ORDER BY w, p
+SELECT w, p, id FROM t WHERE id >= 0
 """
 _DECODE = "SELECT d, string_agg(bytes, '' ORDER BY p) AS bytes FROM tokens JOIN vocab USING (id) GROUP BY d ORDER BY d"
 
@@ -69,7 +75,6 @@ class Codec:
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
         self.find = regex.compile(pattern).findall
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.ids = list(range(max(self.ranks.values()) + 1))  # one object per id
         r = self.ranks
         merges = [(r[t[:i]], r[t[i:]], m) for t, m in r.items() for i in range(1, len(t)) if t[:i] in r and t[i:] in r]
         early = {x for a, b, m in merges for x in (a, b) if m < x}
@@ -80,60 +85,71 @@ class Codec:
         self._table("vocab", id=pa.array(list(r.values()), pa.int32()), bytes=pa.array([t.decode("latin-1") for t in r]))
         self._forget()
 
+    def _forget(self) -> None:
+        #: Token ids of all sequences met, one behind the other; a sequence is a number.
+        self.flat, self.start, self.size = array("i"), array("q"), array("q")
+        #: Sequences by piece, by first chunk of a text, and by chunk after a space.
+        self.pieces: dict[str, int] = {}
+        self.first: dict[str, int] = {}
+        self.spaced: dict[str, int] = {}
+
+    def _add(self, tokens: np.ndarray, size: np.ndarray) -> range:
+        """New sequences of these sizes; their numbers."""
+        base = len(self.start)
+        self.start.frombytes((len(self.flat) + np.cumsum(size) - size).astype(np.int64).tobytes())
+        self.size.frombytes(size.astype(np.int64).tobytes())
+        self.flat.frombytes(tokens.astype(np.int32).tobytes())
+        return range(base, len(self.start))
+
+    def _gather(self, sequences: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of sequences, one behind the other, and the size of each."""
+        start, size, flat = (np.array(x) for x in (self.start, self.size, self.flat))
+        n = size[sequences]
+        return flat[np.repeat(start[sequences] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
+
     def _table(self, name: str, **columns: pa.Array) -> None:
         self.db.register("given", pa.table(columns))
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def _forget(self) -> None:
-        #: Pieces, first chunks of texts, and chunks after a space, each with its token ids.
-        self.pieces: dict[str, tuple] = {}
-        self.first: dict[str, tuple] = {}
-        self.spaced: dict[str, tuple] = {}
-
     def _run(self, sql: str, pieces: list[str]) -> None:
         raw = [x.encode() for x in pieces]
         size = np.array([len(x) for x in raw])
-        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        rows = {"w": np.repeat(np.arange(len(raw), dtype=np.int32), size), "p": at.astype(np.int32), "id": self.byte[np.frombuffer(b"".join(raw), np.uint8)]}
-        self.db.register("pieces", pa.table(rows))
+        w, end = np.repeat(np.arange(len(raw), dtype=np.int32), size), np.cumsum(size)
+        p = (np.arange(len(w)) - np.repeat(end - size, size)).astype(np.int32)
+        ids = self.byte[np.frombuffer(b"".join(raw), np.uint8)]
+        n, nid = p + 1, np.append(ids[1:], np.int32(-1))
+        n[end - 1] = nid[end - 1] = -1
+        self.db.register("pieces", pa.table({"w": w, "p": p, "n": n, "id": ids, "nid": nid}))
         out = self.db.execute(sql).fetchnumpy()
         self.db.unregister("pieces")
-        ids = self.ids
-        tokens = [ids[i] for i in out["id"].tolist()]
-        ends = np.searchsorted(out["w"], np.arange(len(raw)), side="right").tolist()
-        start = 0
-        for piece, end in zip(pieces, ends, strict=True):
-            self.pieces[piece] = tuple(tokens[start:end])
-            start = end
+        order = np.lexsort((out["p"], out["w"]))
+        made = self._add(out["id"][order], np.bincount(out["w"], minlength=len(raw)))
+        self.pieces.update(zip(pieces, made, strict=True))
 
     def _learn(self, pieces: set[str]) -> None:
         """Token ids of pieces not met before; a piece that is a token by itself is that token."""
-        rest = []
+        whole, short, long = {}, [], []
         for x in pieces:
-            whole = self.ranks.get(x.encode())
-            if whole is None:
-                rest.append(x)
+            raw = x.encode()
+            if raw in self.ranks:
+                whole[x] = self.ranks[raw]
             else:
-                self.pieces[x] = (self.ids[whole],)
-        for sql, some in ((_BULK, [x for x in rest if len(x.encode()) <= SHORT]), (_LONG, [x for x in rest if len(x.encode()) > SHORT])):
-            batch, size = [], 0
-            for x in some:
-                batch.append(x)
-                size += len(x)
-                if size >= CHUNK // 4:
-                    self._run(sql, batch)
-                    batch, size = [], 0
-            if batch:
-                self._run(sql, batch)
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Token ids of every text.
+                (short if len(raw) <= SHORT else long).append(x)
+        self.pieces.update(zip(whole, self._add(np.array([*whole.values()], np.int32), np.ones(len(whole))), strict=True))
+        for sql, some in ((_BULK, short), (_LONG, long)):
+            ends = np.cumsum([len(x) for x in some]) // CHUNK
+            for k in np.unique(ends):
+                lo, hi = np.searchsorted(ends, [k, k + 1])
+                self._run(sql, some[lo:hi])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all texts, one behind the other, and the number of tokens of each.
 
         A piece never reaches over a space that follows a non-space, so texts are cut there and each distinct chunk
         is matched once.  Texts with other runs of white space are matched whole.
         """
-        if len(self.pieces) + len(self.first) + len(self.spaced) > KNOWN:
+        if len(self.start) > KNOWN:
             self._forget()
         cut, first, spaced, pieces = [], set(), set(), set()
         for t in texts:
@@ -146,23 +162,34 @@ class Codec:
                 first.add(own[0])
                 spaced.update(own[1:])
                 cut.append((False, own))
-        chunks = {c: self.find(c) for c in first - self.first.keys()}, {c: self.find(f" {c}") for c in spaced - self.spaced.keys()}
+        chunks = {c: self.find(c) for c in first - self.first.keys()}, {c: [f" {c}"] if _WORD(c) else self.find(f" {c}") for c in spaced - self.spaced.keys()}
         pieces.update(chain.from_iterable(chain.from_iterable(x.values()) for x in chunks))
         self._learn(pieces - self.pieces.keys())
         get = self.pieces.__getitem__
         for known, new in zip((self.first, self.spaced), chunks, strict=True):
-            known.update((c, tuple(chain.from_iterable(map(get, p)))) for c, p in new.items())
-        after = self.spaced.__getitem__
-        return [list(chain.from_iterable(map(get, own))) if whole else [*self.first[own[0]], *chain.from_iterable(map(after, own[1:]))] for whole, own in cut]
-
-    def decode(self, tokens: list[list[int]]) -> list[bytes]:
-        """The bytes of every list, by ordered aggregation over at most ``TOKENS`` rows at a time."""
-        size = np.array([len(x) for x in tokens])
-        out: list[list[str]] = [[] for _ in tokens]
-        flat, owner = np.fromiter(chain.from_iterable(tokens), np.int32, size.sum()), np.repeat(np.arange(len(tokens), dtype=np.int32), size)
-        for at in range(0, len(flat), TOKENS):
+            known.update((c, get(p[0])) for c, p in new.items() if len(p) == 1)
+            some = {c: p for c, p in new.items() if len(p) != 1}
+            tokens, n = self._gather(np.array([*map(get, chain.from_iterable(some.values()))], np.int64))
+            edge = np.cumsum([0, *map(len, some.values())])
+            known.update(zip(some, self._add(tokens, np.diff(np.append(0, np.cumsum(n))[edge])), strict=True))
+        after, met, count = self.spaced.__getitem__, [], []
+        for matched, own in cut:
+            if matched:
+                met.extend(map(get, own))
+            else:
+                met.append(self.first[own[0]])
+                met.extend(map(after, own[1:]))
+            count.append(len(own))
+        tokens, n = self._gather(np.array(met, np.int64))
+        return tokens, np.diff(np.append(0, np.cumsum(n))[np.cumsum([0, *count])])
+
+    def decode(self, tokens: np.ndarray, size: np.ndarray) -> list[bytes]:
+        """The bytes of every text, by ordered aggregation over at most ``TOKENS`` rows at a time."""
+        out: list[list[str]] = [[] for _ in size]
+        owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        for at in range(0, len(tokens), TOKENS):
             part = slice(at, at + TOKENS)
-            self.db.register("tokens", pa.table({"d": owner[part], "p": np.arange(len(flat[part]), dtype=np.int32), "id": flat[part]}))
+            self.db.register("tokens", pa.table({"d": owner[part], "p": np.arange(len(owner[part]), dtype=np.int32), "id": tokens[part]}))
             got = self.db.execute(_DECODE).fetchnumpy()
             self.db.unregister("tokens")
             for d, text in zip(got["d"].tolist(), got["bytes"].tolist(), strict=True):
@@ -204,8 +231,9 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, id_col: str
         for b in batches:
             texts, at = [x or "" for x in b.column("text").to_pylist()], 0
             for part in _slices(texts):
-                ids = codec.encode(part)
-                arrays = [b.column("doc_id").slice(at, len(part)), pa.array(ids, pa.list_(pa.int32())), pa.array(codec.decode(ids), pa.binary())]
+                tokens, size = codec.encode(part)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(tokens))
+                arrays = [b.column("doc_id").slice(at, len(part)), lists, pa.array(codec.decode(tokens, size), pa.binary())]
                 at += len(part)
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "tokens", "decoded"])
 
