@@ -12,7 +12,6 @@ from changewright.functions.sqltext import let
 from changewright.operators import ordered
 from changewright.session import cut
 
-MAX_DEPTH = 64
 # The words of an include line, relative to the root and to the including file.
 FROM_ROOT, FROM_FILE = ("i", "include"), ("ir", "include_relative")
 # A block comment that begins its line hides everything up to the line where it ends.
@@ -104,12 +103,14 @@ def _lines(df: DataFrame, content: Column) -> DataFrame:
     return rows.select("id", "at", "script", place.alias("ord"), "visited", F.col("x.text").alias("text"), F.col("x.d").alias("d"))
 
 
-def expand_includes(scripts: DataFrame, versions: DataFrame) -> DataFrame:
+def expand_includes(scripts: DataFrame, versions: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Full text of scripts that include files, each file as of the script's plan time.
 
     ``scripts``: id, path, planned_at, sql.  ``versions``: path, ts, sql.  One
-    round of joins per nesting level over the include lines only; a file that
-    includes itself, a missing file or more than 64 levels stop the query.
+    round of joins per nesting level over the include lines only; versions are
+    found by their keys, and the text is joined afterwards.  A file that
+    includes itself, a missing file or more than ``max_depth`` levels (if
+    given) stop the query.
     Scripts without includes give no row: they run as they are.
     """
     start = scripts.where(F.col("sql").rlike(r"(?m)^[ \t]*\\i")).select(
@@ -120,17 +121,18 @@ def expand_includes(scripts: DataFrame, versions: DataFrame) -> DataFrame:
     using = rows.where("d is not null").select("id").distinct()
     done = [rows.join(using, "id", "left_semi").where("d is null").select("id", "ord", "text")]
     open_ = rows.where("d is not null")
-    files = versions.select("path", "ts", F.col("sql").alias("content"))
+    stamps = versions.select("path", "ts", F.col("ts").alias("_version"))
+    files = versions.select("path", F.col("ts").alias("_version"), F.col("sql").alias("content"))
     depth = 0
     while not open_.isEmpty():
         depth += 1
-        if depth > MAX_DEPTH:
-            raise ValueError(f"includes nest deeper than {MAX_DEPTH} levels")
+        if max_depth is not None and depth > max_depth:
+            raise ValueError(f"includes nest deeper than {max_depth} levels")
         target = include_path(F.col("d.type"), F.col("d.path"), F.col("script"))
         wanted = open_.withColumn("path", target).withColumn("written", F.col("d.path")).drop("d", "text")
         loop = F.raise_error(F.concat(F.lit("file includes itself: "), F.col("path"))).cast("string")
         wanted = wanted.withColumn("path", F.when(F.array_contains("visited", F.col("path")), loop).otherwise(F.col("path")))
-        found = include_version_asof(wanted, files, "content", at="at")
+        found = include_version_asof(wanted, stamps, "_version", at="at").join(files, ["path", "_version"], "left").drop("_version")
         lost = F.raise_error(F.concat(F.lit("included file not found: "), F.col("path")))
         found = cut(found.withColumn("content", F.coalesce("content", lost.cast("string"))))
         for word, place in (("begin", F.concat("ord", F.array(F.lit(0)))), ("end", F.concat("ord", F.array(F.lit(2**31 - 1))))):

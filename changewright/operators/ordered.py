@@ -143,6 +143,7 @@ def asof(
     stacked = left.select(*on, F.col(left_at).alias("_o_ts"), F.lit(1).alias("_o_side"), lrow.alias("_o_row"))
     points = right.select(*on, F.col(right_at).alias("_o_ts"), F.lit(0).alias("_o_side"), F.struct(value.alias("v")).alias("_o_point"))
     rows = stacked.unionByName(points, allowMissingColumns=True)
-    sliced = slice_by_sort(rows, on, [F.col("_o_ts"), F.col("_o_side")])
+    # the hash deals rows of one key and time over many slices
+    sliced = slice_by_sort(rows, on, [F.col("_o_ts"), F.col("_o_side"), F.xxhash64("_o_row")])
     filled = fill_down(sliced, on, F.col("_o_point"), "_o_found").where("_o_side = 1")
     return filled.select("_o_row.*", F.col("_o_found")["v"].alias(name))
