@@ -151,13 +151,21 @@ def _regions(docs: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
     return one.dropDuplicates(["a", "u"])  # repeated rows have one key
 
 
-def _windows(region: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every window of a region: distance of the anchor, its class; and the names of the short strings."""
-    text = np.frombuffer(region, np.uint8)
-    short, n = max(1, length // 4), len(text) - length + 1
-    h = names(text, short)
-    o = int(np.argmin(h[: length - short + 1])) - np.arange(n)
-    return o, o // short, h
+def _windows(regions: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+    """All regions of a batch in one buffer: names of the short strings; and of each region its start, the place of
+    its anchor and its number of windows."""
+    size = np.array([len(x) for x in regions], dtype=np.int64)
+    start, short = np.cumsum(size) - size, max(1, length // 4)
+    h = names(np.frombuffer(b"".join(regions), np.uint8), short)
+    # every window of a region holds the anchor, so the first window shows it
+    first = h[start[:, None] + np.arange(length - short + 1)].argmin(axis=1) if len(h) else start
+    return h, start, start + first, size - length + 1
+
+
+def _spread(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each item its number, ``count`` times, and 0, 1, ... beside it."""
+    item = np.repeat(np.arange(len(count)), count)
+    return item, np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)
 
 
 def _classes(regions: DataFrame, length: int) -> DataFrame:
@@ -166,16 +174,12 @@ def _classes(regions: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[np.ndarray] = [[], [], []]
-            for i, region in enumerate(b.column("bytes").to_pylist()):
-                o, j, h = _windows(region, length)
-                js = np.unique(j)
-                core = double(h, short, length - short)
-                rows[0].append(np.full(len(js), i))
-                rows[1].append(js)
-                rows[2].append(core[o[0] - js * short])
-            i, j, core = (np.concatenate(x) if x else np.empty(0, np.int64) for x in rows)
-            i = pa.array(i.astype(np.int64))
+            h, start, anchor, n = _windows(b.column("bytes").to_pylist(), length)
+            least, most = (anchor - start - n + 1) // short, (anchor - start) // short
+            i, more = _spread(most - least + 1)
+            j = least[i] + more
+            core = double(h, short, length - short)[anchor[i] - j * short]
+            i = pa.array(i)
             yield pa.RecordBatch.from_arrays([b.column("a").take(i), b.column("u").take(i), pa.array(j.astype(np.int32)), pa.array(core.view(np.int64))], names=["a", "u", "j", "core"])
 
     return regions.mapInArrow(run, "a long, u long, j int, core long")
@@ -187,15 +191,14 @@ def _whole(regions: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[list[np.ndarray]] = [[], [], []]
-            for i, (region, js) in enumerate(zip(b.column("bytes").to_pylist(), b.column("js").to_pylist(), strict=True)):
-                _, j, h = _windows(region, length)
-                at = np.flatnonzero(np.isin(j, js))
-                rows[0].append(np.full(len(at), i))
-                rows[1].append(at)
-                rows[2].append(double(h, short, length)[at])
-            i, at, name = (np.concatenate(x) if x else np.empty(0, np.int64) for x in rows)
-            i = pa.array(i.astype(np.int64))
+            h, start, anchor, n = _windows(b.column("bytes").to_pylist(), length)
+            i, at = _spread(n)
+            js = b.column("js")
+            alive = np.repeat(np.arange(len(n)), np.array(js.value_lengths())) * length + np.array(js.flatten())
+            live = np.isin(i * length + (anchor[i] - start[i] - at) // short, alive)
+            i, at = i[live], at[live]
+            name = double(h, short, length)[start[i] + at]
+            i = pa.array(i)
             yield pa.RecordBatch.from_arrays([b.column("a").take(i), b.column("u").take(i), pa.array(at.astype(np.int32)), pa.array(name.view(np.int64))], names=["a", "u", "at", "name"])
 
     return regions.mapInArrow(run, "a long, u long, at int, name long")
@@ -216,13 +219,18 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     classes = cut(_classes(regions, length))
     alive = classes.join(_more_than_one(classes, ["a", "j", "core"]).select("a", "j", "core"), ["a", "j", "core"]).groupBy("a", "u").agg(F.collect_set("j").alias("js"))
     left = cut(regions.join(alive, ["a", "u"]))
+    drop_table(regions)
+    drop_table(classes)
     whole = _whole(left, length)
     met = whole.join(_more_than_one(whole, ["a", "name"]).select("a", "name"), ["a", "name"]).select("a", "u", "at")
     single = kinds.where("n = 1").select("a", "u", "r.*")
-    some = met.join(single, ["a", "u"]).select(*KEY, (F.col("lo") + F.col("at")).alias("lo")).select(*KEY, "lo", F.col("lo").alias("hi"))
+    some = met.join(single, ["a", "u"]).groupBy(*KEY, "lo").agg(F.collect_set("at").alias("at"))
+    some = cut(some.select(*KEY, "lo", "at"))
+    drop_table(left)
+    some_rows = some.select(*KEY, F.explode("at").alias("at"), "lo").select(*KEY, (F.col("lo") + F.col("at")).alias("lo")).select(*KEY, "lo", F.col("lo").alias("hi"))
     every = shared.join(kinds.where("n > 1").select("a", "u"), ["a", "u"]).select(*KEY, "lo", "hi")
-    out = cut(every.unionByName(some).groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("ranges")))
-    for t in (shared, kinds, regions, classes, left):
+    out = cut(every.unionByName(some_rows).groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("ranges")))
+    for t in (shared, kinds, some):
         drop_table(t)
     return out
 
