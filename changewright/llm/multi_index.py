@@ -2,12 +2,14 @@
 
 Unit vectors are cut in halves, each with its own codebook; pairs of codewords form a grid of cells.  Every vector is
 filed under its own cell and sent to the nearest cells in the order of the multi-sequence traversal.  How many cells
-that takes is measured: a bounded query sample is compared with all vectors, and the traversal goes on until the
-target share of their true neighbours is reached.  Vectors that meet in a cell are compared exactly.
+that takes is measured on a bounded query sample, all queries weighing the same: the traversal goes on until the
+target share of their true neighbours is reached, and of made neighbours at the threshold itself, which do not depend
+on how many pairs the table has.  Vectors that meet in a cell are compared exactly.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +24,8 @@ COSINE, RECALL = 0.93, 0.999
 #: Rows the codebooks are fitted on and rows the traversal is measured with (least hashes), rows wanted per cell,
 #: most codewords a half.
 FIT, QUERIES, PER_CELL, MOST_WORDS = 8192, 512, 16, 1024
+#: Neighbours made for each measured row.
+MADE = 32
 #: Most rows of a side compared at once; fuller cells are cut into parts and every pair of parts is one group.
 BLOCK = 2048
 
@@ -43,10 +47,10 @@ def _distances(x: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 class Grid:
-    """Codebooks of both halves, for vectors of one length."""
+    """Codebooks of both halves, for vectors of one length, and some of the rows they were fitted on."""
 
-    def __init__(self, left: np.ndarray, right: np.ndarray):
-        self.left, self.right = left, right
+    def __init__(self, left: np.ndarray, right: np.ndarray, fitted: np.ndarray):
+        self.left, self.right, self.fitted = left, right, fitted
         self.k = len(left)
 
     def traverse(self, unit: np.ndarray, visits: int) -> np.ndarray:
@@ -73,6 +77,16 @@ class Grid:
         np.put_along_axis(place, at, np.arange(at.shape[1])[None], 1)
         return place
 
+    def places(self, unit: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """Place (from 1) of one cell in the traversal of each row, counted without the whole order."""
+        half = self.left.shape[1]
+        a, b = _distances(unit[:, :half], self.left), _distances(unit[:, half:], self.right)
+        at = np.arange(len(unit))
+        total = a[at, cells // self.k] + b[at, cells % self.k]
+        b.sort(axis=1)
+        nearer = [np.searchsorted(b[i], total[i] - a[i]).sum() for i in at]
+        return np.minimum(np.array(nearer, dtype=np.int64) + 1, self.k * self.k)
+
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
@@ -87,6 +101,24 @@ def _groups(dims: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(d), np.flatnonzero(dims == d)
 
 
+def visits_at_threshold(grid: Grid, unit: np.ndarray, cosine: float, recall: float) -> int:
+    """Cells to visit so that ``recall`` of the vectors at just ``cosine`` from the rows are met, in any direction.
+
+    ``MADE`` such vectors are drawn for each row.  A pair meets if either visits the other's cell.
+    """
+    rng = np.random.default_rng(0)
+    found = []
+    for at in range(0, len(unit), 16):
+        q = np.repeat(unit[at : at + 16], MADE, axis=0)
+        u = rng.normal(size=q.shape)
+        u -= (u * q).sum(axis=1, keepdims=True) * q
+        made = cosine * q + (1 - cosine * cosine) ** 0.5 * u / np.maximum(np.sqrt((u * u).sum(axis=1, keepdims=True)), 1e-12)
+        here, there = grid.traverse(q, 1)[:, 0], grid.traverse(made, 1)[:, 0]
+        found.append(np.minimum(grid.places(q, there), grid.places(made, here)))
+    places = np.sort(np.concatenate(found))
+    return int(places[min(len(places) - 1, int(np.ceil(recall * len(places))) - 1)])
+
+
 def build_grids(classes: DataFrame, n: int) -> dict[int, Grid]:
     """A grid for every vector length in a bounded sample; other lengths are given one cell."""
     words = int(min(MOST_WORDS, max(1, round((n / PER_CELL) ** 0.5))))
@@ -95,15 +127,16 @@ def build_grids(classes: DataFrame, n: int) -> dict[int, Grid]:
     for d in sorted({len(x) for x in rows}):
         x = _unit(np.array([x for x in rows if len(x) == d], dtype=np.float64))
         k = min(words, len(x))
-        out[d] = Grid(_kmeans(x[:, : d // 2], k), _kmeans(x[:, d // 2 :], k))
+        out[d] = Grid(_kmeans(x[:, : d // 2], k), _kmeans(x[:, d // 2 :], k), x[:: -(-len(x) // QUERIES)])
     return out
 
 
 def measure_visits(classes: DataFrame, grids: dict[int, Grid], cosine: float, recall: float) -> int:
-    """Cells to visit so that ``recall`` of the true neighbours of the query sample are met; at least 1.
+    """Cells to visit so that ``recall`` of the neighbours of the query sample are met, made ones and true ones.
 
     The sample is a stated query set of fixed size, compared with all vectors in blocks; only counts by
-    (query, cell) leave a task.
+    (query, cell) leave a task.  Each query with neighbours weighs the same, so a dense group does not outweigh rows
+    with a single partner.  Made neighbours set the floor where true ones are rare: see ``visits_at_threshold``.
     """
     asked = classes.orderBy(F.xxhash64(F.lit(7), "cid")).limit(QUERIES).select("cid", "label", "vec").toArrow().to_pylist()
     by_dim = {d: [q for q in asked if len(q["vec"]) == d] for d in grids}
@@ -125,6 +158,10 @@ def measure_visits(classes: DataFrame, grids: dict[int, Grid], cosine: float, re
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), d, np.int32)), pa.array(i.astype(np.int32)), pa.array(cell.astype(np.int32))], names=["d", "q", "cell"])
 
     met = classes.select("cid", "label", "vec").mapInArrow(run, "d int, q int, cell int").groupBy("d", "q", "cell").count().collect()
+    floor = 1
+    for d, grid in grids.items():
+        q = _unit(np.array([r["vec"] for r in by_dim[d]], dtype=np.float64)) if by_dim[d] else grid.fitted
+        floor = max(floor, visits_at_threshold(grid, q, cosine, recall))
     places = []
     for d, grid in grids.items():
         own = [r for r in met if r["d"] == d]
@@ -135,16 +172,17 @@ def measure_visits(classes: DataFrame, grids: dict[int, Grid], cosine: float, re
             for at in range(0, len(asked_rows), 16):
                 some = asked_rows[at : at + 16]
                 order |= dict(zip(some, grid.order(q[some]), strict=True))
-            places += [(int(order[r["q"]][r["cell"]]) + 1, r["count"]) for r in own]
-    if not places:
-        return 1
+            total = Counter()
+            for r in own:
+                total[r["q"]] += r["count"]
+            places += [(int(order[r["q"]][r["cell"]]) + 1, r["count"] / total[r["q"]]) for r in own]
     places.sort()
-    need, seen = recall * sum(n for _, n in places), 0
+    need, seen = recall * sum(n for _, n in places), 0.0
     for place, n in places:
         seen += n
         if seen >= need:
-            return place
-    return places[-1][0]
+            return max(floor, place)
+    return max(floor, places[-1][0]) if places else floor
 
 
 def file_and_probe(classes: DataFrame, grids: dict[int, Grid], visits: int) -> DataFrame:
