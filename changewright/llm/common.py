@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from changewright import session
 
-KEY = ["_id", "_t"]
+KEY = ["_id", "_t", "_s"]
 NO_ID = -(2**63)
 
 
@@ -30,8 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def key_columns(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
-    """Names a row by id and text.  Never null; equal for repeated rows, which so share every decision."""
-    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.hash(F.col(text_col), F.isnull(text_col)).alias("_t")]
+    """Names a row by id and text.  Never null; equal for repeated rows, which so share every decision.
+
+    The text stands as two hashes of 64 bits with different seeds, since any share of the rows may have one id.
+    """
+    text = [F.isnull(text_col), F.col(text_col)]
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(*text).alias("_t"), F.xxhash64(F.lit(1), *text).alias("_s")]
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

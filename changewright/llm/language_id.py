@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from changewright.llm.common import keyed
+from changewright.llm.common import KEY, keyed
 
 UNKNOWN = "und"
 GRAMS, BITS = (1, 2, 3), 15
@@ -188,17 +188,17 @@ def predict_language(docs: DataFrame, model: Model) -> DataFrame:
                 p = m.score(gram_counts(text)) if m.langs and has_letter(text) else None
                 langs.append(UNKNOWN if p is None else m.langs[int(p.argmax())])
                 scores.append(0.0 if p is None else float(p.max()))
-            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_t"), b.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["_id", "_t", "doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in KEY), b.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*KEY, "doc_id", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("_id", "_t", "doc_id", "text").mapInArrow(run, f"_id long, _t int, doc_id {kind}, lang_pred string, score double")
+    return docs.select(*KEY, "doc_id", "text").mapInArrow(run, f"_id long, _t long, _s long, doc_id {kind}, lang_pred string, score double")
 
 
 def identify_languages(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per row of ``docs``: keys, doc_id, held_out, lang_pred, score.  A null id is not held out and not learned from."""
     model = fit_language_model(docs, sample, id_col, text_col, lang_col)
     found = predict_language(keyed(docs, id_col, text_col), model)
-    return found.select("_id", "_t", "doc_id", F.coalesce(fold_of(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return found.select(*KEY, "doc_id", F.coalesce(fold_of(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def language_filter(docs: DataFrame, least_score: float = LEAST_SCORE, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

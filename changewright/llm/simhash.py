@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (*KEY, "doc_id")), pa.array(fps)], names=[*KEY, "doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select(*KEY, "doc_id", "text").mapInArrow(run, f"_id long, _t int, doc_id {kind}, fp long")
+    return docs.select(*KEY, "doc_id", "text").mapInArrow(run, f"_id long, _t long, _s long, doc_id {kind}, fp long")
 
 
 def _planes(fps: np.ndarray) -> np.ndarray:
@@ -189,7 +189,7 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RA
 def simhash_dedup(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component: the least id (null last), then text hash; of repeated rows one."""
     found = simhash_components(docs, shingle, radius, id_col, text_col)
-    best = found.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("n"), *KEY)).alias("w")).select("w._id", "w._t")
+    best = found.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("n"), *KEY)).alias("w")).select(*[f"w.{k}" for k in KEY])
     kept = with_row(docs, id_col, text_col).join(best, KEY)
     first = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.lit(0)))
     return unpack(kept.withColumn("_n", first).where("_n = 1"), docs.columns)

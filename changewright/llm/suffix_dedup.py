@@ -127,10 +127,10 @@ def document_runs(docs: DataFrame, length: int) -> DataFrame:
                 d, a, u, lo, hi = runs(text, edges, length)
                 rows, back = pa.array(owner[d]), base[d] - edges[d]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("_id").take(rows), b.column("_t").take(rows), pa.array(a.view(np.int64)), pa.array(u.view(np.int64)), pa.array((lo + back).astype(np.int64)), pa.array((hi + back).astype(np.int64))],
+                    [*(b.column(k).take(rows) for k in KEY), pa.array(a.view(np.int64)), pa.array(u.view(np.int64)), pa.array((lo + back).astype(np.int64)), pa.array((hi + back).astype(np.int64))],
                     names=[*KEY, "a", "u", "lo", "hi"])
 
-    return docs.select(*KEY, "text").mapInArrow(run, "_id long, _t int, a long, u long, lo long, hi long")
+    return docs.select(*KEY, "text").mapInArrow(run, "_id long, _t long, _s long, a long, u long, lo long, hi long")
 
 
 def _regions(docs: DataFrame, kinds: DataFrame, length: int) -> DataFrame:

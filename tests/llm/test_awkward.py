@@ -212,3 +212,24 @@ def test_pipeline_on_awkward_rows(spark):
             docs = stage(spark, docs, folder)
         assert set(docs.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
         assert docs.count() <= len(rows)
+
+
+@pytest.fixture(scope="module")
+def alike(spark):
+    """Two texts of four lines with the same 32-bit hash, as rows without id."""
+    text = F.array_join(F.transform(F.array(*map(F.lit, "abcd")), lambda x: F.sha2(F.concat(x, F.col("id").cast("string")), 256)), "\n")
+    texts = spark.range(400_000).select(text.alias("text"))
+    pair = texts.groupBy(F.hash("text", F.lit(False)).alias("h")).agg(F.collect_set("text").alias("t")).where("size(t) > 1").first()["t"][:2]
+    assert len(set(pair)) == 2
+    return pair
+
+
+def test_texts_of_equal_short_hash_are_two_rows(spark, alike):
+    docs = documents(spark, [(None, t, "en") for t in alike])
+    assert {r["text"] for r in simhash_dedup(docs).collect()} == set(alike)
+    # the lines of the first text stand in an earlier document too; the second text is clean
+    docs = documents(spark, [(0, alike[0], "en"), *((9, t, "en") for t in alike)])
+    kept = {r["_row"]["text"]: r["kept"] for r in line_decisions(docs).where("_row.doc_id = 9").collect()}
+    assert kept == {alike[0]: "", alike[1]: alike[1]}
+    item = spark.createDataFrame([(1, alike[0].split("\n")[0])], "item_id long, text string")
+    assert {r["text"] for r in decontaminate(documents(spark, [(None, t, "en") for t in alike]), item, share=4).collect()} == {alike[1]}
