@@ -45,18 +45,20 @@ def history_stream(events: DataFrame, path: str, keys: Sequence[str] = KEYS) ->
 
 
 def compact_history(spark: SparkSession, path: str, keys: Sequence[str] = KEYS) -> None:
-    """Fold all batches written so far into the newest of them and delete the others.
+    """Fold all batches but the newest, and earlier folds, into one new fold and delete what it stands for.
 
-    The fold is written before anything is deleted, and a maximum read twice is the same maximum, so readers see
-    one state at any time and a compaction that stops half-way may be repeated.
+    The stream may not have committed its newest batch and may write it again, so that one is neither folded nor
+    deleted.  Folds have negative ids, which no batch has, and never overwrite each other.  The fold is written before
+    anything is deleted, and a maximum read twice is the same maximum, so a compaction that stops half-way may be
+    repeated.
     """
     parts = spark.read.parquet(path)
-    newest = parts.agg(F.max("batch_id")).first()[0]
-    if newest is None:
+    ids = sorted(r[0] for r in parts.select("batch_id").distinct().collect())  # one per batch
+    old = ids[:-1]
+    if len(old) < 2:
         return
-    folded = cut(parts.where(F.col("batch_id") <= newest).groupBy(*keys, "change_id", "name").agg(F.max("deployed_at").alias("deployed_at"), F.max("reverted_at").alias("reverted_at")))
-    old = [r[0] for r in parts.where(F.col("batch_id") < newest).select("batch_id").distinct().collect()]  # one per batch
-    _put(folded.withColumn("batch_id", F.lit(newest)), path, "batch_id")
+    folded = cut(parts.where(F.col("batch_id") < ids[-1]).groupBy(*keys, "change_id", "name").agg(F.max("deployed_at").alias("deployed_at"), F.max("reverted_at").alias("reverted_at")))
+    _put(folded.withColumn("batch_id", F.lit(min(ids[0], 0) - 1)), path, "batch_id")
     for batch_id in old:
         at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id={batch_id}")
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
