@@ -16,9 +16,12 @@ from changewright.llm.decontaminate import contamination
 from changewright.llm.language_id import identify_languages
 from changewright.llm.line_dedup import line_decisions
 from changewright.llm.multi_index import near_vectors
+from changewright.llm.prefix_trie import conversation_trie
 from changewright.llm.sentence_dedup import sentence_dedup
+from changewright.llm.sharding import FACTOR, PRIME, SEED, SHARDS, round_keys, shard_digests
 from changewright.llm.simhash import simhash_components
 from changewright.llm.suffix_dedup import suffix_dedup
+from changewright.llm.token_alignment import align_documents
 from changewright.llm.url_reputation import judge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,3 +190,48 @@ def op10(spark, sf_dir):
 @query("op4_multi_index")
 def op4(spark, sf_dir):
     return near_vectors(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
+#: CRC-32 of a list of bytes ``{0}``, by a table that SQL makes from the polynomial.
+_CRC_TABLE = "(SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, i: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))) AS tab)"
+
+
+def _crc32(text: str) -> str:
+    listed = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda p: CAST('0x' || p AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {listed}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+_MIX = f"(((y + k) % {PRIME}) * ((y + k) % {PRIME}) % {PRIME}) * {FACTOR} % {PRIME}"
+
+
+@query("op11_feistel_shards", f"""WITH RECURSIVE k(j, k) AS (VALUES {", ".join(f"({j}, {k})" for j, k in enumerate(round_keys(SEED)))}),
+n AS (SELECT n, a, (n + a - 1) // a AS b FROM (SELECT count(*) AS n, greatest(CAST(ceil(sqrt(count(*))) AS BIGINT), 1) AS a FROM documents)),
+r AS (SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size, {_crc32("coalesce(text, '')")} AS crc, row_number() OVER (ORDER BY doc_id NULLS FIRST, md5(text) NULLS FIRST) - 1 AS no FROM documents, {_CRC_TABLE} t),
+w(no, x, y, i) AS (SELECT no, no // b, no % b, 0 FROM r, n UNION ALL
+  SELECT no, y, (x + {_MIX}) % (CASE WHEN j % 2 = 0 THEN a ELSE b END), i + 1 FROM w JOIN k ON j = i % 8, n WHERE i = 0 OR i % 8 <> 0 OR x * b + y >= n)
+SELECT doc_id, CAST(size AS BIGINT) AS size, crc AS text_crc32, 'rows' AS law, CAST((x * b + y) % {SHARDS} AS INTEGER) AS shard, CAST((x * b + y) // {SHARDS} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM r JOIN w USING (no), n WHERE i > 0 AND i % 8 = 0 AND x * b + y < n""")
+def op11(spark, sf_dir):
+    placed = shard_digests(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op12_splitter_trie", f"""WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS d FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(md5(length(role) || ':' || role || text) ORDER BY d) AS k, list(strlen(text) ORDER BY d) AS s FROM t GROUP BY 1),
+h AS (SELECT conv_id, k, s, conv_id - conv_id % 5 AS base, {_crc32("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM own, {_CRC_TABLE} t),
+p AS (SELECT a.conv_id, list_concat(coalesce(b.k, [])[1:h], a.k[h + 1:]) AS k, list_concat(coalesce(b.s, [])[1:h], a.s[h + 1:]) AS s FROM h a LEFT JOIN own b ON b.conv_id = a.base),
+m AS (SELECT conv_id, k[1:d] AS pre, d, s[d] AS size, len(k) = d AS ended FROM (SELECT *, unnest(range(0, len(k) + 1)) AS d FROM p)),
+n AS (SELECT pre, d, min(conv_id) AS conv_id, count(*) AS n, coalesce(any_value(size), 0) AS size, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ended), '')) AS ends FROM m GROUP BY 1, 2),
+c AS (SELECT pre[1:d - 1] AS pre, d - 1 AS d, count(*) AS c FROM n WHERE d > 0 GROUP BY 1, 2),
+v AS (SELECT pre, d, CASE WHEN c IS NULL THEN 1 ELSE 0 END AS leaf, (n - 1) * size AS saved FROM n LEFT JOIN c USING (pre, d)),
+u AS (SELECT pre[1:e] AS pre, e AS d, sum(leaf) AS leaves, sum(saved) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM v) GROUP BY 1, 2)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(c, 0) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, n.ends AS ends_sha256
+FROM n JOIN u USING (pre, d) LEFT JOIN c USING (pre, d) LEFT JOIN n up ON n.d > 0 AND up.d = n.d - 1 AND up.pre = n.pre[1:n.d - 1]""")
+def op12(spark, sf_dir):
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_token_alignment")
+def op13(spark, sf_dir):
+    return align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
