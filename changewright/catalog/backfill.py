@@ -226,10 +226,14 @@ def mask_uri(s, d):
 
 @query("run_backfill", "SELECT o_orderkey, o_totalprice * 2 AS doubled FROM orders")
 def run_backfill(s, d):
-    """Half of the table, then the rest by ``last_pk`` with another size, then all ranges once more with a third."""
+    """Runs whose ranges overlap in every way, which together must write each row once.
+
+    A quarter in large batches, one small batch inside them, a stretch across the quarter's end, half of the table by
+    ``last_pk``, then all of it in batches of another size, and once more.
+    """
     folder = f"{checkpoint_dir(s)}/{uuid.uuid4().hex}"
     orders = table(s, d, "orders").select("o_orderkey", "o_totalprice")
-    half = orders.agg(F.percentile_approx("o_orderkey", 0.5)).first()[0]
+    quarter, half = orders.agg(F.percentile_approx("o_orderkey", F.array(F.lit(0.25), F.lit(0.5)))).first()[0] or (None, None)
 
     def run(rows, batches):
         def doubled(x):
@@ -238,8 +242,22 @@ def run_backfill(s, d):
         B.run_backfill(rows, "o_orderkey", doubled, batches, f"{folder}/out", f"{folder}/log", batches_per_commit=7)
 
     if half is not None:
-        early = orders.where(F.col("o_orderkey") <= half)
-        run(early, B.plan_batches(early, "o_orderkey", 500))
+        key = F.col("o_orderkey")
+        run(orders, B.plan_batches(orders.where(key <= quarter), "o_orderkey", 1000))
+        small = B.plan_batches(orders, "o_orderkey", 100)
+        run(orders, small.where("batch_no = 5"))
+        run(orders, small.where((F.col("max_pk") > quarter) & (F.col("min_pk") <= half) & (F.col("batch_no") % 3 > 0)))
         run(orders, B.plan_batches(orders, "o_orderkey", 700, last_pk=half))
+        run(orders, small)
         run(orders, B.plan_batches(orders, "o_orderkey", 300))
     return B.backfilled(s, f"{folder}/out", f"{folder}/log")
+
+
+@query("merge_ranges", """WITH r AS (SELECT o_orderkey AS lo, o_orderkey + CAST(floor(o_totalprice) AS BIGINT) % 7 AS hi FROM orders WHERE o_orderkey % 5 < 3),
+m AS (SELECT *, max(hi) OVER (ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r),
+g AS (SELECT *, sum(CASE WHEN reach IS NULL OR lo > reach THEN 1 ELSE 0 END) OVER (ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS no FROM m)
+SELECT min(lo) AS min_pk, max(hi) AS "end" FROM g GROUP BY no""")
+def merge_ranges(s, d):
+    key = F.col("o_orderkey")
+    ranges = table(s, d, "orders").where(key % 5 < 3).select(key.alias("min_pk"), (key + F.floor("o_totalprice").cast("long") % 7).alias("max_pk"))
+    return B.merge_ranges(ranges)

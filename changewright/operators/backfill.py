@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from changewright.functions.values import interval_seconds
 from changewright.operators import ordered
-from changewright.session import read_table
+from changewright.session import cut, read_table
 
 # Job states and the steps allowed between them.
 STATUSES = ("pending", "running", "paused", "done", "failed", "dead", "cancelled")
@@ -48,6 +48,19 @@ def plan_batches(df: DataFrame, pk: str, size: int = BATCH_SIZE, last_pk=None) -
     return rows.groupBy("batch_no").agg(F.min(pk).alias("min_pk"), F.max(pk).alias("max_pk"), F.count(F.lit(1)).alias("rows"))
 
 
+def merge_ranges(ranges: DataFrame, low: str = "min_pk", high: str = "max_pk") -> DataFrame:
+    """Union of the closed key ranges: (min_pk, end) of each stretch that they cover without a gap between them.
+
+    A range opens a new stretch if it starts behind everything that earlier starts have reached.
+    """
+    starts = ranges.groupBy(F.col(low).alias("_low")).agg(F.max(high).alias("_high"))
+    sliced = ordered.slice_by_sort(starts, [], [F.col("_low")])
+    reached = ordered.running_max(sliced, [], F.col("_high"), "_reach", own=False)
+    opens = F.when(F.col("_reach").isNull() | (F.col("_low") > F.col("_reach")), F.col("_low"))
+    stretches = ordered.fill_down(reached, [], opens, "min_pk")
+    return stretches.groupBy("min_pk").agg(F.max("_high").alias("end"))
+
+
 def run_backfill(
     df: DataFrame,
     pk: str,
@@ -59,35 +72,42 @@ def run_backfill(
 ) -> DataFrame:
     """Write every unfinished batch through ``transform``; returns the log.
 
-    A batch is its key range: a range in the log is not computed again, and rows inside any logged range are left
-    out, whatever the batch size or numbers of this plan.  ``batches_per_commit`` batches share an output directory
-    under the id of this run; output counts only if the log names it (``backfilled``), so a failed run leaves
-    nothing behind that is read.  ``pk`` is unique in ``df``.
+    A batch is its key range.  What is done is the union of all logged ranges, whatever plans they came from: batches
+    inside it are left out before any row is read, and rows inside it are left out of the others, so any mix of
+    sizes, subsets and repeated runs gives what one full run gives.  A logged range has the rows that were written
+    for it; ranges without any are not logged.  Batches may overlap: a row belongs to the one that reaches furthest.
+    ``batches_per_commit`` batches share an output directory under the id of this run; output counts only if the log
+    names it (``backfilled``), so a failed run leaves nothing behind that is read.  ``pk`` is unique in ``df``.
+    Rows are sorted by key once; only keys between the first and the last open batch are read.
     """
     spark = df.sparkSession
     run = uuid.uuid4().hex
     todo = batches.withColumn("commit_no", F.floor((F.col("batch_no") - 1) / batches_per_commit))
     done = read_table(spark, log)
+    points = []
     if done is not None:
-        todo = todo.join(done.select("min_pk", F.col("last_pk").alias("max_pk")), ["min_pk", "max_pk"], "left_anti")
-    if todo.isEmpty():
+        stretches = cut(merge_ranges(done, "min_pk", "last_pk").withColumn("_all", F.lit(0)))
+        points.append((stretches, "min_pk", F.col("end"), "_end"))
+        todo = ordered.asof_all(todo.withColumn("_all", F.lit(0)), ["_all"], "min_pk", points).where("_end is null or _end < max_pk").drop("_end", "_all")
+    todo = cut(todo)
+    first, last = todo.agg(F.min("min_pk"), F.max("max_pk")).first()
+    if first is None:
         return done
-
-    def within(rows: DataFrame, ranges: DataFrame, value: Column, name: str) -> DataFrame:
-        starts = ranges.withColumns({"_all": F.lit(0), "_at": F.col("min_pk")})
-        return ordered.asof(rows.withColumn("_all", F.lit(0)), starts, ["_all"], pk, "_at", value, name).drop("_all")
-
-    rows = within(df, todo, F.struct("batch_no", "commit_no", "max_pk"), "_b")
-    rows = rows.where(F.col("_b").isNotNull() & (F.col(pk) <= F.col("_b.max_pk")))
+    batch = F.struct("max_pk", "batch_no", "commit_no")
+    starts = todo.groupBy("min_pk").agg(F.max(batch).alias("_b"))
+    furthest = ordered.running_max(ordered.slice_by_sort(starts, [], [F.col("min_pk")]), [], F.col("_b"), "_far")
+    points.append((furthest.withColumn("_all", F.lit(0)), "min_pk", F.col("_far"), "_b"))
+    rows = df.where(F.col(pk).between(F.lit(first), F.lit(last))).withColumn("_all", F.lit(0))
+    rows = ordered.asof_all(rows, ["_all"], pk, points).drop("_all").where(F.col("_b").isNotNull() & (F.col(pk) <= F.col("_b.max_pk")))
     if done is not None:
-        covered = done.groupBy("min_pk").agg(F.max("last_pk").alias("end"))
-        rows = within(rows, covered, F.col("end"), "_end").where(F.col("_end").isNull() | (F.col(pk) > F.col("_end"))).drop("_end")
+        rows = rows.where(F.col("_end").isNull() | (F.col(pk) > F.col("_end"))).drop("_end")
     placed = rows.withColumns({"batch_no": F.col("_b.batch_no"), "commit_no": F.col("_b.commit_no")}).drop("_b")
-    placed = transform(placed).withColumn("run", F.lit(run)).repartition("commit_no")
-    placed.write.mode("append").partitionBy("run", "commit_no").parquet(out)
-    entry = todo.select(F.lit(run).alias("run"), "commit_no", "batch_no", "min_pk", F.col("max_pk").alias("last_pk"), "rows")
-    entry.write.mode("append").parquet(log)
-    return spark.read.parquet(log)
+    transform(placed).withColumn("run", F.lit(run)).write.mode("append").partitionBy("run", "commit_no").parquet(out)
+    written = placed.groupBy("batch_no").agg(F.count(F.lit(1)).alias("rows"))
+    entry = todo.drop("rows").join(written, "batch_no").select(F.lit(run).alias("run"), "commit_no", "batch_no", "min_pk", F.col("max_pk").alias("last_pk"), "rows")
+    if not entry.isEmpty():
+        entry.write.mode("append").parquet(log)
+    return read_table(spark, log)
 
 
 def backfilled(spark: SparkSession, out: str, log: str) -> DataFrame:

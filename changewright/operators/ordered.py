@@ -10,7 +10,8 @@ Slices come from either
 * ``slice_by_position``: an integer that is unique within the key (a plan
   position).  Its quotient bounds a slice to ``width`` rows; no extra job.
 * ``slice_by_sort``: any order.  A range partitioning on (keys, order) is
-  written once, so that slice numbers stay the same for every later use.
+  written once, so that slice numbers stay the same for every later use.  Its
+  splitters are sampled by Spark; how many there are follows from the row count.
 
 A step reads its input twice: rows and summary.  Where the input is itself
 the result of such a step, ``base`` names the sliced table it came from, and
@@ -29,14 +30,16 @@ from changewright.session import cut
 SLICE = "_slice"
 AT = "_at"
 WIDTH = 1 << 17
+#: Rows that a sorted slice holds, about; ten times 10^10 rows are 50,000 slices.
+SORT_WIDTH = 1 << 21
 
 
 def slice_by_position(df: DataFrame, pos: str, width: int = WIDTH) -> DataFrame:
     return df.withColumn(SLICE, F.floor(F.col(pos) / F.lit(width))).withColumn(AT, F.col(pos).cast("long"))
 
 
-def slice_by_sort(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def slice_by_sort(df: DataFrame, keys: Sequence[str], order: Sequence[Column], width: int = SORT_WIDTH) -> DataFrame:
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // width))
     by = [F.col(k) for k in keys] + list(order)
     placed = df.repartitionByRange(parts, *by).sortWithinPartitions(*by)
     numbered = cut(placed.withColumn(AT, F.monotonically_increasing_id()))
@@ -85,6 +88,15 @@ def neighbour(
     return joined.withColumn(name, F.coalesce("_o_near", "_o_carry")["v"]).drop("_o_box", "_o_near", "_o_carry")
 
 
+def running_max(df: DataFrame, keys: Sequence[str], value: Column, name: str, base: DataFrame | None = None, own: bool = True) -> DataFrame:
+    """Largest non-null ``value`` up to each row, the row's own one included if ``own``."""
+    edge = _summary(df if base is None else base, keys, F.max(value).alias("_o_top"))
+    edge = edge.withColumn("_o_carry", F.max("_o_top").over(_across(keys).rowsBetween(Window.unboundedPreceding, -1))).drop("_o_top")
+    near = F.max("_o_value").over(_inside(keys).rowsBetween(Window.unboundedPreceding, 0 if own else -1))
+    joined = df.withColumn("_o_value", value).withColumn("_o_near", near).join(edge, [*keys, SLICE])
+    return joined.withColumn(name, F.greatest("_o_near", "_o_carry")).drop("_o_value", "_o_near", "_o_carry")
+
+
 def fill_down(df: DataFrame, keys: Sequence[str], value: Column, name: str, base: DataFrame | None = None) -> DataFrame:
     """Latest non-null ``value`` at or before each row."""
     return _fill(df, keys, value, name, True, base)
@@ -139,11 +151,18 @@ def asof(
     also when one key holds most rows of both sides.  ``right`` must have one
     row per (on, right_at).
     """
+    return asof_all(left, on, left_at, [(right, right_at, value, name)])
+
+
+def asof_all(left: DataFrame, on: Sequence[str], left_at: str, rights: Sequence[tuple[DataFrame, str, Column, str]]) -> DataFrame:
+    """``asof`` with several tables (table, its time column, value, name of the result) in one sort."""
     lrow = F.struct(*[F.col(c) for c in left.columns])
-    stacked = left.select(*on, F.col(left_at).alias("_o_ts"), F.lit(1).alias("_o_side"), lrow.alias("_o_row"))
-    points = right.select(*on, F.col(right_at).alias("_o_ts"), F.lit(0).alias("_o_side"), F.struct(value.alias("v")).alias("_o_point"))
-    rows = stacked.unionByName(points, allowMissingColumns=True)
+    rows = left.select(*on, F.col(left_at).alias("_o_ts"), F.lit(1).alias("_o_side"), lrow.alias("_o_row"))
+    for i, (right, at, value, _) in enumerate(rights):
+        points = right.select(*on, F.col(at).alias("_o_ts"), F.lit(0).alias("_o_side"), F.struct(value.alias("v")).alias(f"_o_point{i}"))
+        rows = rows.unionByName(points, allowMissingColumns=True)
     # the hash deals rows of one key and time over many slices
-    sliced = slice_by_sort(rows, on, [F.col("_o_ts"), F.col("_o_side"), F.xxhash64("_o_row")])
-    filled = fill_down(sliced, on, F.col("_o_point"), "_o_found").where("_o_side = 1")
-    return filled.select("_o_row.*", F.col("_o_found")["v"].alias(name))
+    sliced = filled = slice_by_sort(rows, on, [F.col("_o_ts"), F.col("_o_side"), F.xxhash64("_o_row")])
+    for i in range(len(rights)):
+        filled = fill_down(filled, on, F.col(f"_o_point{i}"), f"_o_found{i}", base=sliced)
+    return filled.where("_o_side = 1").select("_o_row.*", *[F.col(f"_o_found{i}")["v"].alias(name) for i, (*_, name) in enumerate(rights)])

@@ -69,6 +69,30 @@ def test_backfill_of_a_grown_table(spark, tmp_path):
     assert sorted(r.k for r in B.backfilled(spark, out, log).collect()) == list(range(1, 1601))
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_any_mix_of_backfill_runs_is_one_full_run(spark, tmp_path, seed):
+    import random
+
+    rng = random.Random(seed)
+    out, log = str(tmp_path / "out"), str(tmp_path / "log")
+    df = spark.range(0, 3000, 3).withColumnRenamed("id", "k")
+
+    def run(batches):
+        return B.run_backfill(df, "k", lambda rows: rows.withColumn("v", F.col("k") + 1), batches, out, log, batches_per_commit=rng.choice([1, 3, 1000]))
+
+    run(B.plan_batches(df.where("k < 1500"), "k", 1000))
+    assert run(B.plan_batches(df, "k", 100).where("batch_no = 5")).count() == 1  # inside what is done: not logged
+    for _ in range(2):
+        size, low = rng.choice([7, 40, 130]), rng.randrange(3000)
+        run(B.plan_batches(df, "k", size).where((F.col("min_pk") >= low) & (F.col("batch_no") % rng.choice([1, 2, 3]) == 0)))
+    # batches of one plan that overlap each other
+    run(spark.createDataFrame([(1, 900, 2000, 0), (2, 950, 960, 0), (3, 950, 1900, 0), (4, 1990, 2400, 0), (5, 5000, 6000, 0)], "batch_no long, min_pk long, max_pk long, rows long"))
+    done = run(B.plan_batches(df, "k", 100))
+    got = [r.k for r in B.backfilled(spark, out, log).collect()]
+    assert sorted(got) == list(range(0, 3000, 3))
+    assert done.agg(F.sum("rows")).first()[0] == 1000 and done.where("rows = 0").isEmpty()
+
+
 def test_changes_are_applied_one_by_one(spark):
     change = X.ColumnChange("old", "new", "int", "int")
     table = spark.createDataFrame([(1, 10, 10), (2, 1, 1), (4, 7, 7)], "k int, old int, new int")

@@ -70,3 +70,20 @@ def test_asof_matches_brute_force(spark):
     for k, at, i in left:
         before = [(t, v) for kk, t, v in right if kk == k and t <= at]
         assert got[i] == (max(before)[1] if before else None)
+
+
+@pytest.mark.parametrize("n", [3_000, 30_000])
+def test_rows_of_a_slice_are_bounded_at_any_size(spark, n):
+    df = spark.range(n).select(F.lit(1).alias("k"), (F.col("id") * 7919 % n).alias("v"))
+    sliced = O.slice_by_sort(df, ["k"], [F.col("v")], width=500)
+    sizes = [r["count"] for r in sliced.groupBy(O.SLICE).count().collect()]
+    assert sum(sizes) == n and max(sizes) <= 1000 and len(sizes) >= n // 1000
+
+
+def test_running_max(spark):
+    values = [3, None, 1, 7, 7, None, 2, 9, 4]
+    df = spark.createDataFrame([(k, i, v) for k in "ab" for i, v in enumerate(values)], "k string, pos long, v long")
+    for own in (True, False):
+        got = O.running_max(O.slice_by_position(df, "pos", 2), ["k"], F.col("v"), "m", own=own).orderBy("k", "pos").collect()
+        want = [max((v for v in values[: i + own] if v is not None), default=None) for i in range(len(values))]
+        assert [r["m"] for r in got] == want * 2
