@@ -26,8 +26,8 @@ from tokenizers import Tokenizer
 
 from changewright.llm.common import cut
 
-#: Characters of text in a batch (one text at least); pieces that a task remembers between batches.
-BATCH, KNOWN = 1 << 22, 150_000
+#: Characters of text in a batch (one text at least); pieces that a task remembers between batches, and learns at once.
+BATCH, KNOWN, LEARN = 1 << 22, 300_000, 1 << 14
 _CUT = re.compile(r"(?<=\S) (?=\S)").split
 _BATCHES = "batch long, t1 array<long>, t2 array<long>, times array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, " \
     "units array<int>, n_units array<int>, pairs array<int>, n_pairs array<int>, a array<int>, b array<int>, n array<long>"
@@ -56,6 +56,9 @@ class Aligner:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("a piece of the vocabulary reaches over a space: texts cannot be cut there")
+        #: Every id as text with each sign that may follow it.
+        self.ids = max(size, len(pieces))
+        self.names = [f"{i}{sign}" for sign in ",|;\n" for i in range(self.ids)]
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         self.forget()
 
@@ -69,10 +72,12 @@ class Aligner:
         expected = [f" {u}".encode() for u in new]
         ids_a = [e.ids for e in self.a.encode_batch_fast([f" {u}" for u in new], add_special_tokens=False)]
         ids_b = self.b.encode(new, num_threads=1)
-        a_of, b_of = self.a_bytes.__getitem__, self.b_bytes.__getitem__
-        good = [b"".join(map(a_of, x)) == e == b"".join(map(b_of, y)) for x, y, e in zip(ids_a, ids_b, expected, strict=True)]
-        ids_a, ids_b = ([x if ok else [] for x, ok in zip(ids, good, strict=True)] for ids in (ids_a, ids_b))
         unit = len(new)
+        good = [True] * unit
+        if not (self._whole(ids_a, self.a_bytes, expected) and self._whole(ids_b, self.b_bytes, expected)):
+            a_of, b_of = self.a_bytes.__getitem__, self.b_bytes.__getitem__
+            good = [b"".join(map(a_of, x)) == e == b"".join(map(b_of, y)) for x, y, e in zip(ids_a, ids_b, expected, strict=True)]
+            ids_a, ids_b = ([x if ok else [] for x, ok in zip(ids, good, strict=True)] for ids in (ids_a, ids_b))
         n_a, n_b = (np.fromiter(map(len, ids), np.int64, unit) for ids in (ids_a, ids_b))
         flat_a, flat_b = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in (ids_a, ids_b))
         end_a, end_b = np.cumsum(self.a_size[flat_a]), np.cumsum(self.b_size[flat_b])
@@ -90,13 +95,21 @@ class Aligner:
         self.links.frombytes(linked.astype(np.int64).tobytes())
         self.link_start.frombytes((self.link_start[-1] + np.cumsum(n_links)).astype(np.int64).tobytes())
 
+    @staticmethod
+    def _whole(ids: list[list[int]], of: list[bytes], expected: list[bytes]) -> bool:
+        """Whether the tokens of every piece give its bytes back: all at once, and the sizes one by one."""
+        parts = [*map(of.__getitem__, chain.from_iterable(ids))]
+        if b"".join(parts) != b"".join(expected):
+            return False
+        ends = np.append(0, np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))))[np.cumsum([*map(len, ids)])]
+        return bool((ends == np.cumsum([*map(len, expected)])).all())
+
     @staticmethod
     def _spread(text: list[str], good: list[bool]) -> Iterator[str]:
         own = iter(text)
         return (next(own) if ok else "" for ok in good)
 
-    @staticmethod
-    def _text(flat_a, flat_b, end_a, end_b, shared, end_unit) -> list[str]:
+    def _text(self, flat_a, flat_b, end_a, end_b, shared, end_unit) -> list[str]:
         """Groups of each good piece as text: its tokens by group, side and place, each with the sign that follows."""
         if not len(shared):
             return []
@@ -107,8 +120,7 @@ class Aligner:
         last = shared[group] == end
         sign = np.where(last, np.where(side == 0, 1, np.where(np.isin(end, end_unit), 3, 2)), 0)[order]
         ids = np.concatenate([flat_a, flat_b])[order]
-        parts = chain.from_iterable(zip(map(str, ids.tolist()), map(",|;\n".__getitem__, sign.tolist()), strict=True))
-        return "".join(parts).split("\n")[:-1]
+        return "".join(map(self.names.__getitem__, (sign * self.ids + ids).tolist())).split("\n")[:-1]
 
     def batch(self, number: int, keys: list[tuple[int, int, int]], texts: list[str]) -> dict:
         """One row for the texts: measures that need no counts, pieces of each text, pairs of each piece."""
@@ -116,8 +128,8 @@ class Aligner:
             self.forget()
         cuts = [_CUT(t) for t in texts]
         new = list(dict.fromkeys(u for c in cuts for u in c if u not in self.known))
-        if new:
-            self.learn(new)
+        for i in range(0, len(new), LEARN):
+            self.learn(new[i : i + LEARN])
         n = np.fromiter(map(len, cuts), np.int64, len(cuts))
         numbers = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cuts)), np.int64, int(n.sum()))
         start = np.cumsum(n) - n
