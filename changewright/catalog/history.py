@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from changewright.catalog.registry import query
-from changewright.fixtures import EVENTS_SQL, PLAN_SQL, change_events, deployed, micros, plan_changes, plan_tags
+from changewright.fixtures import EVENTS_SQL, PLAN_SQL, change_events, deployed, micros, plan_changes, plan_tags, table
 from changewright.functions.names import base_name, pair_base, parse_deps, phase_of
 from changewright.operators import graph as G
 from changewright.operators import history as H
@@ -327,6 +327,38 @@ def deploy_levels(s, d):
     return G.deploy_levels(plan_changes(s, d)).select(*K, "pos", "level")
 
 
+def _one_plan(s, d, requires):
+    """All orders as one plan, a change each, with requirements as names of other orders."""
+    key = F.col("o_orderkey")
+    named = F.transform(F.array_compact(requires(key)), lambda k: F.concat(F.lit("c"), k.cast("string")))
+    return table(s, d, "orders").select(
+        F.lit("db").alias("target"), (F.col("o_custkey") * 0).cast("string").alias("project"), key.alias("pos"), F.concat(F.lit("c"), key.cast("string")).alias("change_id"),
+        F.concat(F.lit("c"), key.cast("string")).alias("name"), named.alias("requires"))
+
+
+@query("deploy_levels_chain", """SELECT target, project, pos, row_number() OVER (PARTITION BY run ORDER BY pos) - 1 AS level FROM (
+  SELECT 'db' AS target, '0' AS project, o_orderkey AS pos, o_orderkey - row_number() OVER (ORDER BY o_orderkey) AS run FROM orders)""")
+def deploy_levels_chain(s, d):
+    """One plan in which every change requires the one before it, worked on by pointer doubling."""
+    return G.deploy_levels(_one_plan(s, d, lambda k: F.array(k - 1)), local=1000).select(*K, "pos", "level")
+
+
+@query("deploy_order_ladder", """SELECT 'db' AS target, '0' AS project, o_orderkey AS pos, row_number() OVER (ORDER BY o_orderkey // 40, o_orderkey DESC) AS seq FROM orders""")
+def deploy_order_ladder(s, d):
+    """One plan of ladders: a change requires the two behind it, within forty."""
+    def behind(k):
+        return F.array(*[F.when(F.floor((k + i) / 40) == F.floor(k / 40), k + i) for i in (1, 2)])
+
+    return G.deploy_order(_one_plan(s, d, behind)).select(*K, "pos", "seq")
+
+
+@query("cycles_behind_chain", """SELECT 'db' AS target, '0' AS project, 'c' || o_orderkey AS name FROM orders
+WHERE o_orderkey < 128 AND (SELECT count(*) FROM orders WHERE o_orderkey < 128) = 128""")
+def cycles_behind_chain(s, d):
+    """One plan in which every change requires the one before it and the first one the 128th: a ring and a long chain."""
+    return G.cycles(_one_plan(s, d, lambda k: F.array(F.when(k == 0, F.lit(127).cast("long")).otherwise(k - 1))), local=1000)
+
+
 ORDER_SQL = f"""{EDGES_SQL},
 anc AS (SELECT target, project, src AS a, dst AS v FROM edges
         UNION SELECT e.target, e.project, e.src, anc.v FROM anc JOIN edges e ON e.target = anc.target AND e.project = anc.project AND e.dst = anc.a),

@@ -1,24 +1,33 @@
 """Dependency graphs: levels, exact deploy order, cycles.
 
 A node is a change, known by its plan position.  An edge goes from a required
-change (``src``) to the change that needs it (``dst``).  Loops run over edge
-tables that shrink every round; each round is written to the shared checkpoint
+change (``src``) to the change that needs it (``dst``).
+
+A project whose changes and requirements number at most ``LOCAL`` rows is
+walked in one task (``plan_walk``); its size is counted, not guessed.  Larger
+projects are worked on as edge tables: whatever hangs on a single change is
+folded onto it by pointer doubling, so straight runs and trees of any depth
+take rounds by the logarithm of their length, and only places where several
+paths meet take a round each.  Every round is a table in the shared checkpoint
 folder, so lineage stays short and a lost executor costs one round.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changewright.functions.names import base_name
 from changewright.functions.values import is_non_transactional
-from changewright.operators import history, ordered
+from changewright.operators import history, ordered, plan_walk
 from changewright.operators.history import KEYS
-from changewright.session import cut
+from changewright.session import cut, drop_table
+
+#: Changes and requirements of a group that one task walks.
+LOCAL = 1 << 17
 
 
 class CycleError(ValueError):
@@ -37,36 +46,94 @@ def _union(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def peel(edges: DataFrame, keys: Sequence[str] = KEYS) -> tuple[list[DataFrame], DataFrame]:
-    """Drop edges whose source waits for nothing, round by round.
+def _jump(pointers: DataFrame, keys: Sequence[str], combine: Callable[[Column, Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """Follow (node, up, w) until ``up`` is no node of the table; ``combine`` folds the weights on the way.
 
-    Returns the nodes still waiting in each round and the edges that never go
-    away: those on or behind a cycle.
+    Every round doubles the way of each pointer.  Returns the pointers at their ends and those that have none: once as
+    many move as in the round before, all of them are on a cycle of pointers or lead into one.
+    """
+    now, before = cut(pointers), None
+    while True:
+        ahead = now.select(*keys, F.col("node").alias("up"), F.col("up").alias("_up"), F.col("w").alias("_w"), F.lit(True).alias("_more"))
+        more = F.col("_more").isNotNull()
+        moved = now.drop("moved").join(ahead, [*keys, "up"], "left").select(
+            *keys, "node", F.when(more, F.col("_up")).otherwise(F.col("up")).alias("up"), F.when(more, combine(F.col("_w"), F.col("w"))).otherwise(F.col("w")).alias("w"), more.alias("moved"))
+        after = cut(moved)
+        drop_table(now)
+        count = after.where("moved").count()
+        if count == 0 or count == before:
+            return after.where("not moved").drop("moved"), after.where("moved").drop("moved")
+        now, before = after, count
+
+
+def fold_paths(edges: DataFrame, keys: Sequence[str], combine: Callable[[Column, Column], Column]) -> DataFrame:
+    """(node, w): the largest weight over all paths from a node without requirements; w(path) by ``combine`` along edges.
+
+    ``edges`` has ``src``, ``dst`` and ``w``; ``combine`` must grow with its first argument.  Nodes without
+    requirements, and nodes on or behind a cycle, are not listed.  A round takes every node with a single requirement,
+    follows it up to the next node with several (or to the start), and hangs the edges that leave it there; several
+    edges between two nodes become their largest.
     """
-    rounds: list[DataFrame] = []
-    left = cut(edges)
-    size = left.count()
-    while size:
-        waiting = left.select(*keys, F.col("dst").alias("node")).distinct()
-        rounds.append(waiting)
-        blocked = waiting.withColumnRenamed("node", "src")
-        left = cut(left.join(blocked, [*keys, "src"], "left_semi").select(*keys, "src", "dst"))
-        smaller = left.count()
-        if smaller == size:
+    def merged(rows: DataFrame) -> DataFrame:
+        return cut(rows.groupBy(*keys, "up", "dst").agg(F.max("w").alias("w")))
+
+    waiting = edges.select(*keys, F.col("dst").alias("src"), F.lit(True).alias("_waits")).distinct()
+    now = merged(edges.join(waiting, [*keys, "src"], "left").select(*keys, F.when(F.col("_waits"), F.col("src")).alias("up"), "dst", "w"))
+    ends: list[DataFrame] = []
+    while True:
+        counted = cut(now.groupBy(*keys, "dst").agg(F.count(F.lit(1)).alias("n"), F.max("up").alias("up"), F.max("w").alias("w")))
+        single = counted.where("n = 1").select(*keys, F.col("dst").alias("node"), "up", "w")
+        if single.isEmpty():
             break
-        size = smaller
-    return rounds, left
+        ended, _ = _jump(single, keys, combine)
+        ends.append(ended)
+        several = now.join(counted.where("n > 1").select(*keys, "dst"), [*keys, "dst"], "left_semi")
+        above = ended.select(*keys, F.col("node").alias("up"), F.col("up").alias("_up"), F.col("w").alias("_w"), F.lit(True).alias("_more"))
+        more = F.col("_more").isNotNull()
+        hung = several.join(above, [*keys, "up"], "left").select(
+            *keys, F.when(more, F.col("_up")).otherwise(F.col("up")).alias("up"), "dst", F.when(more, combine(F.col("_w"), F.col("w"))).otherwise(F.col("w")).alias("w"))
+        after = merged(hung)
+        drop_table(counted)
+        drop_table(now)
+        now = after
+    if not ends:
+        return now.where("false").select(*keys, F.col("dst").alias("node"), "w")
+    done, _ = _jump(_union(ends), keys, combine)
+    return done.where("up is null").select(*keys, "node", "w")
+
+
+def _stuck(edges: DataFrame, resolved: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Nodes with requirements that ``fold_paths`` does not list: those on or behind a cycle."""
+    return edges.select(*keys, F.col("dst").alias("node")).distinct().join(resolved, [*keys, "node"], "left_anti")
+
+
+def _split(nodes: DataFrame, edges: DataFrame, group: Sequence[str], local: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of bounded groups, names of the others); a row without ``src`` is a node."""
+    rows = nodes.select(*group, "pos", F.lit(None).cast("long").alias("src")).unionByName(edges.select(*group, F.col("dst").cast("long").alias("pos"), F.col("src").cast("long").alias("src")))
+    sizes = cut(rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")))
+    return rows.join(sizes.where(F.col("_n") <= local).select(*group), list(group), "left_semi"), sizes.where(F.col("_n") > local).select(*group)
+
 
+def _walk(rows: DataFrame, group: Sequence[str], walk: Callable, *columns: str) -> DataFrame:
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in group] + [f"{c} long" for c in columns]
+    return rows.groupBy(*group).applyInArrow(lambda t: walk(t, group), ", ".join(kinds))
 
-def deploy_levels(changes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+
+def deploy_levels(changes: DataFrame, keys: Sequence[str] = KEYS, local: int = LOCAL) -> DataFrame:
     """Longest-path depth of each change; ordering by (level, pos) is a valid order."""
-    rounds, core = peel(requirement_edges(changes, keys), keys)
-    if not core.isEmpty():
+    edges = cut(requirement_edges(changes, keys))
+    small, large = _split(changes.select(*keys, F.col("pos").cast("long").alias("pos")), edges, keys, local)
+    walked = cut(_walk(small, keys, plan_walk.order_and_level, "pos", "rank", "level"))
+    depth = walked.select(*keys, "pos", "level")
+    cyclic = not walked.where("rank < 0").isEmpty()
+    if not large.isEmpty():
+        own = edges.join(large, list(keys), "left_semi")
+        folded = cut(fold_paths(own.withColumn("w", F.lit(1).cast("long")), keys, lambda a, b: a + b))
+        cyclic = cyclic or not _stuck(own, folded, keys).isEmpty()
+        depth = depth.unionByName(folded.select(*keys, F.col("node").alias("pos"), F.col("w").alias("level")))
+    if cyclic:
         raise CycleError("requirements form a cycle; see cycles()")
     base = changes.select(*keys, "change_id", "name", "pos")
-    if not rounds:
-        return base.withColumn("level", F.lit(0).cast("long"))
-    depth = _union(rounds).groupBy(*keys, F.col("node").alias("pos")).agg(F.count(F.lit(1)).alias("level"))
     return base.join(depth, [*keys, "pos"], "left").withColumn("level", F.coalesce("level", F.lit(0).cast("long")))
 
 
@@ -87,40 +154,38 @@ def _propagate_max(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     return raised.drop("fresh")
 
 
-def deploy_order(changes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def deploy_order(changes: DataFrame, keys: Sequence[str] = KEYS, local: int = LOCAL) -> DataFrame:
     """Topological order that always takes the smallest free plan position.
 
-    A change can only be deployed once its largest ancestor M is, and all
-    changes with a smaller M come first.  So M is the first sort key.  Changes
-    that share M are the change at M, which goes first, and changes waiting
-    for it; among those the same argument applies again.  The sort key of a
-    change is therefore the path of its M values, ending in its own position.
-    Plans without forward requirements need a single round, and no project is
-    ever gathered in one task.
-
-    A cycle shows in the round whose M lies on it: the change at M then waits
-    for a change of its own group.
+    A group of at most ``local`` rows is walked with a heap in one task.  A larger group is split: a change can only be
+    deployed once its largest ancestor M is, and all changes with a smaller M come first, so M is the first sort key;
+    changes that share M are the change at M, which goes first, and changes waiting for it, a group of its own.  The
+    sort key of a change is therefore the path of its M values, ending in its rank or its own position.
     """
-    edges = cut(requirement_edges(changes, keys))
-    work = changes.select(*keys, "pos", F.array().cast("array<long>").alias("path"))
+    edges = cut(requirement_edges(changes, keys).withColumn("path", F.array().cast("array<long>")))
+    work = changes.select(*keys, F.col("pos").cast("long").alias("pos"), F.array().cast("array<long>").alias("path"))
+    group = [*keys, "path"]
     settled: list[DataFrame] = []
     while True:
-        raised = _propagate_max(edges, keys).withColumnRenamed("node", "pos")
-        own = work.join(raised, [*keys, "pos"], "left_anti")
-        settled.append(own.select(*keys, "pos", F.concat("path", F.array("pos")).alias("path")))
-        if raised.isEmpty():
+        small, large = _split(work, edges, group, local)
+        walked = cut(_walk(small, group, plan_walk.order_and_level, "pos", "rank", "level"))
+        if not walked.where("rank < 0").isEmpty():
+            raise CycleError("requirements form a cycle; see cycles()")
+        settled.append(walked.select(*keys, "pos", F.concat("path", F.array("rank")).alias("path")))
+        if large.isEmpty():
             break
-        back = raised.select(*keys, F.col("pos").alias("src"), F.col("label").alias("dst"))
-        loops = edges.join(back, [*keys, "src", "dst"], "left_semi").unionByName(edges.where("src = dst"))
-        if not loops.isEmpty():
+        work, edges = (cut(x.join(large, group, "left_semi")) for x in (work, edges))
+        weighed = edges.select(*keys, "src", "dst", F.col("src").cast("long").alias("w"))
+        folded = cut(fold_paths(weighed, keys, F.greatest))
+        if not _stuck(edges, folded, keys).isEmpty():
             raise CycleError("requirements form a cycle; see cycles()")
-        work = work.join(raised, [*keys, "pos"])
-        work = cut(work.select(*keys, "pos", F.concat("path", F.array("label")).alias("path")))
+        raised = folded.where("w > node").select(*keys, F.col("node").alias("pos"), F.col("w").alias("label"))
+        own = work.join(raised, [*keys, "pos"], "left_anti")
+        settled.append(own.select(*keys, "pos", F.concat("path", F.array("pos")).alias("path")))
+        work = cut(work.join(raised, [*keys, "pos"]).select(*keys, "pos", F.concat("path", F.array("label")).alias("path")))
         ends = [work.select(*keys, F.col("pos").alias(e), F.col("path").alias(f"_{e}")) for e in ("src", "dst")]
-        edges = edges.join(ends[0], [*keys, "src"]).join(ends[1], [*keys, "dst"]).where("_src = _dst")
-        edges = cut(edges.select(*keys, "src", "dst"))
-    if not edges.where("src = dst").isEmpty():
-        raise CycleError("a change requires itself; see cycles()")
+        edges = edges.drop("path").join(ends[0], [*keys, "src"]).join(ends[1], [*keys, "dst"]).where("_src = _dst")
+        edges = cut(edges.select(*keys, "src", "dst", F.col("_src").alias("path")))
     placed = ordered.number_by(_union(settled), keys, [F.col("path")], "seq").drop("path")
     return changes.join(placed, [*keys, "pos"])
 
@@ -143,37 +208,71 @@ def deploy_preview(
     return rows.join(marks, [*keys, "change_id"], "left").withColumn("no_transaction", F.coalesce("no_transaction", F.lit(False)))
 
 
-def cycles(changes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def cycles(changes: DataFrame, keys: Sequence[str] = KEYS, local: int = LOCAL) -> DataFrame:
     """Names that lie on a requirement cycle, a self-requirement included.
 
-    What peeling from both ends leaves may still hold bridges between cycles.
-    So strongly connected parts are taken off one colour at a time: the
-    largest ancestor colours a node, and the nodes of that colour that also
-    reach it back form its part.  Only labels move; reachable pairs are never
-    listed.
+    Bounded projects are walked in a task.  In larger ones, what is not on or between cycles is folded away from both
+    ends.  Straight runs of what is left become one edge each by pointer doubling (a run that only leads to itself is a
+    cycle); then strongly connected parts are taken off one colour at a time: the largest ancestor colours a node, and
+    the nodes of that colour that also reach it back form its part.  A run is on a cycle if both its ends are in one
+    part.  Only labels move; reachable pairs are never listed.
     """
-    firsts = history.first_of_name(changes, keys)
-    edges = requirement_edges(changes, keys)
-    only_first = firsts.select(*keys, F.col("pos").alias("dst"))
-    edges = edges.join(only_first, [*keys, "dst"], "left_semi").select(*keys, "src", "dst")
+    firsts = cut(history.first_of_name(changes, keys).select(*keys, "name", F.col("pos").cast("long").alias("pos")))
+    edges = requirement_edges(changes, keys).join(firsts.select(*keys, F.col("pos").alias("dst")), [*keys, "dst"], "left_semi")
+    edges = cut(edges.select(*keys, F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")))
+    small, large = _split(firsts, edges, keys, local)
+    found = _walk(small, keys, plan_walk.nodes_on_cycles, "pos")
+    if not large.isEmpty():
+        found = found.unionByName(_large_cycles(edges.join(large, list(keys), "left_semi"), keys))
+    return firsts.join(found.distinct(), [*keys, "pos"], "left_semi").select(*keys, "name")
+
+
+def _large_cycles(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(pos) of the nodes on cycles, by edge tables."""
     edges = _trim(edges, keys)
-    found = [cut(edges.where("src = dst").select(*keys, F.col("src").alias("pos")))]
+    loops = edges.where("src = dst").select(*keys, F.col("src").alias("node")).distinct()
+    found = [cut(loops.select(*keys, F.col("node").alias("pos")))]
     edges = _trim(edges.where("src <> dst"), keys)
-    while not edges.isEmpty():
-        part = _coloured_parts(edges, keys)
+    ins = edges.groupBy(*keys, F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("i"), F.max("src").alias("before"))
+    outs = edges.groupBy(*keys, F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("o"), F.max("dst").alias("after"))
+    straight = cut(ins.join(outs, [*keys, "node"]).where("i = 1 and o = 1").select(*keys, "node", "before", "after"))
+    zero, keep = F.lit(0).cast("long"), lambda a, b: a
+    heads, rings = _jump(straight.select(*keys, "node", F.col("before").alias("up"), zero.alias("w")), keys, keep)
+    tails, _ = _jump(straight.select(*keys, "node", F.col("after").alias("up"), zero.alias("w")), keys, keep)
+    found.append(rings.select(*keys, F.col("node").alias("pos")))
+    runs = cut(heads.select(*keys, "node", F.col("up").alias("src")).join(tails.select(*keys, "node", F.col("up").alias("dst")), [*keys, "node"]))
+    inside = [straight.select(*keys, F.col("node").alias(e)) for e in ("src", "dst")]
+    others = edges.join(inside[0], [*keys, "src"], "left_anti").join(inside[1], [*keys, "dst"], "left_anti")
+    core = cut(others.select(*keys, "src", "dst").unionByName(runs.select(*keys, "src", "dst")).distinct())
+    own = core.where("src = dst").select(*keys, F.col("src").alias("node")).distinct()
+    found.append(own.select(*keys, F.col("node").alias("pos")))
+    parts: list[DataFrame] = []
+    left = _trim(core.where("src <> dst"), keys)
+    while not left.isEmpty():
+        part = _coloured_parts(left, keys)
         sizes = part.groupBy(*keys, "colour").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        found.append(part.join(sizes, [*keys, "colour"], "left_semi").select(*keys, F.col("node").alias("pos")))
+        parts.append(cut(part.join(sizes, [*keys, "colour"], "left_semi").select(*keys, "node", "colour")))
         for end in ("src", "dst"):
-            edges = edges.join(part.select(*keys, F.col("node").alias(end)), [*keys, end], "left_anti")
-        edges = _trim(edges.select(*keys, "src", "dst"), keys)
-    on_cycle = _union(found).distinct()
-    return firsts.join(on_cycle, [*keys, "pos"], "left_semi").select(*keys, "name")
+            left = left.join(part.select(*keys, F.col("node").alias(end)), [*keys, end], "left_anti")
+        left = _trim(left.select(*keys, "src", "dst"), keys)
+    closed = F.col("src") == F.col("dst")
+    if parts:
+        coloured = _union(parts)
+        found.append(coloured.select(*keys, F.col("node").alias("pos")))
+        for e in ("src", "dst"):
+            runs = runs.join(coloured.select(*keys, F.col("node").alias(e), F.col("colour").alias(f"_{e}")), [*keys, e], "left")
+        closed = closed | F.coalesce(F.col("_src") == F.col("_dst"), F.lit(False))
+    return _union([*found, runs.where(closed).select(*keys, F.col("node").alias("pos"))])
 
 
 def _trim(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Edges that peeling from the front and from the back both keep."""
-    flipped = peel(edges, keys)[1].select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return peel(flipped, keys)[1].select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))
+    """Edges whose source is on or behind a cycle and whose end is on or before one."""
+    for _ in range(2):
+        folded = fold_paths(edges.withColumn("w", F.lit(0).cast("long")), keys, lambda a, b: b)
+        blocked = _stuck(edges, folded, keys).withColumnRenamed("node", "src")
+        left = edges.join(blocked, [*keys, "src"], "left_semi")
+        edges = cut(left.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return edges
 
 
 def _coloured_parts(edges: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -40,6 +40,14 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Delete the files behind a table that ``cut`` wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
     """The Parquet table at ``path``, or null if nothing was written there yet."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
