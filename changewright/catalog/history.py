@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from changewright.catalog.registry import query
@@ -9,6 +11,7 @@ from changewright.fixtures import EVENTS_SQL, PLAN_SQL, change_events, deployed,
 from changewright.functions.names import base_name, pair_base, parse_deps, phase_of
 from changewright.operators import graph as G
 from changewright.operators import history as H
+from changewright.session import checkpoint_dir
 from changewright.sources import history_store as S
 from changewright.sources import scripts as C
 
@@ -256,6 +259,23 @@ def events_query(s, d):
     return out.select("event", "target", "change_id", micros(F.col("committed_at")).alias("committed_us"), "event_id")
 
 
+@query("events_pages", f"""{E} SELECT page + 1 AS page, event_id, epoch_us(committed_at) AS committed_us FROM (
+  SELECT event_id, committed_at, (row_number() OVER (ORDER BY committed_at DESC, event_id DESC) - 1) // 40 AS page FROM change_events WHERE project = 'p3') WHERE page < 4""")
+def events_pages(s, d):
+    """Four pages of a log, each found behind the last row of the one before."""
+    log, pages, after = change_events(s, d), [], None
+    for n in range(1, 5):
+        page = H.events_query(log, "p3", limit=40, after=after).withColumn("page", F.lit(n).cast("long"))
+        after = H.page_end(page)
+        pages.append(page)
+        if after is None:
+            break
+    out = pages[0]
+    for page in pages[1:]:
+        out = out.unionByName(page)
+    return out.select("page", "event_id", micros(F.col("committed_at")).alias("committed_us"))
+
+
 @query("current_state", f"{E} SELECT target, project, change_id, name, epoch_us(committed_at) AS committed_us FROM deployed")
 def current_state(s, d):
     return deployed(s, d).select(*K, "change_id", "name", micros(F.col("committed_at")).alias("committed_us"))
@@ -458,7 +478,7 @@ def upsert_projects(s, d):
     return S.upsert_projects(old, new)
 
 
-@query("apply_history", f"""{E}, first AS (SELECT * FROM change_events WHERE event = 'deploy' QUALIFY row_number() OVER (PARTITION BY change_id ORDER BY event_id) = 1),
+APPLIED_SQL = f"""{E}, first AS (SELECT * FROM change_events WHERE event = 'deploy' QUALIFY row_number() OVER (PARTITION BY change_id ORDER BY event_id) = 1),
 last AS (SELECT * FROM change_events WHERE event IN ('deploy', 'revert') QUALIFY row_number() OVER (PARTITION BY change_id ORDER BY event_id DESC) = 1),
 alive AS (SELECT change_id FROM first WHERE change_id NOT IN (SELECT change_id FROM last WHERE event = 'revert')
           UNION SELECT change_id FROM last WHERE event = 'deploy'),
@@ -466,21 +486,51 @@ x AS (SELECT change_id FROM alive)
 SELECT 'changes' AS part, change_id, 1 AS n FROM x
 UNION ALL SELECT 'dependencies', p.change_id, count(*) FROM x JOIN (SELECT change_id, unnest(requires) FROM plan_changes) p USING (change_id) GROUP BY 2
 UNION ALL SELECT 'tags', t.change_id, count(*) FROM plan_tags t JOIN first USING (change_id) WHERE change_id NOT IN (SELECT change_id FROM last WHERE event = 'revert') GROUP BY 2
-UNION ALL SELECT 'events', change_id, count(*) FROM (SELECT change_id FROM first UNION ALL SELECT change_id FROM last) GROUP BY 2""")
-def apply_history(s, d):
-    """First deploys as the state, the last deploy or revert of each change as the batch."""
+UNION ALL SELECT 'events', change_id, count(*) FROM (SELECT change_id FROM first UNION ALL SELECT change_id FROM last) GROUP BY 2"""
+
+
+def _first_and_last(s, d):
+    """First deploys, the last deploy or revert of each change, and the dependencies of all changes."""
     rows = [c for c in change_events(s, d).columns if c != "change_id"]
     log, plan = change_events(s, d), plan_changes(s, d)
     pick = F.struct(*rows)
     first = log.where("event = 'deploy'").groupBy("change_id").agg(F.min_by(pick, "event_id").alias("e")).select("change_id", "e.*")
     last = log.where("event in ('deploy', 'revert')").groupBy("change_id").agg(F.max_by(pick, "event_id").alias("e")).select("change_id", "e.*")
     deps = plan.select(*K, "change_id", F.lit("require").alias("type"), F.explode("requires").alias("dependency"), F.lit(None).cast("string").alias("dependency_id"))
+    return first, last, deps
+
+
+def _counted(tables):
+    parts = [tables[t].select(F.lit(t).alias("part"), "change_id") for t in ("changes", "dependencies", "tags", "events")]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return out.groupBy("part", "change_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("apply_history", APPLIED_SQL)
+def apply_history(s, d):
+    """First deploys as the state, the last deploy or revert of each change as the batch."""
+    first, last, deps = _first_and_last(s, d)
     on = [*K, "change_id"]
     state = {
         "events": first, "changes": first, "dependencies": deps.join(first, on, "left_semi"),
         "tags": plan_tags(s, d).join(first, on, "left_semi"),
     }
-    after = S.apply_history(state, last, deps)
-    parts = [after[t].select(F.lit(t).alias("part"), "change_id") for t in ("changes", "dependencies", "tags", "events")]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    return out.groupBy("part", "change_id").agg(F.count(F.lit(1)).alias("n"))
+    return _counted(S.apply_history(state, last, deps))
+
+
+@query("commit_history", APPLIED_SQL)
+def commit_history(s, d):
+    """The same as two commits to a store on disk, read back."""
+    folder = f"{checkpoint_dir(s)}/{uuid.uuid4().hex}"
+    first, last, deps = _first_and_last(s, d)
+    S.commit_history(s, folder, first, deps, plan_tags(s, d))
+    S.commit_history(s, folder, last, deps)
+    return _counted({t: S.stored_history(s, folder, t) for t in ("changes", "dependencies", "tags", "events")})
+
+
+@query("stored_changes", f"""{E} SELECT DISTINCT target, project, change_id, name, epoch_us(planned_at) AS planned_us FROM change_events WHERE event = 'deploy'""")
+def stored_changes(s, d):
+    """A history table written to files and read back."""
+    folder = f"{checkpoint_dir(s)}/{uuid.uuid4().hex}"
+    S.write_history(change_events(s, d).where("event = 'deploy'").dropDuplicates([*K, "change_id"]).drop("committed_at"), "changes", folder)
+    return S.read_history(s, "changes", folder).select(*K, "change_id", "name", micros(F.col("planned_at")).alias("planned_us"))

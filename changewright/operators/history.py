@@ -297,18 +297,36 @@ def events_query(
     offset: int = 0,
     reverse: bool = False,
     tie: str = "event_id",
+    after: Sequence | None = None,
 ) -> DataFrame:
-    """Log of one project, newest first unless ``reverse``; ``limit`` and ``offset`` page through it."""
+    """Log of one project, newest first unless ``reverse``.
+
+    ``after`` is the (committed_at, tie) of the last row of the page before (``page_end``): a filter, so any page costs
+    what the first one costs.  ``offset`` skips rows by their number in the order, counted in slices of a range sort.
+    """
     rows = events.where(F.col("project") == project)
     if event is not None:
         rows = rows.where(F.col("event") == event)
-    by = [F.col("committed_at"), F.col(tie)]
-    rows = rows.orderBy(*[c.asc() if reverse else c.desc() for c in by])
+    if after is not None:
+        at, last = (F.lit(x) for x in after)
+        at = at.cast(events.schema["committed_at"].dataType)
+        beyond = (F.col("committed_at") > at, F.col(tie) > last) if reverse else (F.col("committed_at") < at, F.col(tie) < last)
+        rows = rows.where(beyond[0] | ((F.col("committed_at") == at) & beyond[1]))
+    by = [c.asc() if reverse else c.desc() for c in (F.col("committed_at"), F.col(tie))]
     if offset:
-        rows = rows.offset(offset)
+        numbered = ordered.number_by(rows, [], by, "_no")
+        rows = numbered.where(F.col("_no") > offset).drop("_no") if limit is None else numbered.where(F.col("_no").between(offset + 1, offset + limit)).drop("_no")
+    rows = rows.orderBy(*by)
     return rows if limit is None else rows.limit(limit)
 
 
+def page_end(page: DataFrame, tie: str = "event_id", reverse: bool = False) -> tuple | None:
+    """(committed_at, tie) of a page's last row, null if it has none: the ``after`` of the next page."""
+    pick = F.max if reverse else F.min
+    last = page.agg(pick(F.struct("committed_at", tie)).alias("e")).first()["e"]
+    return None if last is None else tuple(last)
+
+
 # -- order in the log and in the plan ---------------------------------------
 
 

@@ -6,16 +6,19 @@ again after a failure changes nothing.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from changewright.operators import columns as X
 from changewright.operators import lint as L
 from changewright.schemas import SCRIPTS
-from changewright.session import cut, read_table
+from changewright.session import cut
 
 KEYS = ("target", "project")
 
@@ -101,55 +104,129 @@ def lint_stream(scripts: DataFrame, config: L.LintConfig = L.LintConfig()) -> Da
 
 
 # -- column sync -------------------------------------------------------------
+#
+# A synced table is base files and change files, both by version and bucket, and a manifest:
+#   meta                             one row: keys, order, column change, columns, number of buckets
+#   base/version=v/bucket=b          rows of a bucket as of compaction v
+#   changes/version=n/bucket=b       the changes of stream batch n - 1, as they came
+#   manifest/version=v               (bucket, upto): base v of the bucket holds all changes up to version ``upto``
+# A batch only adds change files, so what it writes follows the batch; readers merge.
 
 
 def _bucket(keys: Sequence[str], buckets: int):
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
-def synced_table(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """Table kept by ``sync_stream``: of each bucket the newest version (older than ``before``)."""
-    log = read_table(spark, f"{path}/manifest", "bucket int, version long")
-    if log is None:
-        return None
-    if before is not None:
-        log = log.where(F.col("version") < before)
-    current = log.groupBy("bucket").agg(F.max("version").alias("version"))
-    rows = spark.read.option("mergeSchema", False).parquet(f"{path}/data")
-    return rows.withColumn("version", F.col("version").cast("long")).join(current, ["version", "bucket"], "left_semi").drop("version", "bucket")
-
-
-def _publish(rows: DataFrame, touched: DataFrame, version: int, path: str, keys: Sequence[str], buckets: int) -> None:
+def _write_buckets(rows: DataFrame, version: int, path: str, keys: Sequence[str], buckets: int) -> None:
+    """Rows by bucket; a bucket with very many rows is split over tasks."""
     placed = rows.withColumns({"version": F.lit(version).cast("long"), "bucket": _bucket(keys, buckets)})
-    _put(placed.repartition("bucket"), f"{path}/data", "version", "bucket")
-    _put(touched.select("bucket", F.lit(version).cast("long").alias("version")), f"{path}/manifest", "version")
+    _put(placed.hint("rebalance", "bucket"), path, "version", "bucket")
 
 
-def start_sync(table: DataFrame, path: str, keys: Sequence[str], buckets: int = 200) -> None:
-    """Version 0 of the synced table."""
+def start_sync(table: DataFrame, path: str, keys: Sequence[str], change: X.ColumnChange, order: Sequence[str], buckets: int = 200) -> None:
+    """Base version 0 of a synced table, and what every later step needs to know about it."""
     spark = table.sparkSession
-    every = spark.range(buckets).select(F.col("id").cast("int").alias("bucket"))
-    _publish(table, every, 0, path, keys, buckets)
+    meta = [(json.dumps({"keys": list(keys), "order": list(order), "change": asdict(change), "buckets": buckets}), table.schema.json())]
+    spark.createDataFrame(meta, "settings string, columns string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+    _write_buckets(table, 0, f"{path}/base", keys, buckets)
+    every = spark.range(buckets).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("upto"), F.lit(0).cast("long").alias("version"))
+    _put(every.coalesce(1), f"{path}/manifest", "version")
+
 
+def _settings(spark: SparkSession, path: str) -> tuple[list[str], list[str], X.ColumnChange, int, StructType]:
+    row = spark.read.parquet(f"{path}/meta").first()
+    known = json.loads(row["settings"])
+    return known["keys"], known["order"], X.ColumnChange(**known["change"]), known["buckets"], StructType.fromJson(json.loads(row["columns"]))
 
-def sync_stream(
-    changes: DataFrame, path: str, keys: Sequence[str], change: X.ColumnChange, order: Sequence[str], buckets: int = 200
-) -> DataStreamWriter:
-    """Apply a change stream with two-way column sync.
 
-    Only buckets that a batch touches are rewritten, as version batch + 1; the
-    manifest names the version of each bucket, also when it became empty.
+def sync_stream(changes: DataFrame, path: str) -> DataStreamWriter:
+    """Take in a change stream for two-way column sync; a batch is written as the change files of version batch + 1.
+
+    A batch that runs again overwrites its own files.  ``synced_table`` applies the changes in the order of the
+    batches and, inside one, in the order of the order columns.
     """
+    keys, _, _, buckets, _ = _settings(changes.sparkSession, path)
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        _write_buckets(batch, batch_id + 1, f"{path}/changes", keys, buckets)
+
+    return changes.writeStream.foreachBatch(add).outputMode("update")
+
+
+def _current(spark: SparkSession, path: str) -> DataFrame:
+    """(bucket, version, upto) of the newest base of each bucket."""
+    log = spark.read.schema("bucket int, upto long, version long").parquet(f"{path}/manifest")
+    return log.groupBy("bucket").agg(F.max(F.struct("version", "upto")).alias("m")).select("bucket", "m.version", "m.upto")
+
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        version = batch_id + 1
-        batch = batch.persist()
-        placed = batch.withColumn("bucket", _bucket(keys, buckets))
-        touched = placed.select("bucket").distinct()
-        now = synced_table(spark, path, before=version)
-        part = now.withColumn("bucket", _bucket(keys, buckets)).join(touched, "bucket", "left_semi").drop("bucket")
-        _publish(X.apply_changes(part, batch, keys, change, order), touched, version, path, keys, buckets)
-        batch.unpersist()
-
-    return changes.writeStream.foreachBatch(apply).outputMode("update")
+def _change_files(spark: SparkSession, path: str) -> dict[int, list[int]]:
+    """Versions of change files and the buckets of each, from the names of the folders."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/changes")
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found: dict[int, list[int]] = {}
+    for v in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/changes/version=*/bucket=*")) or ():
+        at = v.getPath()
+        found.setdefault(int(at.getParent().getName().partition("=")[2]), []).append(int(at.getName().partition("=")[2]))
+    return found
+
+
+def _merged(spark: SparkSession, path: str, buckets: list[int] | None = None, upto: int | None = None) -> DataFrame:
+    """Base rows with the changes that they do not hold yet (up to version ``upto``), of some or all buckets."""
+    keys, order, change, _, columns = _settings(spark, path)
+    now = _current(spark, path)
+    if buckets is not None:
+        now = now.where(F.col("bucket").isin(buckets))
+    placed = StructType([*columns.fields, StructField("version", LongType()), StructField("bucket", IntegerType())])
+    base = spark.read.schema(placed).parquet(f"{path}/base").join(now.select("version", "bucket"), ["version", "bucket"], "left_semi").select(*columns.names)
+    if not _change_files(spark, path):
+        return base
+    log = spark.read.option("mergeSchema", "true").parquet(f"{path}/changes").withColumn("version", F.col("version").cast("long"))
+    if upto is not None:
+        log = log.where(F.col("version") <= upto)
+    new = log.join(now.select("bucket", F.col("upto")), "bucket").where("version > upto").drop("bucket", "upto").withColumnRenamed("version", "_version")
+    return X.apply_changes(base, new, keys, change, ["_version", *order])
+
+
+def synced_table(spark: SparkSession, path: str) -> DataFrame:
+    """The synced table as of all batches that were written."""
+    return _merged(spark, path)
+
+
+def compact_sync(spark: SparkSession, path: str, least_versions: int = 1) -> int:
+    """Fold change files into new base files for buckets that have at least ``least_versions`` unfolded versions.
+
+    The newest version is left alone: the stream may not have committed it and may write it again.  The manifest is
+    written last, so a compaction that stops half-way changes nothing.  Returns the number of buckets folded.
+    """
+    keys, _, _, buckets, columns = _settings(spark, path)
+    files = _change_files(spark, path)
+    upto = max(files, default=0) - 1
+    now = {r["bucket"]: r for r in _current(spark, path).collect()}  # one row per bucket
+    waiting = {b: sum(now[b]["upto"] < v <= upto for v, bs in files.items() if b in bs) for b in now}
+    chosen = sorted(b for b, n in waiting.items() if n >= max(least_versions, 1))
+    if not chosen:
+        return 0
+    version = max(r["version"] for r in now.values()) + 1
+    _write_buckets(_merged(spark, path, chosen, upto).select(*columns.names), version, f"{path}/base", keys, buckets)
+    entry = spark.createDataFrame([(b, upto, version) for b in chosen], "bucket int, upto long, version long")
+    _put(entry.coalesce(1), f"{path}/manifest", "version")
+    return len(chosen)
+
+
+def vacuum_sync(spark: SparkSession, path: str) -> int:
+    """Delete base files that the manifest no longer names and change files that every base holds; returns their number.
+
+    For times without readers of an older state.
+    """
+    now = {r["bucket"]: r for r in _current(spark, path).collect()}
+    made = spark._jvm.org.apache.hadoop.fs.Path
+    fs = made(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = []
+    for at in [x.getPath() for x in fs.globStatus(made(f"{path}/base/version=*/bucket=*")) or ()]:
+        if int(at.getParent().getName().partition("=")[2]) != now[int(at.getName().partition("=")[2])]["version"]:
+            gone.append(at)
+    for v, bs in _change_files(spark, path).items():
+        gone += [made(f"{path}/changes/version={v}/bucket={b}") for b in bs if v <= now[b]["upto"]]
+    for at in gone:
+        fs.delete(at, True)
+    return len(gone)

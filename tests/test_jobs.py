@@ -227,15 +227,49 @@ def test_synced_bucket_may_become_empty(spark, tmp_path):
     change = X.ColumnChange("old", "new", "int", "string")
     table = spark.createDataFrame([(1, 5, "5"), (2, 6, "6")], "k int, old int, new string")
     path = str(tmp_path / "t")
-    J.start_sync(table, path, ["k"], buckets=16)
+    J.start_sync(table, path, ["k"], change, ["seq"], buckets=16)
     schema = "k int, old int, new string, op string, seq int"
 
     def send(*rows):
         spark.createDataFrame(list(rows), schema).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        writer = J.sync_stream(stream, path, ["k"], change, ["seq"], buckets=16).option("checkpointLocation", str(tmp_path / "cp"))
+        writer = J.sync_stream(stream, path).option("checkpointLocation", str(tmp_path / "cp"))
         writer.trigger(availableNow=True).start().awaitTermination()
 
     send((1, 5, "5", "delete", 1), (3, 9, None, "insert", 1))
     send((2, 6, "7", "update", 2))
     assert sorted(map(tuple, J.synced_table(spark, path).collect())) == [(2, 7, "7"), (3, 9, "9")]
+
+
+def test_sync_writes_follow_the_batch(spark, tmp_path):
+    import os
+
+    change = X.ColumnChange("old", "new", "int", "string")
+
+    def size(folder):
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names if f.endswith(".parquet"))
+
+    written = {}
+    for n in (200, 20_000):
+        path = str(tmp_path / f"t{n}")
+        J.start_sync(spark.range(n).select(F.col("id").cast("int").alias("k"), F.col("id").cast("int").alias("old"), F.col("id").cast("string").alias("new")), path, ["k"], change, ["seq"], buckets=4)
+        base = size(path)
+        rows = [(k, k + 1, str(k), "update", 1) for k in range(20)] + [(5, 7, "6", "update", 2), (6, None, None, "delete", 3), (n, 4, None, "insert", 4)]
+        batches = [rows[:10], rows[10:21], rows[21:], [(n, 4, "9", "update", 1)]]
+        for b, part in enumerate(batches):
+            df = spark.createDataFrame(part, "k int, old int, new string, op string, seq int")
+            J._write_buckets(df, b + 1, f"{path}/changes", ["k"], 4)
+        written[n] = size(path) - base
+
+        def state():
+            got = {r.k: (r.old, r.new) for r in J.synced_table(spark, path).collect()}
+            assert len(got) == n and 6 not in got and got[5] == (7, "7") and got[3] == (4, "4") and got[n] == (9, "9") and got[n - 1] == (n - 1, str(n - 1))
+
+        state()
+        assert J.vacuum_sync(spark, path) == 0
+        assert J.compact_sync(spark, path) > 0  # all but the newest version
+        state()
+        assert J.vacuum_sync(spark, path) > 0
+        state()
+        assert J.compact_sync(spark, path) == 0
+    assert written[20_000] < 1.2 * written[200]
