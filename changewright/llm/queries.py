@@ -60,11 +60,22 @@ k AS (SELECT e.doc_id, count(*) AS n, count(c.i) AS gone, {{kept}} AS kept FROM
 """
 
 
-@query("op8_sentence_spans", _repeats(
-    "list_transform(regexp_extract_all(text, '(?s).+?(?:[.!?][ \\t\\r\\n]+|\\n[ \\t\\r\\n]*|\\z)'), lambda x: rtrim(x, chr(32) || chr(9) || chr(13) || chr(10)))", 3,
-    "regexp_extract_all(text, '(?s).+?(?:[.!?][ \\t\\r\\n]+|\\n[ \\t\\r\\n]*|\\z)')", "u[pos], u[pos + 1], u[pos + 2]",
-).format(kept="coalesce(string_agg(x, '' ORDER BY e.i) FILTER (WHERE c.i IS NULL), '')") + """SELECT u.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_sentences, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed,
-  CAST(length(coalesce(kept, u.text, '')) AS BIGINT) AS kept_chars, sha256(coalesce(kept, u.text, '')) AS kept_sha256 FROM u LEFT JOIN k USING (doc_id)""")
+_SPLIT = r"(?s).+?(?:[.!?{}][ \t\r\n]+|\n[ \t\r\n]*|\z)"
+_COUNT = r"len(regexp_extract_all({}, '[^ \t\r\n]+'))"
+
+
+@query("op8_sentence_spans", f"""WITH s AS (SELECT doc_id, text, flatten(list_transform(regexp_extract_all(text, '{_SPLIT.format("")}'),
+  lambda x: CASE WHEN {_COUNT.format("x")} > 12 THEN regexp_extract_all(x, '{_SPLIT.format(",;:")}') ELSE [x] END)) AS x FROM documents),
+u AS (SELECT doc_id, text, x, list_transform(x, lambda y: rtrim(y, chr(32) || chr(9) || chr(13) || chr(10))) AS u, list_transform(x, lambda y: {_COUNT.format("y")}) AS n FROM s),
+p AS (SELECT doc_id, u, n, unnest(range(1, len(u))) AS pos FROM u WHERE len(u) > 1),
+e AS (SELECT doc_id, u, pos, list_filter(range(pos + 1, least(pos + 21, len(u)) + 1), lambda j: list_sum(n[pos:j]) >= 20)[1] AS last FROM p),
+r AS (SELECT doc_id, pos, last, u[pos:last] AS w FROM e WHERE last IS NOT NULL),
+f AS (SELECT w, min((doc_id, pos)) AS first FROM r GROUP BY w HAVING count(*) > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(pos, last + 1)) AS i FROM r JOIN f USING (w) WHERE (doc_id, pos) <> first),
+k AS (SELECT a.doc_id, count(c.i) AS gone, coalesce(string_agg(y, '' ORDER BY a.i) FILTER (WHERE c.i IS NULL), '') AS kept
+  FROM (SELECT doc_id, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS y FROM u) a LEFT JOIN c ON a.doc_id = c.doc_id AND a.i = c.i GROUP BY 1)
+SELECT u.doc_id, CAST(coalesce(len(x), 0) AS BIGINT) AS n_sentences, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed,
+  CAST(length(coalesce(kept, text, '')) AS BIGINT) AS kept_chars, sha256(coalesce(kept, text, '')) AS kept_sha256 FROM u LEFT JOIN k USING (doc_id)""")
 def op8(spark, sf_dir):
     kept = F.coalesce("kept", F.lit(""))
     return sentence_dedup(table(spark, sf_dir, "documents")).select(
