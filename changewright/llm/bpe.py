@@ -3,6 +3,9 @@
 Distinct pieces of a partition become token-position rows.  A recursive query joins neighbours with the merge table,
 contracts each piece's leftmost pair of least rank, and stops when no pair is left.  Decoding joins token rows with
 the vocabulary and aggregates the bytes in order.  Spark deals out the documents; a task keeps bounded state.
+
+Pieces of more than ``SHORT`` bytes (no white space, such as encoded data) are contracted by ``contract_long``: a
+recursive query writes all rows of a piece once per round, which neither time nor memory of a task allows there.
 """
 
 from __future__ import annotations
@@ -23,9 +26,10 @@ from pyspark.sql import functions as F
 #: Pieces of at most SHORT bytes go through the bulk query, CHUNK bytes at a time.
 SHORT, CHUNK = 64, 1 << 19
 #: Characters of text encoded, and tokens decoded, in one go; entries a task remembers between slices.
-SLICE, TOKENS, KNOWN = 1 << 21, 1 << 19, 400_000
-#: White space that a cut before a space would tear apart.
-_TORN = re.compile(r"\s \s|  |\s \Z")
+SLICE, TOKENS, KNOWN = 1 << 21, 1 << 19, 700_000
+#: White space that a cut before a space would tear apart: two spaces, or a space between other white space or the end.
+_TORN = re.compile(r" (?: |(?<=\s )(?:\s|\Z))")
+_NONE = np.int64(1) << 40
 #: Chunks that are one piece by any version of the character tables.
 _WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
 
@@ -46,28 +50,14 @@ WITH RECURSIVE t(w, p, n, id, nid, step) AS (
   WHERE t.p <> gone)
 SELECT t.w, t.p, t.id FROM t JOIN (SELECT w, max(step) AS top FROM t GROUP BY w) last ON t.w = last.w AND t.step = last.top
 """
-#: For long pieces: rows are replaced by key, so memory stays that of the piece, and all places of the least pair are
-#: joined in one round where no later merge could come in between (``early`` lists the tokens where one could).
-_LONG = """
-WITH RECURSIVE t(w, p, id, nid) USING KEY (w, p) AS (
-  SELECT w, p, id, nid FROM pieces
-  UNION
-  SELECT w, p, CASE WHEN gone THEN -1 ELSE id END, CASE WHEN gone THEN NULL ELSE lead(id) OVER (PARTITION BY w, gone ORDER BY p) END FROM (
-    WITH pairs AS (
-      SELECT t.*, merges.m FROM recurring.t LEFT JOIN merges ON t.id = merges.l AND t.nid = merges.r WHERE t.id >= 0),
-    least AS (SELECT w, min((CAST(m AS BIGINT) << 32) | p) AS k FROM pairs WHERE m IS NOT NULL GROUP BY w),
-    best AS (SELECT w, k & 4294967295 AS pos, k >> 32 AS m, NOT EXISTS (SELECT 1 FROM early WHERE early.m = k >> 32) AS every FROM least),
-    hits AS (
-      SELECT a.w, a.p, a.id, best.m, coalesce(a.m = best.m AND (every OR p = pos), false) AS hit, row_number() OVER (PARTITION BY a.w ORDER BY p) AS n
-      FROM pairs a JOIN best ON a.w = best.w),
-    runs AS (SELECT *, n - row_number() OVER (PARTITION BY w, hit ORDER BY p) AS run FROM hits),
-    odd AS (SELECT *, hit AND (row_number() OVER (PARTITION BY w, hit, run ORDER BY p)) % 2 = 1 AS joined FROM runs)
-    SELECT w, p, CASE WHEN joined THEN m ELSE id END AS id, coalesce(lag(joined) OVER (PARTITION BY w ORDER BY p), false) AS gone FROM odd))
-SELECT w, p, id FROM t WHERE id >= 0
-"""
 _DECODE = "SELECT d, string_agg(bytes, '' ORDER BY p) AS bytes FROM tokens JOIN vocab USING (id) GROUP BY d ORDER BY d"
 
 
+def _few(raw: bytes) -> int:
+    """One or two bytes as a number."""
+    return raw[0] if len(raw) == 1 else 256 + raw[0] * 256 + raw[1]
+
+
 class Codec:
     """A rank file in DuckDB tables, and what this task has met so far."""
 
@@ -77,21 +67,37 @@ class Codec:
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         r = self.ranks
         merges = [(r[t[:i]], r[t[i:]], m) for t, m in r.items() for i in range(1, len(t)) if t[:i] in r and t[i:] in r]
-        early = {x for a, b, m in merges for x in (a, b) if m < x}
+        #: For long pieces: merges by pair, tokens that a lower merge may follow, last and first bytes of every token,
+        #: and the lowest rank of a token that holds given bytes on both sides of a place.
+        self.pairs = np.array(sorted((a << 32 | b, m) for a, b, m in merges) or [(-1, 0)], np.int64)
+        self.early = np.array(sorted({x for a, b, m in merges for x in (a, b) if m < x}), np.int64)
+        self.heads, self.tails, self.lengths = (np.zeros(1 + max(r.values()), np.int64) for _ in range(3))
+        for t, m in r.items():
+            self.heads[m], self.tails[m], self.lengths[m] = _few(t[:2]), _few(t[-2:]), len(t)
+        across: dict[int, int] = {}
+        for t, m in sorted(r.items(), key=lambda x: x[1]):
+            for i in range(1, len(t)):
+                for left in {t[i - 1 : i], t[max(i - 2, 0) : i]}:
+                    for right in {t[i : i + 1], t[i : i + 2]}:
+                        across.setdefault(_few(left) << 20 | _few(right), m)
+        self.across = np.array(sorted(across.items()) or [(-1, 0)], np.int64)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         left, right, merged = (pa.array(x, pa.int32()) for x in zip(*merges, strict=True)) if merges else [pa.array([], pa.int32())] * 3
         self._table("merges", l=left, r=right, m=merged)
-        self._table("early", m=pa.array(sorted(early), pa.int32()))
         self._table("vocab", id=pa.array(list(r.values()), pa.int32()), bytes=pa.array([t.decode("latin-1") for t in r]))
         self._forget()
 
     def _forget(self) -> None:
         #: Token ids of all sequences met, one behind the other; a sequence is a number.
         self.flat, self.start, self.size = array("i"), array("q"), array("q")
-        #: Sequences by piece, by first chunk of a text, and by chunk after a space.
+        #: Sequences by piece, and by chunk of a text.
         self.pieces: dict[str, int] = {}
-        self.first: dict[str, int] = {}
-        self.spaced: dict[str, int] = {}
+        self.known: dict[str | tuple, int] = {}
+
+    def _pieces_of(self, chunk: str | tuple) -> list[str]:
+        if isinstance(chunk, str):
+            return [f" {chunk}"] if _WORD(chunk) else self.find(f" {chunk}")
+        return [chunk[0]] if len(chunk) == 1 else self.find(chunk[0])
 
     def _add(self, tokens: np.ndarray, size: np.ndarray) -> range:
         """New sequences of these sizes; their numbers."""
@@ -112,7 +118,53 @@ class Codec:
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def _run(self, sql: str, pieces: list[str]) -> None:
+    def contract_long(self, pieces: list[str]) -> None:
+        """Tokens of long pieces, many merges a round, equal to one merge at a time.
+
+        A pair merges at once if every token that could ever reach over one of its two outer borders has a higher rank:
+        nothing can then change the pair before its turn.  (Such a token holds both tokens at the border, so their last
+        and first two bytes bound its rank.)  Between borders that no token reaches over, all places of the lowest pair
+        merge too, from the left; only the first one if a still lower pair could follow.  Work and memory follow the
+        piece's length.
+        """
+        raw = [x.encode() for x in pieces]
+        ids = self.byte[np.frombuffer(b"".join(raw), np.uint8)].astype(np.int64)
+        word = np.repeat(np.arange(len(raw)), [len(x) for x in raw])
+        place = np.arange(len(ids))
+        done: list[tuple[np.ndarray, ...]] = []
+
+        def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+            at = np.minimum(np.searchsorted(table[:, 0], keys), len(table) - 1)
+            return np.where(table[at, 0] == keys, table[at, 1], _NONE)
+
+        while len(ids):
+            following = np.append(ids[1:], 0)
+            apart = np.append((word[:-1] != word[1:]) | (place[:-1] + self.lengths[ids[:-1]] != place[1:]), True)
+            border = np.where(apart, _NONE, find(self.across, self.tails[ids] << 20 | self.heads[following]))
+            edge = border == _NONE  # no token reaches over it, now or later: what lies between two such borders is on its own
+            rank = np.where(edge, _NONE, find(self.pairs, ids << 32 | following))
+            starts = np.flatnonzero(np.append(True, edge[:-1]))
+            size = np.diff(np.append(starts, len(ids)))
+            low = np.minimum.reduceat(rank, starts)
+            least = np.repeat(low, size)
+            safe = (rank < np.append(_NONE, border[:-1])) & (rank < np.append(border[1:], _NONE)) & (rank < _NONE)
+            hit = (rank == least) & (rank < _NONE)
+            at = np.arange(len(ids))
+            run = at - np.maximum.accumulate(np.where(hit, -1, at))  # place in a row of overlapping pairs, from 1
+            hit &= run % 2 == 1
+            first = np.minimum.reduceat(np.where(hit, at, len(ids)), starts)
+            hit &= ~np.repeat(np.isin(low, self.early), size) | (at == np.repeat(first, size))
+            take = hit | safe
+            merged, keep = np.where(take, rank, ids), ~np.append(False, take[:-1])
+            ended = keep & (least == _NONE)
+            done.append((place[ended], merged[ended], word[ended]))
+            keep &= ~ended
+            ids, word, place = merged[keep], word[keep], place[keep]
+        places, tokens, words = (np.concatenate(x) for x in zip(*done, strict=True))
+        made = self._add(tokens[np.argsort(places)], np.bincount(words, minlength=len(raw)))
+        self.pieces.update(zip(pieces, made, strict=True))
+
+    def _run(self, pieces: list[str]) -> None:
         raw = [x.encode() for x in pieces]
         size = np.array([len(x) for x in raw])
         w, end = np.repeat(np.arange(len(raw), dtype=np.int32), size), np.cumsum(size)
@@ -121,7 +173,7 @@ class Codec:
         n, nid = p + 1, np.append(ids[1:], np.int32(-1))
         n[end - 1] = nid[end - 1] = -1
         self.db.register("pieces", pa.table({"w": w, "p": p, "n": n, "id": ids, "nid": nid}))
-        out = self.db.execute(sql).fetchnumpy()
+        out = self.db.execute(_BULK).fetchnumpy()
         self.db.unregister("pieces")
         order = np.lexsort((out["p"], out["w"]))
         made = self._add(out["id"][order], np.bincount(out["w"], minlength=len(raw)))
@@ -137,11 +189,11 @@ class Codec:
             else:
                 (short if len(raw) <= SHORT else long).append(x)
         self.pieces.update(zip(whole, self._add(np.array([*whole.values()], np.int32), np.ones(len(whole))), strict=True))
-        for sql, some in ((_BULK, short), (_LONG, long)):
+        for contract, some in ((self._run, short), (self.contract_long, long)):
             ends = np.cumsum([len(x) for x in some]) // CHUNK
             for k in np.unique(ends):
                 lo, hi = np.searchsorted(ends, [k, k + 1])
-                self._run(sql, some[lo:hi])
+                contract(some[lo:hi])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts, one behind the other, and the number of tokens of each.
@@ -151,36 +203,27 @@ class Codec:
         """
         if len(self.start) > KNOWN:
             self._forget()
-        cut, first, spaced, pieces = [], set(), set(), set()
+        flat, count = [], []
         for t in texts:
             if _TORN.search(t):
-                own = self.find(t)
-                pieces.update(own)
-                cut.append((True, own))
+                own = [(x,) for x in self.find(t)]
             else:
                 own = t.split(" ")
-                first.add(own[0])
-                spaced.update(own[1:])
-                cut.append((False, own))
-        chunks = {c: self.find(c) for c in first - self.first.keys()}, {c: [f" {c}"] if _WORD(c) else self.find(f" {c}") for c in spaced - self.spaced.keys()}
-        pieces.update(chain.from_iterable(chain.from_iterable(x.values()) for x in chunks))
-        self._learn(pieces - self.pieces.keys())
-        get = self.pieces.__getitem__
-        for known, new in zip((self.first, self.spaced), chunks, strict=True):
-            known.update((c, get(p[0])) for c, p in new.items() if len(p) == 1)
-            some = {c: p for c, p in new.items() if len(p) != 1}
-            tokens, n = self._gather(np.array([*map(get, chain.from_iterable(some.values()))], np.int64))
-            edge = np.cumsum([0, *map(len, some.values())])
-            known.update(zip(some, self._add(tokens, np.diff(np.append(0, np.cumsum(n))[edge])), strict=True))
-        after, met, count = self.spaced.__getitem__, [], []
-        for matched, own in cut:
-            if matched:
-                met.extend(map(get, own))
-            else:
-                met.append(self.first[own[0]])
-                met.extend(map(after, own[1:]))
+                own[0] = (own[0], 0)
+            flat += own
             count.append(len(own))
-        tokens, n = self._gather(np.array(met, np.int64))
+        new = set(flat) - self.known.keys()
+        # a matched piece is (piece,), the first chunk of a text (chunk, 0), a chunk after a space is a plain string
+        chunks = {c: self._pieces_of(c) for c in new}
+        self._learn(set(chain.from_iterable(chunks.values())) - self.pieces.keys())
+        get = self.pieces.__getitem__
+        self.known.update((c, get(p[0])) for c, p in chunks.items() if len(p) == 1)
+        some = {c: p for c, p in chunks.items() if len(p) != 1}
+        tokens, n = self._gather(np.array([*map(get, chain.from_iterable(some.values()))], np.int64))
+        edge = np.cumsum([0, *map(len, some.values())])
+        self.known.update(zip(some, self._add(tokens, np.diff(np.append(0, np.cumsum(n))[edge])), strict=True))
+        met = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        tokens, n = self._gather(met)
         return tokens, np.diff(np.append(0, np.cumsum(n))[np.cumsum([0, *count])])
 
     def decode(self, tokens: np.ndarray, size: np.ndarray) -> list[bytes]:

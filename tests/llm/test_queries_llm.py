@@ -141,9 +141,24 @@ def test_odd_texts_are_encoded_alike():
         assert codec.decode(tokens, size) == [t.encode() for t in texts]
 
     check()
-    long = ["a" * 3000, "thein" * 400, "qzxjkv" * 50]
-    tokens, _ = codec.encode(long)
-    assert tokens.tolist() == [i for t in long for i in enc.encode_ordinary(t)]
+    rng = np.random.default_rng(3)
+    letters, han = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", [chr(x) for x in range(0x4E00, 0x9FA0)]
+    long = ["a" * 3000, "thein" * 400, "qzxjkv" * 50, "ab" * 5000, "aab" * 900 + "a" * 77, "".join(rng.choice(list(letters[:26]), 50_000)), "".join(rng.choice(list(letters), 20_000)), "".join(rng.choice(han, 8_000))]
+    long += ["".join(rng.choice(list(a), int(rng.integers(65, 400)))) for a in ("ab", "aehinorst", "_-=", "aeioué", "0123456789") for _ in range(60)]
+    for some in (long, long[::-1]):
+        codec._forget()
+        tokens, size = codec.encode(some)
+        assert tokens.tolist() == [i for t in some for i in enc.encode_ordinary(t)]
+        assert codec.decode(tokens, size) == [t.encode() for t in some]
+
+
+def test_a_word_of_two_million_letters():
+    raw, enc = encoding()
+    codec = Codec(raw, public_tokenizers.PATTERN)
+    tokens, size = codec.encode(["a" * 2_000_000, "x"])
+    assert size.tolist() == [len(tokens) - 1, 1] and codec.decode(tokens, size) == [b"a" * 2_000_000, b"x"]
+    longest = max((r for r in codec.ranks if set(r) == {97}), key=len)
+    assert (tokens[:-1] == codec.ranks[longest]).mean() > 0.99
 
 
 def repeated(texts, length):
