@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from changewright.catalog.registry import query
@@ -9,7 +11,7 @@ from changewright.fixtures import PLAN_SQL, plan_changes, table
 from changewright.functions import ids
 from changewright.operators import includes as I
 from changewright.plans import text as P
-from changewright.session import spread
+from changewright.session import checkpoint_dir, spread
 
 # Plan file of one order; {k} order key, {p} project number.
 PLAN = (
@@ -72,6 +74,36 @@ def recompute_ids(s, d):
 CHAIN = f"'project ' || n.project || {NL} || 'change ' || n.name || {NL} || coalesce('parent ' || c.change_id || {NL}, '') || 'planner Ann <a@x.org>' || {NL} || 'date d' || n.pos || CASE WHEN n.requires = '' THEN '' ELSE {NL} || 'requires' || {NL} || '  + ' || n.requires END"
 
 
+FILED = CHAIN.replace("'date d' || n.pos", "'date 2024-01-01T00:00:00Z'")
+
+
+@query("read_plan_files", f"""WITH RECURSIVE {PLAN_SQL},
+n AS (SELECT target || '-' || project AS project, pos, name, array_to_string(requires, {NL} || '  + ') AS requires, row_number() OVER (PARTITION BY target, project ORDER BY pos) AS i FROM plan_changes),
+c AS (SELECT n.project, n.pos, n.i, n.name, {_id('change', FILED.replace("coalesce('parent ' || c.change_id || chr(10), '')", "''"))} AS change_id FROM n WHERE i = 1
+      UNION ALL SELECT n.project, n.pos, n.i, n.name, {_id('change', FILED)} FROM c JOIN n ON n.project = c.project AND n.i = c.i + 1)
+SELECT 'change' AS entry, project, i + 2 AS line_no, name, change_id AS value FROM c
+UNION ALL SELECT 'tag', project, max(i) + 3, 'v1', arg_max(change_id, i) FROM c GROUP BY project
+UNION ALL SELECT 'pragma', p, k, CASE k WHEN 1 THEN 'syntax-version' ELSE 'project' END, CASE k WHEN 1 THEN '1.0.0' ELSE p END FROM (SELECT DISTINCT project AS p FROM n), (VALUES (1), (2)) v(k)""")
+def read_plan_files(s, d):
+    """Plan files on disk, one per target and project with a line per order, read back in one parse."""
+    folder = f"{checkpoint_dir(s)}/{uuid.uuid4().hex}"
+    plan = plan_changes(s, d).withColumn("project", F.concat_ws("-", "target", "project"))
+    deps = F.when(F.size("requires") > 0, F.concat(F.lit(" ["), F.array_join("requires", " "), F.lit("]"))).otherwise("")
+    lines = plan.select("project", F.col("pos").alias("at"), F.concat(F.col("name"), deps, F.lit(" 2024-01-01T00:00:00Z Ann <a@x.org>")).alias("line"))
+    names = plan.select("project").distinct()
+    frame = [(-2, F.lit("%syntax-version=1.0.0")), (-1, F.concat(F.lit("%project="), "project")), (1 << 62, F.lit("@v1 2024-01-02T00:00:00Z Ann <a@x.org>"))]
+    for at, line in frame:
+        lines = lines.unionByName(names.select("project", F.lit(at).cast("long").alias("at"), line.alias("line")))
+    lines.repartition("project").sortWithinPartitions("project", "at").select("project", "line").write.partitionBy("project").text(folder)
+    changes, tags, pragmas = P.read_plans(s, folder)
+    parts = [
+        changes.select(F.lit("change").alias("entry"), "project", F.col("pos").alias("line_no"), "name", F.col("change_id").alias("value")),
+        tags.select(F.lit("tag").alias("entry"), "project", F.col("pos").alias("line_no"), F.col("tag").alias("name"), F.col("change_id").alias("value")),
+        pragmas.select(F.lit("pragma").alias("entry"), F.regexp_extract("plan", r"project=([^/]*)/", 1).alias("project"), "line_no", F.col("key").alias("name"), "value"),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("chain_build", f"""WITH RECURSIVE {PLAN_SQL},
 n AS (SELECT target, project, pos, name, array_to_string(requires, {NL} || '  + ') AS requires, row_number() OVER (PARTITION BY target, project ORDER BY pos) AS i FROM plan_changes),
 c AS (SELECT n.target, n.project, n.pos, n.i, {_id('change', CHAIN.replace("coalesce('parent ' || c.change_id || chr(10), '')", "''"))} AS change_id FROM n WHERE i = 1

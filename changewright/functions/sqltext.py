@@ -167,13 +167,27 @@ def _mark(line: Column, column: Column) -> Column:
     return F.concat(F.lit(_OPEN), line.cast("string"), F.lit(":"), column.cast("string"), F.lit(_CLOSE))
 
 
+#: Parts whose offsets are summed up in one go: of a line with n parts, n / BLOCK sums are carried on.
+BLOCK = 128
+
+
+def part_columns(parts: Column) -> Column:
+    """1-based column of each part of a line that was split at one character: prefix sums, by blocks."""
+    def block(b: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda a, p: F.struct((a["at"] + F.length(p) + 1).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+        return F.aggregate(F.slice(parts, b * BLOCK + 1, F.lit(BLOCK)), start, step)
+
+    def joined(blocks: Column) -> Column:
+        firsts = F.aggregate(blocks, F.array(F.lit(1)), lambda a, b: F.concat(a, F.array(F.element_at(a, -1) + b["at"])))
+        return F.flatten(F.zip_with(blocks, F.slice(firsts, F.lit(1), F.size(blocks)), lambda b, first: F.transform(b["out"], lambda x: x + first)))
+
+    return let(F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / BLOCK).cast("int")), block), joined)
+
+
 def _marked_line(line: Column, index: Column) -> Column:
     def segments(parts: Column) -> Column:
-        def one(part: Column, j: Column) -> Column:
-            before = F.aggregate(F.slice(parts, F.lit(1), j), F.lit(1), lambda acc, p: acc + F.length(p) + 1)
-            return F.concat(_mark(index + 1, before), part)
-
-        return F.array_join(F.transform(parts, one), ";")
+        return F.array_join(F.zip_with(parts, part_columns(parts), lambda part, at: F.concat(_mark(index + 1, at), part)), ";")
 
     plain = F.concat(_mark(index + 1, F.lit(1)), line)
     return F.when(line.contains(";"), let(F.split(line, ";"), segments)).otherwise(plain)

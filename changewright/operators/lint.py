@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from changewright.functions import sqltext as T
 from changewright.operators.rules import FINDING_ARRAY, RuleSet, default_rules, dml_table_column, findings_column, items_column, parsed
+from changewright.session import cut
 
 # Fixed values: ``-- <tool>:disable A,B`` and its end; any tool name is accepted.
 ACTIONS = ("disable", "enable")
@@ -282,8 +283,8 @@ def lint(
     """Findings of a corpus ``(path, kind, sql)`` after suppression and configuration.
 
     ``skips`` (path, rule) are per-file exemptions.  ``stats`` (table_name,
-    rows) turns on the rules that need the database; those look only at
-    scripts with an UPDATE or DELETE.
+    rows) turns on the rules that need the database.  The corpus is read once
+    in either case.
     """
     rules = default_rules(config.version) if rules is None else rules
     known = rules.ids()
@@ -298,45 +299,61 @@ def lint(
     scripts = scripts.withColumn("_skips", F.coalesce("_skips", F.array().cast("array<string>")))
     visible = scripts.where(F.exists(F.split("sql", "\n"), lambda l: l.rlike(r"\S") & ~T.is_metacommand(l)))
 
-    out = _lint_static(visible, static, [r.id for r in connected], known)
-    if connected:
-        out = out.unionByName(_lint_connected(visible, connected, stats, config.max_affected_rows))
+    rows = _settled(visible, static, connected, known)
+    out = _with_sizes(rows, [r.id for r in connected], stats, config.max_affected_rows) if connected else _rows(rows, "_all")
     ours = F.col("rule") == "suppression"
     level = F.when(ours, F.col("severity")).otherwise(_severity(F.col("rule"), F.col("severity"), config))
     return out.withColumn("severity", level)
 
 
-def _lint_static(scripts: DataFrame, rules: list, elsewhere: list[str], known: list[str]) -> DataFrame:
-    rows = _found(scripts, rules).withColumn("_d", directives_column(F.col("sql")))
+def _settled(scripts: DataFrame, static: list, connected: list, known: list[str]) -> DataFrame:
+    """Rows with ``_all``, what the rules that need no table sizes say in the end, and all findings and ranges."""
+    ids = F.array(*[F.lit(r.id) for r in connected]).cast("array<string>")
+    rows = _found(scripts, static + connected).withColumn("_d", directives_column(F.col("sql")))
     rows = rows.withColumn("_r", ranges_column(F.col("_d"), _total_lines(F.col("sql"))))
-    open_to = F.filter("_found", lambda f: ~F.array_contains(F.col("_skips"), f["rule"]))
+    open_to = F.filter("_found", lambda f: ~F.array_contains(F.col("_skips"), f["rule"]) & ~F.array_contains(ids, f["rule"]))
     matched = F.transform(open_to, lambda f: F.struct(f.alias("f"), _first_match(f, F.col("_r")).alias("ord")))
     rows = rows.withColumn("_matched", F.when(F.col("_broken"), F.transform("_found", lambda f: F.struct(f.alias("f"), F.lit(None).cast("int").alias("ord")))).otherwise(matched))
     kept = F.transform(F.filter("_matched", lambda m: m["ord"].isNull()), lambda m: m["f"])
     used = F.transform("_matched", lambda m: m["ord"])
-    others = F.array(*[F.lit(e) for e in elsewhere]).cast("array<string>")
-    idle = F.filter("_r", lambda r: ~F.array_contains(F.array_compact(used), r["ord"]) & ~F.array_contains(others, r["rule"]))
+    idle = F.filter("_r", lambda r: ~F.array_contains(F.array_compact(used), r["ord"]) & ~F.array_contains(ids, r["rule"]))
     warnings = F.concat(_directive_warnings(F.col("_d"), F.col("_r"), known), _unused_warnings(idle)).cast(FINDING_ARRAY)
-    all_ = F.when(F.col("_broken"), F.col("_found")).otherwise(F.concat(kept.cast(FINDING_ARRAY), warnings))
-    return _rows(rows.withColumn("_all", all_), "_all")
-
-
-def _lint_connected(scripts: DataFrame, rules: list, stats: DataFrame, threshold: int) -> DataFrame:
-    """Rules that depend on table sizes; a range of such a rule is settled here too."""
-    ids = [r.id for r in rules]
-    rows = _found(scripts.where(F.col("sql").rlike(r"(?i)\b(?:UPDATE|DELETE)\b")), rules).where(~F.col("_broken"))
-    rows = rows.withColumn("_r", ranges_column(directives_column(F.col("sql")), _total_lines(F.col("sql"))))
-    rows = rows.select("path", "_skips", "_parsed", "_r", F.explode("_found").alias("f"))
-    target = dml_table_column(F.get("_parsed", F.col("f.stmt_no") - 1))
-    rows = rows.select("path", "f", target.alias("_table"), F.array_contains("_skips", F.col("f.rule")).alias("_skip"), _first_match(F.col("f"), F.col("_r")).alias("_ord"))
-    large = stats.where(F.col("rows") > threshold).select(F.col("table_name").alias("_table"))
-    hits = rows.join(large, "_table", "left_semi").where(~F.col("_skip"))
-    kept = hits.where("_ord is null").select("path", "f.*")
-    used = hits.where("_ord is not null").select("path", F.col("_ord").alias("ord")).distinct()
-    ranges = suppression_ranges(scripts).where(F.col("rule").isin(*ids))
-    idle = ranges.join(used, ["path", "ord"], "left_anti")
-    message = F.concat(F.lit('Unused suppression of "'), F.col("rule"), F.lit('".'))
-    return kept.unionByName(idle.select("path", _warning(F.col("from_line"), message).alias("w")).select("path", "w.*"))
+    return rows.withColumn("_all", F.when(F.col("_broken"), F.col("_found")).otherwise(F.concat(kept.cast(FINDING_ARRAY), warnings)))
+
+
+#: What a row of the stream behind ``_with_sizes`` is: settled, a finding that depends on a table's size, a range.
+_SETTLED, _CANDIDATE, _RANGE = 0, 1, 2
+
+
+def _with_sizes(rows: DataFrame, ids: list[str], stats: DataFrame, threshold: int) -> DataFrame:
+    """Findings once table sizes are known, in one pass over the corpus.
+
+    A script gives settled findings, candidates and suppression ranges of the rules in ``ids`` side by side.  Candidates
+    meet the large tables in one join.  A range and the candidates that it suppresses then meet in one group: if a
+    candidate is there the range was used, else it is reported; all other rows are groups of their own.
+    """
+    named = F.array(*[F.lit(i) for i in ids])
+    none, no_table = F.lit(None).cast("int"), F.lit(None).cast("string")
+
+    def item(tag: int, f: Column, table: Column, ord_: Column) -> Column:
+        return F.struct(F.lit(tag).alias("tag"), f.alias("f"), table.alias("table"), ord_.cast("int").alias("ord"))
+
+    empty = F.array().cast(FINDING_ARRAY)
+    ours = F.filter("_found", lambda f: F.array_contains(named, f["rule"]) & ~F.array_contains(F.col("_skips"), f["rule"]))
+    ours = F.when(F.col("_broken"), empty).otherwise(ours.cast(FINDING_ARRAY))
+    candidates = F.transform(ours, lambda f: item(_CANDIDATE, f, dml_table_column(F.get("_parsed", f["stmt_no"] - 1)), _first_match(f, F.col("_r"))))
+    idle = F.transform(F.filter("_r", lambda r: F.array_contains(named, r["rule"])), lambda r: F.struct(
+        _warning(r["from_line"], F.concat(F.lit('Unused suppression of "'), r["rule"], F.lit('".'))).alias("f"), r["ord"].alias("ord")))
+    ranges = F.zip_with(F.transform(idle, lambda x: x["f"]).cast(FINDING_ARRAY), F.transform(idle, lambda x: x["ord"]), lambda f, o: item(_RANGE, f, no_table, o))
+    settled = F.transform(F.col("_all").cast(FINDING_ARRAY), lambda f: item(_SETTLED, f, no_table, none))
+    stream = rows.select("path", F.explode_outer(F.concat(settled, candidates, ranges)).alias("_i")).where("_i is not null").select("path", "_i.*")
+    large = cut(stats.where(F.col("rows") > threshold).select(F.col("table_name").alias("table"), F.lit(True).alias("_large")).distinct())
+    stream = stream.join(large, "table", "left").where((F.col("tag") != _CANDIDATE) | F.col("_large"))
+    ranged = F.col("ord").isNotNull()
+    alone = F.when(~ranged, F.monotonically_increasing_id())
+    groups = stream.withColumn("_alone", alone).groupBy("path", "ord", "_alone").agg(
+        F.bool_or(F.col("tag") == _CANDIDATE).alias("used"), F.first(F.when(~ranged | (F.col("tag") == _RANGE), F.col("f")), ignorenulls=True).alias("f"))
+    return groups.where("f is not null and (ord is null or not used)").select("path", "f.*")
 
 
 # -- summaries ---------------------------------------------------------------

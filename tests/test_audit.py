@@ -202,3 +202,42 @@ def test_atomic_body_is_one_statement(spark):
     sql = "CREATE FUNCTION f() RETURNS int LANGUAGE sql BEGIN ATOMIC SELECT CASE WHEN true THEN 1 END; RETURN 2; END;\nBEGIN;\nDROP TABLE foo;\nEND;"
     rows = L.statements(spark.createDataFrame([("p", "deploy", sql)], "path string, kind string, sql string")).orderBy("stmt_no").collect()
     assert [(r["line"], r["stmt"]) for r in rows] == [(1, sql.split(";\n")[0]), (2, "BEGIN"), (3, "DROP TABLE foo"), (4, "END")]
+
+
+def test_columns_of_many_statements_in_one_line(spark):
+    import time
+
+    from changewright.functions import sqltext as T
+
+    def places(n):
+        parts = [f"SELECT {i}" + " " * (i % 3) for i in range(n)]
+        line = ";".join(parts)
+        df = spark.createDataFrame([(line,)], "l string").select(T.part_columns(F.split("l", ";")).alias("c"))
+        begin = time.perf_counter()
+        got = df.first()["c"]
+        want, at = [], 1
+        for p in parts:
+            want.append(at)
+            at += len(p) + 1
+        assert got == want
+        return time.perf_counter() - begin
+
+    for n in (1, 2, 127, 128, 129, 257):
+        places(n)
+    small, large = places(2_000), places(20_000)
+    assert large < 30 * max(small, 0.1)
+
+
+def test_sizes_are_looked_up_in_one_pass(spark, tmp_path):
+    rows = [
+        ("a.sql", "deploy", "UPDATE big SET x = 1 WHERE y = 2;\nDELETE FROM small WHERE z = 1;"),
+        ("b.sql", "deploy", "-- tool:disable SA011\nUPDATE big SET x = 1 WHERE y = 2;\nUPDATE big SET x = 2 WHERE y = 2;"),
+        ("c.sql", "deploy", "-- tool:disable SA011\nUPDATE small SET x = 1 WHERE y = 2;"),
+        ("d.sql", "deploy", "SELECT 1;"), ("e.sql", "deploy", "SELECT (;"),
+    ]
+    spark.createDataFrame(rows, "path string, kind string, sql string").write.parquet(str(tmp_path / "s"))
+    stats = spark.createDataFrame([("big", 10**6), ("big", 10**6), ("small", 10)], "table_name string, rows long")
+    out = L.lint(spark.read.parquet(str(tmp_path / "s")), stats=stats)
+    got = sorted((r.path, r.rule) for r in out.collect() if r.rule in ("SA011", "parse-error") or r.message.startswith("Unused"))
+    assert got == [("a.sql", "SA011"), ("c.sql", "suppression"), ("e.sql", "parse-error")]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation [path") == 1
