@@ -469,6 +469,21 @@ def changed_scripts(s, d):
     return C.changed_scripts(scripts, manifest)
 
 
+@query("read_scripts", """SELECT 's' || l_suppkey AS name, 'revert' AS kind, text AS sql, sha1(text) AS script_hash
+FROM (SELECT l_suppkey, string_agg('-- ' || day || chr(10), '' ORDER BY day) AS text FROM (SELECT DISTINCT l_suppkey, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS day FROM lineitem) GROUP BY 1)""")
+def read_scripts(s, d):
+    """Scripts on disk, one per supplier with a line per ship date, read as text and as raw bytes."""
+    folder = f"{checkpoint_dir(s)}/{uuid.uuid4().hex}"
+    lines = table(s, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("name"), F.concat(F.lit("-- "), F.to_date("l_shipdate").cast("string")).alias("line")).distinct()
+    lines.repartition("name").sortWithinPartitions("name", "line").write.partitionBy("name").text(folder)
+    made = s._jvm.org.apache.hadoop.fs.Path
+    fs = made(folder).getFileSystem(s._jsc.hadoopConfiguration())
+    for part in fs.globStatus(made(f"{folder}/name=*/part-*")):
+        fs.rename(part.getPath(), made(f"{folder}/{part.getPath().getParent().getName()[5:]}.sql"))
+    texts, hashes = C.read_scripts(s, folder, "revert"), C.read_script_hashes(s, folder)
+    return texts.join(hashes.select("name", "script_hash"), "name").select("name", "kind", "sql", "script_hash")
+
+
 @query("upsert_projects", f"""{E}, old AS (SELECT target, project, min(name) AS uri FROM change_events WHERE event = 'revert' AND event_id % 2 = 0 GROUP BY 1, 2),
 new AS (SELECT target, project, 'new' AS uri FROM plan_changes GROUP BY 1, 2)
 SELECT * FROM old UNION ALL SELECT * FROM new n WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.target = n.target AND o.project = n.project)""")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from changewright.catalog.registry import query
-from changewright.fixtures import PLAN_SQL, plan_changes, table
+from changewright.fixtures import PLAN_SQL, micros, plan_changes, table
 from changewright.functions import ids
 from changewright.operators import includes as I
 from changewright.plans import text as P
@@ -180,7 +180,7 @@ VERSIONS_SQL = """WITH versions AS (
   UNION ALL SELECT 'shared/g.sql', l_shipdate, count(*) FROM lineitem GROUP BY 1, 2),
 head AS (SELECT path, arg_max(n, ts) AS n FROM versions GROUP BY 1),
 pairs AS (SELECT path, planned_at FROM head, (SELECT DISTINCT o_orderdate AS planned_at FROM orders)),
-seen AS (SELECT p.path, p.planned_at, coalesce(v.n, h.n) AS n, v.n IS NULL AS from_head FROM pairs p
+seen AS MATERIALIZED (SELECT p.path, p.planned_at, coalesce(v.n, h.n) AS n, v.n IS NULL AS from_head FROM pairs p
          ASOF LEFT JOIN versions v ON p.path = v.path AND p.planned_at >= v.ts JOIN head h ON h.path = p.path)"""
 
 
@@ -211,6 +211,24 @@ def expand_includes(s, d):
     return I.expand_includes(include_scripts(s, d), file_versions(s, d).select("path", "ts", "sql"))
 
 
+@query("expand_includes_newest", rf"""{VERSIONS_SQL}, x AS (SELECT o_orderkey AS id, '../shared/f' || (o_custkey % 20) || '.sql' AS f, sf.n AS fn, sb.n AS bn, sg.n AS gn FROM orders
+  JOIN head sf ON sf.path = 'shared/f' || (o_custkey % 20) || '.sql' JOIN head sb ON sb.path = 'shared/base1.sql' JOIN head sg ON sg.path = 'shared/g.sql')
+SELECT id, concat_ws(chr(10), '-- head', {MARK.format('begin', 'f')}, 'f ' || fn, {MARK.format('begin', "'base1.sql'")}, 'base ' || bn, {MARK.format('end', "'base1.sql'")},
+  {MARK.format('end', 'f')}, 'SELECT ' || id || ';', '/*', '\i skipped.sql', '*/', {MARK.format('begin', "'shared/./g.sql'")}, 'g ' || gn, {MARK.format('end', "'shared/./g.sql'")}, '-- end') AS sql FROM x""")
+def expand_includes_newest(s, d):
+    return I.expand_includes(include_scripts(s, d), file_versions(s, d).select("path", "ts", "sql"), snapshot=False)
+
+
+@query("included_files", f"""{VERSIONS_SQL}, stamp AS MATERIALIZED (SELECT p.path, p.planned_at, coalesce(v.ts, (SELECT max(ts) FROM versions m WHERE m.path = p.path)) AS ts
+  FROM pairs p ASOF LEFT JOIN versions v ON p.path = v.path AND p.planned_at >= v.ts),
+w AS (SELECT o_orderkey AS id, o_orderdate AS planned_at, u.* FROM orders, LATERAL (SELECT unnest([2, 2, 7]) AS line, unnest([1, 2, 1]) AS depth,
+  unnest(['shared/f' || (o_custkey % 20) || '.sql', 'shared/base1.sql', 'shared/g.sql']) AS path) u)
+SELECT id, line, depth, w.path, epoch_us(CAST(ts AS TIMESTAMP)) AS version_us FROM w JOIN stamp USING (path, planned_at)""")
+def included_files(s, d):
+    out = I.included_files(include_scripts(s, d), file_versions(s, d).select("path", "ts", "sql"))
+    return out.select("id", F.get("ord", F.lit(0)).alias("line"), "depth", "path", micros(F.col("version")).alias("version_us"))
+
+
 @query("include_path", """SELECT o_orderkey AS id, 'deploy/' || CASE o_orderstatus WHEN 'F' THEN 'b.sql' WHEN 'O' THEN 'sub/c.sql' ELSE 'sub' END AS a,
   CASE o_orderstatus WHEN 'F' THEN '../x' WHEN 'O' THEN 'x/y' ELSE '.' END AS b FROM orders""")
 def include_path(s, d):

@@ -97,25 +97,16 @@ def apply_changes(
 
     A row's image can only end in four ways: old moved, new moved, neither, inserted.  Which one follows from which
     is a small map per image; maps compose, so they are folded inside bounded slices of the order and then across
-    slices, and a key with any share of all changes stays in bounded steps.
+    slices, and a key with any share of all changes stays in bounded steps.  Only keys with several images are ordered.
     """
     cols = [x for x in table.columns if x not in keys]
-    touched = changes.select(*keys).distinct()
-    rest = table.join(touched, list(keys), "left_anti")
-    stored = table.join(touched, list(keys), "left_semi").select(*table.columns, F.lit("stored").alias("op"), F.lit(0).alias("_late"))
-    images = changes.select(*keys, *cols, "op", F.lit(1).alias("_late"), *[F.col(x).alias(f"_by{i}") for i, x in enumerate(order)])
-    log = stored.unionByName(images, allowMissingColumns=True)
-
-    def pair(old: Column, new: Column) -> Column:
-        return F.struct(old.cast(c.old_type).alias("old"), new.cast(c.new_type).alias("new"))
-
-    old, new = F.col(c.old), F.col(c.new)
-    ends = F.array(pair(old, fwd_expr(c)), pair(rev_expr(c), new), pair(old, new))
-    log = log.withColumn("_ends", ends)
-    log = log.withColumn("_new", F.when(new.isNull(), fwd_expr(c)).otherwise(new)).withColumn("_image_new", new)
-    refilled = log.drop(c.new).withColumnRenamed("_new", c.new)
-    inserted = F.when(F.col(c.old).isNull() & F.col(c.new).isNotNull(), rev_expr(c)).otherwise(F.col(c.old))
-    log = refilled.withColumn("_ends", F.concat("_ends", F.array(pair(inserted, F.col(c.new))))).drop(c.new).withColumnRenamed("_image_new", c.new)
+    counted = changes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    rest = table.join(counted, list(keys), "left_anti")
+    several = counted.where("_n > 1").select(*keys)
+    once = _apply_single(table, changes.join(counted.where("_n = 1").select(*keys), list(keys), "left_semi"), keys, c, cols)
+    stored = table.join(several, list(keys), "left_semi").select(*table.columns, F.lit("stored").alias("op"), F.lit(0).alias("_late"))
+    images = changes.join(several, list(keys), "left_semi").select(*keys, *cols, "op", F.lit(1).alias("_late"), *[F.col(x).alias(f"_by{i}") for i, x in enumerate(order)])
+    log = _with_ends(stored.unionByName(images, allowMissingColumns=True), c)
 
     by = [F.col("_late"), *[F.col(f"_by{i}") for i in range(len(order))]]
     sliced = ordered.neighbour(ordered.slice_by_sort(log, keys, by), keys, F.col("_ends"), "_before", -1)
@@ -140,7 +131,32 @@ def apply_changes(
     last = F.get(F.col("r._ends"), F.col("end"))
     value = {c.old: last["old"], c.new: last["new"]}
     kept = whole.where(F.col("end") < _GONE).select(*keys, *[value.get(x, F.col(f"r.`{x}`")).cast(table.schema[x].dataType).alias(x) for x in cols])
-    return rest.unionByName(kept.select(*table.columns))
+    return rest.unionByName(kept.select(*table.columns)).unionByName(once.select(*table.columns))
+
+
+def _with_ends(log: DataFrame, c: ColumnChange) -> DataFrame:
+    """Adds ``_ends``, the (old, new) pairs of the four ways a row's image can end."""
+    def pair(old: Column, new: Column) -> Column:
+        return F.struct(old.cast(c.old_type).alias("old"), new.cast(c.new_type).alias("new"))
+
+    old, new = F.col(c.old), F.col(c.new)
+    ends = F.array(pair(old, fwd_expr(c)), pair(rev_expr(c), new), pair(old, new))
+    log = log.withColumn("_ends", ends)
+    log = log.withColumn("_new", F.when(new.isNull(), fwd_expr(c)).otherwise(new)).withColumn("_image_new", new)
+    refilled = log.drop(c.new).withColumnRenamed("_new", c.new)
+    inserted = F.when(F.col(c.old).isNull() & F.col(c.new).isNotNull(), rev_expr(c)).otherwise(F.col(c.old))
+    return refilled.withColumn("_ends", F.concat("_ends", F.array(pair(inserted, F.col(c.new))))).drop(c.new).withColumnRenamed("_image_new", c.new)
+
+
+def _apply_single(table: DataFrame, changes: DataFrame, keys: Sequence[str], c: ColumnChange, cols: Sequence[str]) -> DataFrame:
+    """Rows after the only image of their key: no order is needed, just the stored row."""
+    was = F.struct(F.col(c.old).cast(c.old_type).alias("old"), F.col(c.new).cast(c.new_type).alias("new"))
+    rows = _with_ends(changes.select(*keys, *cols, "op"), c).join(table.select(*keys, was.alias("_was")), list(keys), "left")
+    image = F.col("_ends")[2]
+    moved = F.when(~image["old"].eqNullSafe(F.col("_was.old")), 0).when(~image["new"].eqNullSafe(F.col("_was.new")), 1).otherwise(2)
+    last = F.get("_ends", F.when(F.col("_was").isNull(), 3).otherwise(moved))
+    value = {c.old: last["old"], c.new: last["new"]}
+    return rows.where("op <> 'delete'").select(*keys, *[value.get(x, F.col(x)).cast(table.schema[x].dataType).alias(x) for x in cols])
 
 
 def backfill_status(df: DataFrame, new: str, source_filter: Column | None = None) -> DataFrame:

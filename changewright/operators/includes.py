@@ -87,60 +87,93 @@ def include_version_asof(
     return out.withColumn(version, F.coalesce("_found", "_head")).withColumn("from_head", F.col("_found").isNull()).drop("_found", "_head")
 
 
-def _lines(df: DataFrame, content: Column) -> DataFrame:
-    """(id, at, script, ord, visited, text, d) for every line of ``content``."""
-    visible = _visible_lines(content)
-
+def _lines(df: DataFrame, sql: Column, script: Column, *carry: str) -> DataFrame:
+    """(carry, line, text, written, path) for every line of ``sql``; path and written path of an include, else null."""
     def one(text: Column, i: Column) -> Column:
         return F.struct(i.alias("i"), text.alias("text"))
 
-    lines = let(visible, lambda v: F.transform(
-        F.transform(F.split(content, "\n"), one),
+    numbered = let(_visible_lines(sql), lambda v: F.transform(
+        F.transform(F.split(sql, "\n"), one),
         lambda x: F.struct(x["i"].alias("i"), x["text"].alias("text"), directive_column(F.get(v, x["i"])).alias("d")),
     ))
-    rows = df.select("id", "at", "script", "ord", "visited", F.explode(lines).alias("x"))
-    place = F.concat("ord", F.array(F.col("x.i") + 1))
-    return rows.select("id", "at", "script", place.alias("ord"), "visited", F.col("x.text").alias("text"), F.col("x.d").alias("d"))
+    rows = df.select(*carry, script.alias("_script"), F.explode(numbered).alias("x"))
+    target = F.when(F.col("x.d").isNotNull(), include_path(F.col("x.d.type"), F.col("x.d.path"), F.col("_script")))
+    return rows.select(*carry, (F.col("x.i") + 1).alias("line"), F.col("x.text").alias("text"), F.col("x.d.path").alias("written"), target.alias("path"))
+
+
+_HAS_INCLUDE = r"(?m)^[ \t]*\\i"
 
 
-def expand_includes(scripts: DataFrame, versions: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """Full text of scripts that include files, each file as of the script's plan time.
+def _file_times(first: DataFrame, versions: DataFrame) -> DataFrame:
+    """Distinct (path, at) that scripts may need: those they include, and whatever any version of those includes.
 
-    ``scripts``: id, path, planned_at, sql.  ``versions``: path, ts, sql.  One
-    round of joins per nesting level over the include lines only; versions are
-    found by their keys, and the text is joined afterwards.  A file that
-    includes itself, a missing file or more than ``max_depth`` levels (if
-    given) stop the query.
-    Scripts without includes give no row: they run as they are.
+    Steps over distinct pairs only; a pair that is there already is not followed again.
     """
-    start = scripts.where(F.col("sql").rlike(r"(?m)^[ \t]*\\i")).select(
-        "id", F.col("planned_at").alias("at"), F.col("path").alias("script"),
-        F.array().cast("array<int>").alias("ord"), F.array(normal_path(F.col("path"))).alias("visited"), "sql",
-    )
-    rows = cut(_lines(start, F.col("sql")))
-    using = rows.where("d is not null").select("id").distinct()
-    done = [rows.join(using, "id", "left_semi").where("d is null").select("id", "ord", "text")]
-    open_ = rows.where("d is not null")
-    stamps = versions.select("path", "ts", F.col("ts").alias("_version"))
-    files = versions.select("path", F.col("ts").alias("_version"), F.col("sql").alias("content"))
+    edges = _lines(versions.where(F.col("sql").rlike(_HAS_INCLUDE)), F.col("sql"), F.col("path"), "path").toDF("file", "line", "text", "written", "path")
+    edges = cut(edges.where("path is not null").select("file", "path").distinct())
+    fresh = cut(first.select("path", "at").distinct())
+    parts = [fresh]
+    while not fresh.isEmpty():
+        step = fresh.withColumnRenamed("path", "file").join(edges, "file").select("path", "at").distinct()
+        fresh = cut(step.join(reduce(DataFrame.unionByName, parts), ["path", "at"], "left_anti"))
+        parts.append(fresh)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _expansion(scripts: DataFrame, versions: DataFrame, max_depth: int | None, snapshot: bool) -> tuple[DataFrame, DataFrame]:
+    """Lines (id, ord, text) of expanded scripts and their includes (id, ord, path, version, depth)."""
+    start = scripts.where(F.col("sql").rlike(_HAS_INCLUDE)).select("id", F.col("planned_at").alias("at"), normal_path(F.col("path")).alias("own"), "path", "sql")
+    rows = _lines(start, F.col("sql"), F.col("path"), "id", "at", "own")
+    rows = cut(rows.select("id", "at", F.array("line").alias("ord"), F.array("own").alias("visited"), "text", "written", "path"))
+    open_ = rows.where("path is not null")
+    done = [rows.join(open_.select("id").distinct(), "id", "left_semi").where("path is null").select("id", "ord", "text")]
+    pairs = _file_times(open_, versions)
+    stamps = versions.select("path", "ts", F.col("ts").alias("version"))
+    if snapshot:
+        resolved = include_version_asof(pairs, stamps, "version", at="at").drop("from_head")
+    else:
+        resolved = pairs.join(versions.groupBy("path").agg(F.max("ts").alias("version")), "path", "left")
+    resolved = cut(resolved)
+    used = resolved.select("path", "version").distinct()
+    files = versions.select("path", F.col("ts").alias("version"), "sql").join(used, ["path", "version"], "left_semi")
+    files = cut(_lines(files, F.col("sql"), F.col("path"), "path", "version").toDF("file", "version", "line", "text", "written", "path"))
+    includes = []
     depth = 0
     while not open_.isEmpty():
         depth += 1
         if max_depth is not None and depth > max_depth:
             raise ValueError(f"includes nest deeper than {max_depth} levels")
-        target = include_path(F.col("d.type"), F.col("d.path"), F.col("script"))
-        wanted = open_.withColumn("path", target).withColumn("written", F.col("d.path")).drop("d", "text")
         loop = F.raise_error(F.concat(F.lit("file includes itself: "), F.col("path"))).cast("string")
-        wanted = wanted.withColumn("path", F.when(F.array_contains("visited", F.col("path")), loop).otherwise(F.col("path")))
-        found = include_version_asof(wanted, stamps, "_version", at="at").join(files, ["path", "_version"], "left").drop("_version")
-        lost = F.raise_error(F.concat(F.lit("included file not found: "), F.col("path")))
-        found = cut(found.withColumn("content", F.coalesce("content", lost.cast("string"))))
-        for word, place in (("begin", F.concat("ord", F.array(F.lit(0)))), ("end", F.concat("ord", F.array(F.lit(2**31 - 1))))):
-            done.append(found.select("id", place.alias("ord"), F.concat(F.lit(f"-- [snapshot] {word} include: "), F.col("written")).alias("text")))
-        inner = found.select("id", "at", F.col("path").alias("script"), "ord", F.concat("visited", F.array("path")).alias("visited"), "content")
-        rows = cut(_lines(inner, F.col("content")))
-        done.append(rows.where("d is null").select("id", "ord", "text"))
-        open_ = rows.where("d is not null")
+        wanted = open_.withColumn("path", F.when(F.array_contains("visited", F.col("path")), loop).otherwise(F.col("path"))).drop("text")
+        lost = F.raise_error(F.concat(F.lit("included file not found: "), F.col("path"))).cast(versions.schema["ts"].dataType)
+        found = wanted.join(resolved, ["path", "at"], "left").withColumn("version", F.coalesce("version", lost))
+        found = cut(found)
+        includes.append(found.select("id", "ord", "path", "version", F.lit(depth).alias("depth")))
+        for word, place in (("begin", F.lit(0)), ("end", F.lit(2**31 - 1))):
+            done.append(found.select("id", F.concat("ord", F.array(place)).alias("ord"), F.concat(F.lit(f"-- [snapshot] {word} include: "), F.col("written")).alias("text")))
+        inner = found.select("id", "at", F.col("path").alias("file"), "version", "ord", F.concat("visited", F.array("path")).alias("visited")).join(files, ["file", "version"])
+        rows = cut(inner.select("id", "at", F.concat("ord", F.array("line")).alias("ord"), "visited", "text", "written", "path"))
+        done.append(rows.where("path is null").select("id", "ord", "text"))
+        open_ = rows.where("path is not null")
+    if not includes:
+        none = rows.where("false").select("id", "ord", "path", F.lit(None).cast(versions.schema["ts"].dataType).alias("version"), F.lit(0).alias("depth"))
+        includes.append(none)
+    return reduce(DataFrame.unionByName, done), reduce(DataFrame.unionByName, includes)
+
+
+def expand_includes(scripts: DataFrame, versions: DataFrame, max_depth: int | None = None, snapshot: bool = True) -> DataFrame:
+    """Full text of scripts that include files, each file as of the script's plan time (or its newest version, without ``snapshot``).
+
+    ``scripts``: id, path, planned_at, sql.  ``versions``: path, ts, sql.  Versions are sorted once, against the distinct
+    (file, time) pairs of all levels; every file version is parsed once; then one join per nesting level over the
+    include lines.  A file that includes itself, a missing file or more than ``max_depth`` levels (if given) stop the
+    query.  Scripts without includes give no row: they run as they are.
+    """
     # One script's lines make one text cell again, as they did on input.
     lines = F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"])
-    return reduce(DataFrame.unionByName, done).groupBy("id").agg(F.array_join(lines, "\n").alias("sql"))
+    return _expansion(scripts, versions, max_depth, snapshot)[0].groupBy("id").agg(F.array_join(lines, "\n").alias("sql"))
+
+
+def included_files(scripts: DataFrame, versions: DataFrame, max_depth: int | None = None, snapshot: bool = True) -> DataFrame:
+    """Files that each expanded script pulled in, one row per include in the order of the text: id, ord, path, version, depth."""
+    return _expansion(scripts, versions, max_depth, snapshot)[1]

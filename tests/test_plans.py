@@ -99,6 +99,17 @@ def test_includes(spark):
     }
 
 
+def test_included_files_and_newest_versions(spark):
+    files = [("lib/a.sql", 10, "a10\n\\ir b.sql"), ("lib/a.sql", 20, "a20"), ("lib/b.sql", 5, "b5"), ("lib/b.sql", 40, "b40"), ("c.sql", 1, "\\i missing.sql"), ("c.sql", 2, "c2")]
+    scripts = [(1, "x.sql", 15, "\\i lib/a.sql\n-- mid\n\\i c.sql\n\\i lib/b.sql"), (2, "y.sql", 30, "\\i lib/a.sql"), (3, "z.sql", 1, "SELECT 1")]
+    args = spark.createDataFrame(scripts, SCRIPTS), spark.createDataFrame(files, FILES)
+    got = sorted((r.id, r.ord, r.path, r.version, r.depth) for r in I.included_files(*args).collect())
+    assert got == [(1, [1], "lib/a.sql", 10, 1), (1, [1, 2], "lib/b.sql", 5, 2), (1, [3], "c.sql", 2, 1), (1, [4], "lib/b.sql", 5, 1), (2, [1], "lib/a.sql", 20, 1)]
+    newest = {r.id: r.sql.split("\n") for r in I.expand_includes(*args, snapshot=False).collect()}
+    assert [x for x in newest[1] if not x.startswith("-- [")] == ["a20", "-- mid", "c2", "b40"] and newest[2][1] == "a20" and 3 not in newest
+    assert I.included_files(args[0].where("id = 3"), args[1]).count() == 0
+
+
 @pytest.mark.parametrize("files, word", [([("a.sql", 1, "\\i b.sql"), ("b.sql", 1, "\\i a.sql")], "includes itself"), ([("other.sql", 1, "x")], "not found")])
 def test_include_errors(spark, files, word):
     scripts = spark.createDataFrame([(1, "x.sql", 5, "\\i a.sql")], SCRIPTS)
