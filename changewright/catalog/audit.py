@@ -70,9 +70,18 @@ def custom_rule(s, d):
     return found.select("path", "rule", "line", F.col("column").alias("col"), "message")
 
 
-@query("statements", f"{S}, {C.expected('st', 'line, col', 'stmts')} SELECT path, i AS stmt_no, line, col FROM scripts JOIN st USING (n) WHERE n <> 23 UNION ALL SELECT path, unnest([1, 2]), unnest([1, 2]), 1 FROM scripts WHERE n = 23")
+#: Texts of the statements that hold comments, bodies or literals, which are blank in the masked text.
+MASKED = C.values("masked", "n, i, stmt", (
+    (19, 1, "CREATE INDEX CONCURRENTLY i_{k} ON t_{k} (a)"), (19, 2, "REINDEX INDEX CONCURRENTLY i_{k}"), (21, 1, "CREATE FUNCTION f_{k}() RETURNS void AS $ $ LANGUAGE plpgsql"),
+    (21, 2, "SELECT ' ', E' '"), (22, 1, "UPDATE t_{k} SET a = 1"), (22, 2, "DELETE FROM t_{k}"), (22, 3, "UPDATE u_{k} SET a = 2"), (23, 1, "CREATE TABLE t_{k} (a int"), (23, 2, "DROP TABLE x")))
+
+
+@query("statements", rf"""{S}, {C.expected('st', 'line, col', 'stmts')}, {MASKED},
+p AS (SELECT n, path, k, i, line, col, list_filter(list_transform(string_split(regexp_replace(sql, '''[0-9]s''', ''' ''', 'g'), ';'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS plain
+  FROM scripts JOIN st USING (n) WHERE n <> 23 UNION ALL SELECT n, path, k, unnest([1, 2]), unnest([1, 2]), 1, [] FROM scripts WHERE n = 23)
+SELECT path, p.i AS stmt_no, line, col, coalesce(replace(stmt, '{{k}}', CAST(k AS VARCHAR)), plain[p.i]) AS stmt FROM p LEFT JOIN masked m ON m.n = p.n AND m.i = p.i""")
 def statements(s, d):
-    return L.statements(scripts(s, d)).select("path", "stmt_no", "line", F.col("column").alias("col"))
+    return L.statements(scripts(s, d)).select("path", "stmt_no", "line", F.col("column").alias("col"), "stmt")
 
 
 @query("mask", f"{S} SELECT path, length(sql) AS size, true AS same_lines, n IN (21, 22, 19) OR sql LIKE 'SET lock%' OR n = 12 AS changed FROM scripts")
@@ -120,16 +129,26 @@ def tables_affected(s, d):
 RISKS = C.values("risks", "n, risk, broken", ((n, x.risk, x.broken) for n, x in enumerate(C.SHAPES)))
 
 
-@query("script_risk", f"{S}, {RISKS} SELECT path, risk FROM scripts JOIN risks USING (n)")
+FACTORS = C.values("factors", "n, factors", (
+    *((n, "adds a column") for n in (0, 1, 2, 12)), (3, "changes a column type, may rewrite the table"), (4, "creates an index, blocks writes unless concurrent"), (6, "drops a column"),
+    (7, "drops a table"), (16, "touches a NOT NULL constraint, may scan the table"), (19, "creates an index, blocks writes unless concurrent; works concurrently, slower but not blocking"),
+    (23, "the script cannot be parsed, review it by hand")))
+
+
+@query("script_risk", f"{S}, {RISKS}, {FACTORS} SELECT path, risk, coalesce(factors, 'no risk factor found') AS factors FROM scripts JOIN risks USING (n) LEFT JOIN factors USING (n)")
 def script_risk(s, d):
-    return E.script_risk(scripts(s, d)).select("path", "risk")
+    return E.script_risk(scripts(s, d)).select("path", "risk", F.array_join("factors", "; ").alias("factors"))
 
 
-@query("script_context", f"""{S}, {RISKS}, {OPS}, c AS (SELECT n, count(*) AS operations FROM ops GROUP BY 1)
-SELECT path, coalesce(operations, 0) AS operations, coalesce(operations, 0) AS locks, risk, n = 23 AS unparsed FROM scripts JOIN risks USING (n) LEFT JOIN c USING (n)""")
+@query("script_context", f"""{S}, {RISKS}, {OPS}, c AS (SELECT path, string_agg(type || ' ' || {OPS_K}, ',' ORDER BY i) AS operations, string_agg(lock, ',' ORDER BY i) AS locks,
+  string_agg(regexp_replace({OPS_K}, '^.* ON ', ''), ',' ORDER BY i) FILTER (WHERE type IN ('ALTER TABLE', 'DROP TABLE') OR object_name LIKE '% ON %') AS tables FROM scripts JOIN ops USING (n) GROUP BY 1)
+SELECT path, coalesce(operations, '') AS operations, coalesce(locks, '') AS locks, coalesce(tables, '') AS tables, risk, n = 23 AS unparsed FROM scripts JOIN risks USING (n) LEFT JOIN c USING (path)""")
 def script_context(s, d):
     out = E.script_context(scripts(s, d))
-    return out.select("path", F.size("operations").alias("operations"), F.size("locks").alias("locks"), "risk", F.array_contains("factors", E.UNPARSED).alias("unparsed"))
+    named = F.transform("operations", lambda o: F.concat_ws(" ", o["type"], o["object_name"]))
+    return out.select(
+        "path", F.array_join(named, ",").alias("operations"), F.array_join("locks.lock", ",").alias("locks"), F.array_join("tables", ",").alias("tables"), "risk",
+        F.array_contains("factors", E.UNPARSED).alias("unparsed"))
 
 
 RANGES = C.values("ranges", "n, ord, rule, from_line, to_line, closed", (
@@ -206,11 +225,18 @@ def script_flags(s, d):
     return scripts(s, d).select("path", V.sets_lock_timeout(sql).alias("sets_timeout"), V.is_non_transactional(sql).alias("no_transaction"), script_hash(sql).alias("script_hash"))
 
 
-@query("report_json", f"{LINTED} SELECT path, 1 AS version, {COUNTS}, count(*) AS entries FROM linted GROUP BY 1")
+@query("report_json", f"""{LINTED} SELECT path, 1 AS version, 'audit' AS tool, {COUNTS},
+  string_agg(rule || ':' || severity || ':' || path || ':' || line || ':' || col, ' ' ORDER BY line, col, rule) AS entries FROM linted GROUP BY 1""")
 def report_json(s, d):
     out = R.report_json(L.lint(scripts(s, d)), tool="audit")
-    doc = F.from_json("json", "version int, findings array<struct<ruleId:string>>, summary struct<errors:long,warnings:long,info:long>")
-    return out.select("path", doc.alias("j")).select("path", "j.version", "j.summary.*", F.size("j.findings").alias("entries"))
+    entry = "struct<ruleId:string, severity:string, message:string, location:struct<file:string, line:int, column:int>>"
+    doc = F.from_json("json", f"version int, metadata struct<tool:string>, findings array<{entry}>, summary struct<errors:long,warnings:long,info:long>")
+
+    def told(e):
+        place = e["location"]
+        return F.when(F.length(e["message"]) > 0, F.concat_ws(":", e["ruleId"], e["severity"], place["file"], place["line"].cast("string"), place["column"].cast("string")))
+
+    return out.select("path", doc.alias("j")).select("path", "j.version", "j.metadata.tool", "j.summary.*", F.array_join(F.transform("j.findings", told), " ").alias("entries"))
 
 
 @query("report_annotations", f"""{LINTED} SELECT '::' || CASE severity WHEN 'error' THEN 'error' WHEN 'warn' THEN 'warning' ELSE 'notice' END
