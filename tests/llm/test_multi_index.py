@@ -19,6 +19,24 @@ def partners(rng, x, low=0.935, high=0.99):
     return c * x + np.sqrt(1 - c * c) * u
 
 
+def found(spark, x, label=None):
+    x = x.astype(np.float32)
+    label = np.zeros(len(x), np.int32) if label is None else label
+    table = pa.table({"vec_id": pa.array(np.arange(len(x))), "embedding": pa.array(list(x), pa.list_(pa.float32())), "label": pa.array(label, pa.int32())})
+    return {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_vectors(spark.createDataFrame(table).repartition(4)).collect()}
+
+
+def components(near):
+    """Least member of every vector's component, by passing labels on."""
+    root = np.arange(len(near))
+    while True:
+        low = np.array([root[n].min(initial=r) for n, r in zip(near, root, strict=True)])
+        low = low[low]
+        if (low == root).all():
+            return root
+        root = low
+
+
 def found_and_true(spark, x):
     """Links of every vector as found and by brute force."""
     x = x.astype(np.float32)
@@ -38,3 +56,32 @@ def test_rare_pairs_are_found(spark, monkeypatch):
     x[:20] = partners(rng, x[20:40])
     got, true = found_and_true(spark, x)
     assert true.sum() == 40 and (got <= true).all() and got.sum() >= 0.9 * true.sum()
+
+
+def test_components_of_sparse_and_dense_groups(spark):
+    """Pairs, a chain in which only neighbours link, a dense group of one label and its twin of another."""
+    rng = np.random.default_rng(1)
+    x = unit(rng.normal(size=(4_000, 32)))
+    x[:200] = partners(rng, x[200:400])
+    turn = np.arccos(0.95)
+    for i in range(40):  # neighbours at 0.95, next but one at 0.805
+        x[400 + i] = np.cos(turn * i) * np.eye(32)[0] + np.sin(turn * i) * np.eye(32)[1]
+    x[500:900] = unit(x[500] + rng.normal(size=(400, 32)) * 0.02)
+    x[900:1300] = x[500:900]
+    label = np.zeros(len(x), np.int32)
+    label[900:1300] = 1
+    y = unit(x.astype(np.float32).astype(float))
+    same = label[:, None] == label[None]
+    linked = (y @ y.T >= COSINE) & same & ~np.eye(len(x), dtype=bool)
+    near = [np.flatnonzero(r) for r in linked]
+    got = found(spark, x, label)
+    n = np.array([got[i][0] for i in range(len(x))])
+    true = linked.sum(axis=1)
+    assert (n <= true).all() and n.sum() >= 0.9 * true.sum()
+    assert (n[:400] > 0).mean() >= 0.9
+    root = components(near)
+    assert np.mean([got[i][1] == root[i] for i in range(len(x))]) > 0.99
+    assert all(got[i][2] == (got[i][1] == i) for i in range(len(x)))
+    assert {got[i][1] for i in range(500, 900)} == {500} and {got[i][1] for i in range(900, 1300)} == {900}
+    if (n == true).all():
+        assert all(got[i][1] == root[i] for i in range(len(x)))
