@@ -205,24 +205,25 @@ def _whole(regions: DataFrame, length: int) -> DataFrame:
 
 
 def _more_than_one(rows: DataFrame, by: list[str]) -> DataFrame:
-    return rows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1")
+    """Keys that several rows have, as a written table: a join with it can be split where a key has very many rows."""
+    return cut(rows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").select(*by))
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(keys, text) -> keys, ranges: sorted starts (lo, hi) of all windows of ``length`` bytes that start elsewhere too."""
     found = cut(document_runs(docs, length))
-    shared = cut(found.join(_more_than_one(found, ["a"]).select("a"), "a"))
+    shared = cut(found.join(_more_than_one(found, ["a"]), "a"))
     drop_table(found)
     kinds = cut(shared.groupBy("a", "u").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "lo", "hi")).alias("r")))
-    mixed = kinds.join(_more_than_one(kinds, ["a"]).select("a"), "a").select("a", "u", "r.*")
-    regions = cut(_regions(docs, mixed, length))
+    mixed = kinds.join(_more_than_one(kinds, ["a"]), "a").select("a", "u", "r.*")
+    regions = cut(_regions(docs, cut(mixed), length))
     classes = cut(_classes(regions, length))
-    alive = classes.join(_more_than_one(classes, ["a", "j", "core"]).select("a", "j", "core"), ["a", "j", "core"]).groupBy("a", "u").agg(F.collect_set("j").alias("js"))
+    alive = classes.join(_more_than_one(classes, ["a", "j", "core"]), ["a", "j", "core"]).groupBy("a", "u").agg(F.collect_set("j").alias("js"))
     left = cut(regions.join(alive, ["a", "u"]))
     drop_table(regions)
     drop_table(classes)
     whole = _whole(left, length)
-    met = whole.join(_more_than_one(whole, ["a", "name"]).select("a", "name"), ["a", "name"]).select("a", "u", "at")
+    met = whole.join(_more_than_one(whole, ["a", "name"]), ["a", "name"]).select("a", "u", "at")
     single = kinds.where("n = 1").select("a", "u", "r.*")
     some = met.join(single, ["a", "u"]).groupBy(*KEY, "lo").agg(F.collect_set("at").alias("at"))
     some = cut(some.select(*KEY, "lo", "at"))
