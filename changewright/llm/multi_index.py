@@ -21,9 +21,9 @@ from changewright.llm.common import cut, drop_table
 from changewright.llm.components import connected_components, forest
 
 COSINE, RECALL = 0.93, 0.999
-#: Rows the codebooks are fitted on and rows the traversal is measured with (least hashes), rows wanted per cell,
-#: most codewords a half.
-FIT, QUERIES, PER_CELL, MOST_WORDS = 8192, 512, 16, 1024
+#: Rows the codebooks are fitted on and rows the traversal is measured with (least hashes), rows of a label wanted per
+#: cell (a vector is sent to every cell it visits, so few full cells cost less than many small ones), most codewords a half.
+FIT, QUERIES, PER_CELL, MOST_WORDS = 8192, 512, 512, 1024
 #: Neighbours made for each measured row.
 MADE = 32
 #: Most rows of a side compared at once; fuller cells are cut into parts and every pair of parts is one group.
@@ -119,9 +119,15 @@ def visits_at_threshold(grid: Grid, unit: np.ndarray, cosine: float, recall: flo
     return int(places[min(len(places) - 1, int(np.ceil(recall * len(places))) - 1)])
 
 
-def build_grids(classes: DataFrame, n: int) -> dict[int, Grid]:
-    """A grid for every vector length in a bounded sample; other lengths are given one cell."""
-    words = int(min(MOST_WORDS, max(1, round((n / PER_CELL) ** 0.5))))
+def rows_met(classes: DataFrame) -> float:
+    """Rows that share a label with a row, on average over the rows: what a grid has to divide."""
+    by_label = classes.groupBy("label").agg(F.count("*").cast("double").alias("n"))
+    return by_label.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 0.0
+
+
+def build_grids(classes: DataFrame, n: float, per_cell: int = PER_CELL) -> dict[int, Grid]:
+    """A grid for every vector length in a bounded sample, ``n`` rows to divide; other lengths are given one cell."""
+    words = int(min(MOST_WORDS, max(1, round((n / per_cell) ** 0.5))))
     rows = classes.orderBy(F.xxhash64("cid")).limit(FIT).select("vec").toArrow().column("vec").to_pylist()
     out = {}
     for d in sorted({len(x) for x in rows}):
@@ -262,7 +268,9 @@ def near_pairs(filed: DataFrame, cosine: float, block: int = BLOCK) -> DataFrame
     base, seek = sent.where("p = 0"), sent
     parts = sent.groupBy(*cell).agg(F.count(F.when(F.col("p") == 0, 1)).alias("nb"), F.count("*").alias("ns")).where("nb > 0")
     parts = parts.select(*cell, F.ceil(F.col("nb") / block).cast("int").alias("pb"), F.ceil(F.col("ns") / block).cast("int").alias("ps"))
-    # visitors of a cell where nothing is filed meet nobody and end at this join
+    # written, so that its size is known: broadcast if Spark finds it small, else a join that may split a full cell.
+    # Visitors of a cell where nothing is filed meet nobody and end at this join
+    parts = cut(parts)
     own = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
     columns = [*cell, "s", "t", "side", "cid", "m", "vec", "cells", "home"]
     b = base.join(parts, cell).withColumn("s", own("pb")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("ps") - 1))).withColumn("side", F.lit(0))
@@ -273,7 +281,7 @@ def near_pairs(filed: DataFrame, cosine: float, block: int = BLOCK) -> DataFrame
     return rows.mapInArrow(lambda x: _meet(x, cosine), "cid long, root long, n long")
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", per_cell: int = PER_CELL) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept.
 
     Equal vectors of one label are one class with a count, so copies are never paired.  Vectors that are null, zero
@@ -287,8 +295,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
     named = rows.select("vec_id", "label", fine.alias("fine"), F.when(fine, F.xxhash64("label", "vec")).alias("h"), F.when(fine, F.xxhash64("vec", "label")).alias("g"), "vec")
     folded = named.where("fine").groupBy("h", "g").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.count("*").alias("m"), F.min("vec_id").alias("least"))
     classes = cut(folded.withColumn("cid", F.monotonically_increasing_id()))
-    n = classes.count()
-    grids = build_grids(classes, n)
+    grids = build_grids(classes, rows_met(classes), per_cell)
     visits = measure_visits(classes, grids, cosine, recall)
     filed = cut(file_and_probe(classes, grids, visits))
     met = cut(near_pairs(filed, cosine))

@@ -4,7 +4,10 @@ import numpy as np
 import pyarrow as pa
 
 from changewright.llm import multi_index
-from changewright.llm.multi_index import COSINE, PER_CELL, near_vectors
+from changewright.llm.multi_index import COSINE, near_vectors
+
+#: Small cells, so that the grids of these tables have many.
+PER_CELL = 16
 
 
 def unit(x):
@@ -23,7 +26,7 @@ def found(spark, x, label=None):
     x = x.astype(np.float32)
     label = np.zeros(len(x), np.int32) if label is None else label
     table = pa.table({"vec_id": pa.array(np.arange(len(x))), "embedding": pa.array(list(x), pa.list_(pa.float32())), "label": pa.array(label, pa.int32())})
-    return {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_vectors(spark.createDataFrame(table).repartition(4)).collect()}
+    return {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_vectors(spark.createDataFrame(table).repartition(4), per_cell=PER_CELL).collect()}
 
 
 def components(near):
@@ -42,7 +45,7 @@ def found_and_true(spark, x):
     x = x.astype(np.float32)
     assert round((len(x) / PER_CELL) ** 0.5) > 10  # codewords a half
     table = pa.table({"vec_id": pa.array(np.arange(len(x))), "embedding": pa.array(list(x), pa.list_(pa.float32())), "label": pa.array(np.zeros(len(x), np.int32))})
-    got = {r["vec_id"]: r["n_links"] for r in near_vectors(spark.createDataFrame(table).repartition(4)).select("vec_id", "n_links").collect()}
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors(spark.createDataFrame(table).repartition(4), per_cell=PER_CELL).select("vec_id", "n_links").collect()}
     y = unit(x.astype(float))
     near = np.concatenate([(y[i : i + 500] @ y.T >= COSINE).sum(axis=1) for i in range(0, len(y), 500)]) - 1
     return np.array([got[i] for i in range(len(x))]), near
