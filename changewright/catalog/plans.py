@@ -10,6 +10,7 @@ from changewright.catalog.registry import query
 from changewright.fixtures import PLAN_SQL, micros, plan_changes, table
 from changewright.functions import ids
 from changewright.operators import includes as I
+from changewright.operators import ordered
 from changewright.plans import text as P
 from changewright.session import checkpoint_dir, spread
 
@@ -104,6 +105,39 @@ def read_plan_files(s, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+_HEADS = "(VALUES (1, 'syntax-version', '1.0.0'), (2, 'project', NULL)) v(k, name, note)"
+_NOTE = "o_orderpriority || chr(92) || 'n' || chr(10) || chr(9) || '# <é> ' || o_orderkey"
+
+
+@query("write_plans", f"""WITH {PLAN_SQL},
+n AS (SELECT *, target || '-' || project AS plan, row_number() OVER (PARTITION BY target, project ORDER BY pos) AS i FROM plan_changes)
+SELECT plan, 2 * i + 2 AS pos, 'change' AS entry, name, array_to_string(requires, ',') AS requires, array_to_string(conflicts, ',') AS conflicts, 'Ann ' AS planner_name, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE {_NOTE} END AS note FROM n
+UNION ALL SELECT plan, 2 * i + 3, 'tag', 'v' || o_orderkey, '', '', 'Bo B', {_NOTE} FROM n WHERE o_orderkey % 10 = 0
+UNION ALL SELECT plan, k, 'pragma', name, '', '', NULL, coalesce(note, plan) FROM (SELECT DISTINCT plan FROM n), {_HEADS}""")
+def write_plans(s, d):
+    """Changes, tags and pragmas written as one plan file per target and project, and read back from disk."""
+    folder = f"{checkpoint_dir(s)}/{uuid.uuid4().hex}"
+    key = F.col("o_orderkey")
+    notes = table(s, d, "orders").select((key + 1).alias("pos"), F.concat("o_orderpriority", F.lit("\\n\n\t# <é> "), key.cast("string")).alias("note"), key)
+    plan = plan_changes(s, d).withColumn("plan", F.concat_ws("-", "target", "project")).select("plan", "pos", "name", "requires", "conflicts")
+    dense = ordered.unsliced(ordered.number(ordered.slice_by_position(plan, "pos"), ["plan"], "i")).join(notes, "pos")
+    none, uri = F.array().cast("array<string>"), F.lit(None).cast("string")
+
+    def rows(df, pos, entry, name, requires, conflicts, stamp, planner, email, note):
+        own = zip((pos, entry, name, requires, conflicts, stamp, planner, email, note), ("pos", "entry", "name", "requires", "conflicts", "planned_at", "planner_name", "planner_email", "note"), strict=True)
+        return df.select("plan", F.col("plan").alias("project"), uri.alias("uri"), *[c.alias(n) for c, n in own])
+
+    own, i = [F.col(c) for c in ("requires", "conflicts")], F.col("i")
+    changes = rows(dense, 2 * i + 2, F.lit("change"), F.col("name"), *own, F.lit("2024-01-01T00:00:00Z"), F.lit("Ann "), F.lit("a@x.org"), F.when(key % 3 == 0, "").otherwise(F.col("note")))
+    tags = rows(dense.where(key % 10 == 0), 2 * i + 3, F.lit("tag"), F.concat(F.lit("v"), key.cast("string")), none, none, F.lit("2024-01-02T00:00:00Z"), F.lit("Bo B"), F.lit("b@x.org"), F.col("note"))
+    every, names = changes.unionByName(tags), plan.select("plan").distinct()
+    for at, name, value in ((1, "syntax-version", F.lit("1.0.0")), (2, "project", F.col("plan"))):
+        every = every.unionByName(rows(names, F.lit(at).cast("long"), F.lit("pragma"), F.lit(name), none, none, uri, uri, uri, value))
+    P.write_plans(every, folder)
+    back = P.plan_rows(P.read_written_plans(s, folder))
+    return back.select("plan", "pos", "entry", "name", F.array_join("requires", ",").alias("requires"), F.array_join("conflicts", ",").alias("conflicts"), "planner_name", "note")
+
+
 @query("chain_build", f"""WITH RECURSIVE {PLAN_SQL},
 n AS (SELECT target, project, pos, name, array_to_string(requires, {NL} || '  + ') AS requires, row_number() OVER (PARTITION BY target, project ORDER BY pos) AS i FROM plan_changes),
 c AS (SELECT n.target, n.project, n.pos, n.i, {_id('change', CHAIN.replace("coalesce('parent ' || c.change_id || chr(10), '')", "''"))} AS change_id FROM n WHERE i = 1

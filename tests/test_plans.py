@@ -80,6 +80,32 @@ def test_read_plans_from_files(spark, tmp_path):
     assert changes.count() == 9 and tags.count() == 6 and changes.select("change_id").distinct().count() == 9
 
 
+def test_plan_files_round_trip(spark, tmp_path):
+    many = "%project=m\n" + "".join(f"c{i} [c{i - 1}] 2024-01-01T00:00:{i % 60:02}Z Ann <a@x> # n{i}\n" for i in range(1, 400))
+    texts = spark.createDataFrame([("007", TEXT), ("a/b c=%", TEXT.replace("shop", "other")), ("m", many), ("empty", "%project=e\n")], "plan string, text string")
+    rows = P.plan_rows(texts)
+    P.write_plans(rows, str(tmp_path / "out"))
+    back = P.read_written_plans(spark, str(tmp_path / "out"))
+    assert back.count() == 4
+    got, want = ([tuple(r) for r in P.plan_rows(t).orderBy("plan", "pos").collect()] for t in (back, texts))
+    assert got == want and len(want) == 2 * 8 + 400 + 1
+    assert {r.text for r in back.where("plan = 'm'").collect()} == {many}
+    # an empty table writes no file
+    P.write_plans(rows.where("false"), str(tmp_path / "none"))
+    assert not list((tmp_path / "none").glob("plan=*"))
+
+
+@pytest.mark.parametrize("field, value, word", [
+    ("name", "'a[b'", "hold"), ("name", "'@a'", "hold"), ("name", "'a\\nb'", "hold"), ("planner_name", "'A <b'", "hold"), ("planner_email", "null", "hold"),
+    ("note", "' x'", "hold"), ("planned_at", "'today'", "hold"), ("requires", "array('a b')", "hold"), ("conflicts", "array('x]')", "hold"), ("pos", "1", "free line"), ("pos", "0", "free line"),
+])
+def test_rows_that_no_plan_line_holds(spark, tmp_path, field, value, word):
+    rows = P.plan_rows(spark.createDataFrame([("p", TEXT)], "plan string, text string"))
+    broken = rows.withColumn(field, F.when((F.col("name") == "one"), F.expr(value)).otherwise(F.col(field)))
+    with pytest.raises(Exception, match=word):
+        P.write_plans(broken, str(tmp_path / "out"))
+
+
 FILES = "path string, ts long, sql string"
 SCRIPTS = "id int, path string, planned_at long, sql string"
 
