@@ -23,7 +23,7 @@ from changewright.llm.components import connected_components, forest
 COSINE, RECALL = 0.93, 0.999
 #: Rows the codebooks are fitted on and rows the traversal is measured with (least hashes), rows of a label wanted per
 #: cell (a vector is sent to every cell it visits, so few full cells cost less than many small ones), most codewords a half.
-FIT, QUERIES, PER_CELL, MOST_WORDS = 8192, 512, 512, 1024
+FIT, QUERIES, PER_CELL, MOST_WORDS = 8192, 512, 128, 1024
 #: Neighbours made for each measured row.
 MADE = 32
 #: Most rows of a side compared at once; fuller cells are cut into parts and every pair of parts is one group.
