@@ -180,7 +180,7 @@ def apply_suppressions(s, d):
 @query("suppression_warnings", f"{S} SELECT path, line FROM scripts JOIN (VALUES (22, 4), (22, 4), (22, 6), (22, 6)) v(n, line) USING (n)")
 def suppression_warnings(s, d):
     rows = scripts(s, d)
-    hidden = L.apply_suppressions(L.findings(rows), L.suppression_ranges(rows)).where("ord is not null")
+    hidden = L.apply_suppressions(L.findings(rows).select("path", "rule", "line"), L.suppression_ranges(rows)).where("ord is not null")
     return L.suppression_warnings(rows, hidden.select("path", "ord").distinct(), default_rules().ids()).select("path", "line")
 
 

@@ -157,10 +157,10 @@ def _hide_inner_ends(masked: Column) -> Column:
         return F.length(text) - F.length(F.replace(text, F.lit(";")))
 
     def needed(outer: Column) -> Column:
-        inner = outer.contains("(") | (ends(outer) != ends(masked)) | masked.rlike(r"(?i)\bBEGIN\s+ATOMIC\b")
-        return F.when(inner, folded).otherwise(masked)
+        return F.when(outer.contains("(") | (ends(outer) != ends(masked)), folded).otherwise(masked)
 
-    return F.when(masked.contains(";"), let(F.regexp_replace(masked, PARENS, ""), needed)).otherwise(masked)
+    nested = F.when(masked.contains("("), let(F.regexp_replace(masked, PARENS, ""), needed)).otherwise(masked)
+    return F.when(~masked.contains(";"), masked).when(masked.rlike(r"(?i)\bBEGIN\s+ATOMIC\b"), folded).otherwise(nested)
 
 
 def _mark(line: Column, column: Column) -> Column:
@@ -189,8 +189,9 @@ def _marked_line(line: Column, index: Column) -> Column:
     def segments(parts: Column) -> Column:
         return F.array_join(F.zip_with(parts, part_columns(parts), lambda part, at: F.concat(_mark(index + 1, at), part)), ";")
 
-    plain = F.concat(_mark(index + 1, F.lit(1)), line)
-    return F.when(line.contains(";"), let(F.split(line, ";"), segments)).otherwise(plain)
+    # where nothing but blanks stands behind a semicolon, the mark of the next line is the one that counts
+    plain = F.concat(F.lit(_OPEN), (index + 1).cast("string"), F.lit(":1" + _CLOSE), line)
+    return F.when(line.contains(";") & line.rlike(r";[^;]*?[^\s;]"), let(F.split(line, ";"), segments)).otherwise(plain)
 
 
 def split_statements(masked: Column) -> Column:
@@ -201,7 +202,7 @@ def split_statements(masked: Column) -> Column:
 
     def one(chunk: Column) -> Column:
         def placed(mark: Column) -> Column:
-            column = F.regexp_extract(mark, r":(\d+)", 1).try_cast("int")
+            column = F.substring_index(F.substring_index(mark, _CLOSE, 1), ":", -1).try_cast("int")
             return F.struct(
                 F.substring_index(mark, ":", 1).try_cast("int").alias("line"),
                 (column + F.length(F.substring_index(mark, _CLOSE, -1))).alias("column"),
@@ -216,16 +217,15 @@ def split_statements(masked: Column) -> Column:
 
 def is_unparsable(masked: Column, statements: Column) -> Column:
     """Open literal, comment or parenthesis, or a statement that starts with no known command."""
-    open_text = masked.contains("/*") | ((F.length(masked) - F.length(F.regexp_replace(masked, "'", ""))) % 2 == 1) | (
-        (F.length(masked) - F.length(F.regexp_replace(masked, '"', ""))) % 2 == 1
-    )
-    known = F.array(*[F.lit(c) for c in COMMANDS])
+    def without(text: Column, sign: str) -> Column:
+        return F.length(F.replace(text, F.lit(sign), F.lit("")))
+
+    open_text = masked.contains("/*") | ((F.length(masked) - without(masked, "'")) % 2 == 1) | ((F.length(masked) - without(masked, '"')) % 2 == 1)
 
     def broken(s: Column) -> Column:
         text = s["stmt"]
-        unbalanced = F.length(F.regexp_replace(text, r"\(", "")) != F.length(F.regexp_replace(text, r"\)", ""))
-        word = F.upper(F.regexp_extract(text, r"^\(*\s*(\w*)", 1))
-        return unbalanced | ~F.array_contains(known, word)
+        unbalanced = (text.contains("(") | text.contains(")")) & (without(text, "(") != without(text, ")"))
+        return unbalanced | ~F.upper(F.regexp_extract(text, r"^\(*\s*(\w*)", 1)).isin(*COMMANDS)
 
     return open_text | F.exists(statements, broken)
 
@@ -258,7 +258,7 @@ def flatten_parens(stmt: Column) -> Column:
         deep = F.replace(once, F.lit("()")).contains("(")
         return F.when(deep, _nested(stmt, lambda p: F.lit(""), lambda p, outer: F.when(outer, p).otherwise(""))).otherwise(once)
 
-    return let(F.regexp_replace(stmt, PARENS, "()"), checked)
+    return F.when(stmt.contains("("), let(F.regexp_replace(stmt, PARENS, "()"), checked)).otherwise(stmt)
 
 
 def top_level_items(text: Column) -> Column:
@@ -266,7 +266,7 @@ def top_level_items(text: Column) -> Column:
     items = F.regexp_extract_all(text, F.lit(_ITEM), 0)
     kept = _nested(text, lambda p: F.translate(p, ",", _HIDDEN), lambda p, outer: p)
     apart = F.filter(F.transform(F.split(kept, ","), lambda i: F.translate(i, _HIDDEN, ",")), lambda i: i != "")
-    deep = F.regexp_replace(text, PARENS, "").contains("(")
+    deep = text.contains("(") & F.regexp_replace(text, PARENS, "").contains("(")
     return F.transform(F.when(deep, apart).otherwise(items), lambda i: F.trim(i))
 
 

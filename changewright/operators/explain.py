@@ -83,8 +83,10 @@ def action_kind(action: Column) -> Column:
 
 def _operation(s: Column) -> Column:
     """Struct of one operation; null type for statements that are none."""
-    stmt = s["stmt"]
-    index, trigger, drop = stmt.rlike(_INDEX), stmt.rlike(_TRIGGER), stmt.rlike(_DROP)
+    stmt, verb = s["stmt"], s["verb"]
+    # every pattern begins with its word, so each is tried on the statements of that word only
+    create = verb == "CREATE"
+    index, trigger, drop = create & stmt.rlike(_INDEX), create & stmt.rlike(_TRIGGER), (verb == "DROP") & stmt.rlike(_DROP)
     concurrent = F.regexp_extract(stmt, _INDEX, 1) != ""
     type_ = (
         F.when(index & concurrent, "CREATE INDEX CONCURRENTLY")
@@ -99,13 +101,15 @@ def _operation(s: Column) -> Column:
 
     name = F.when(index, on(_INDEX, 2, 3)).when(trigger, on(_TRIGGER, 1, 2)).when(drop, T.name_list(F.regexp_extract(stmt, _DROP, 2)))
     for kind, pattern in _OBJECTS:
-        type_ = type_.when(stmt.rlike(pattern), kind)
-        name = name.when(stmt.rlike(pattern), T.full_name(F.regexp_extract(stmt, pattern, 1)))
+        fits = (verb == kind.split(" ")[0]) & stmt.rlike(pattern)
+        type_ = type_.when(fits, kind)
+        name = name.when(fits, T.full_name(F.regexp_extract(stmt, pattern, 1)))
     return F.struct(type_.alias("type"), name.alias("object_name"), F.transform(s["actions"], action_kind).alias("actions"))
 
 
 def operations_column(statements: Column) -> Column:
-    return F.filter(F.transform(F.transform(statements, parsed), _operation), lambda o: o["type"].isNotNull())
+    words = F.filter(F.transform(statements, parsed), lambda s: s["verb"].isin("CREATE", "ALTER", "DROP"))
+    return F.filter(F.transform(words, _operation), lambda o: o["type"].isNotNull())
 
 
 def lock_of(op: Column) -> Column:

@@ -56,25 +56,32 @@ def _get(text: Column, pattern: str, group: int = 1) -> Column:
 def parsed(s: Column) -> Column:
     """Statement struct with what the rules need."""
     stmt = s["stmt"]
-    verb = F.upper(_get(stmt, r"^(\w+)"))
-    alter = (verb == "ALTER") & stmt.rlike(_ALTER_TABLE) & ~stmt.rlike(r"(?i)^ALTER TABLE ALL IN TABLESPACE ")
-    rest = F.when(alter, _get(stmt, _ALTER_TABLE, 2)).otherwise("")
-    moved = rest.rlike(r"(?i)^(?:RENAME|SET SCHEMA) ")
     none = F.array().cast("array<string>")
-    return F.struct(
-        s["line"].alias("line"),
-        s["column"].alias("column"),
-        stmt.alias("stmt"),
-        verb.alias("verb"),
-        F.when(verb.isin("UPDATE", "DELETE", "WITH"), T.flatten_parens(stmt)).otherwise("").alias("flat"),
-        F.when(alter, T.full_name(_get(stmt, _ALTER_TABLE, 1))).alias("table"),
-        rest.alias("rest"),
-        F.when(alter & ~moved, T.top_level_items(rest)).otherwise(none).alias("actions"),
-    )
+
+    # a lambda evaluates an expression wherever it stands, so verb and rest are named once
+    def of_rest(verb: Column, rest: Column) -> Column:
+        alter = rest != ""  # the pattern asks for one character at least
+        moved = rest.rlike(r"(?i)^(?:RENAME|SET SCHEMA) ")
+        return F.struct(
+            s["line"].alias("line"),
+            s["column"].alias("column"),
+            stmt.alias("stmt"),
+            verb.alias("verb"),
+            F.when(verb.isin("UPDATE", "DELETE", "WITH"), T.flatten_parens(stmt)).otherwise("").alias("flat"),
+            F.when(alter, T.full_name(_get(stmt, _ALTER_TABLE, 1))).alias("table"),
+            rest.alias("rest"),
+            F.when(alter & ~moved, T.top_level_items(rest)).otherwise(none).alias("actions"),
+        )
+
+    def of_verb(verb: Column) -> Column:
+        alter = (verb == "ALTER") & ~stmt.rlike(r"(?i)^ALTER TABLE ALL IN TABLESPACE ")
+        return T.let(F.when(alter, _get(stmt, _ALTER_TABLE, 2)).otherwise(""), lambda rest: of_rest(verb, rest))
+
+    return T.let(F.upper(_get(stmt, r"^(\w+)")), of_verb)
 
 
 def sets_timeout(s: Column) -> Column:
-    return s["stmt"].rlike(r"(?i)^SET (?:SESSION |LOCAL )?lock_timeout ?(?:=|TO ) ?(?!DEFAULT\b)")
+    return (s["verb"] == "SET") & s["stmt"].rlike(r"(?i)^SET (?:SESSION |LOCAL )?lock_timeout ?(?:=|TO ) ?(?!DEFAULT\b)")
 
 
 def items_column(statements: Column, kind: Column, no_txn: Column) -> Column:
@@ -90,7 +97,7 @@ def _expand_items(statements: Column, timeout_at: Column, kind: Column, no_txn:
                 (i + 1).alias("stmt_no"),
                 n.alias("action_no"),
                 action.alias("action"),
-                F.upper(F.regexp_extract(action, r"^(\w*)", 1)).alias("action_verb"),
+                F.when(action != "", F.upper(F.regexp_extract(action, r"^(\w*)", 1))).otherwise("").alias("action_verb"),
                 F.when(action != "", T.flatten_parens(action)).otherwise("").alias("flat_action"),
                 F.coalesce(F.regexp_replace(s["table"], r"^.*\.", ""), F.lit("unknown")).alias("relation"),
                 ((timeout_at > 0) & (timeout_at <= i)).alias("timeout_set"),

@@ -56,11 +56,15 @@ def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
     return (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for heavy work on small input.
+#: Rows of a partition that ``spread`` makes, about: some seconds of heavy work.
+SPREAD = 1 << 16
 
-    One small file is one partition.  Input that already has a partition per
-    core, as any large table has, is returned as it is: no shuffle.
+
+def spread(df: DataFrame, width: int = SPREAD) -> DataFrame:
+    """Use all cores for heavy work on narrow rows, in tasks whose length does not follow the input.
+
+    One small file is one partition, and a narrow table of millions of rows only a few.  The row count (of a Parquet
+    table it is read from the footers) decides; input that has as many partitions is returned as it is: no shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // width))
+    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df

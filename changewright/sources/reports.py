@@ -30,10 +30,12 @@ def report_json(findings: DataFrame, by: Sequence[str] = ("path",), **metadata:
 
     A script's findings are bounded by its own text.  Null suggestions have no key.
     """
-    location = F.struct(F.col("path").alias("file"), "line", "column")
-    entry = F.struct(F.col("rule").alias("ruleId"), "severity", "message", location.alias("location"), "suggestion")
-    place = F.struct("line", "column", "rule", "message")
-    listed = F.transform(F.array_sort(F.collect_list(F.struct(place.alias("place"), entry.alias("entry")))), lambda x: x["entry"])
+    def entry(x: Column) -> Column:
+        location = F.struct(x["path"].alias("file"), x["line"].alias("line"), x["column"].alias("column"))
+        return F.struct(x["rule"].alias("ruleId"), x["severity"].alias("severity"), x["message"].alias("message"), location.alias("location"), x["suggestion"].alias("suggestion"))
+
+    # each field travels once, in the order that sorts the list
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("line", "column", "rule", "message", "severity", "path", "suggestion"))), entry)
     counts = [F.count_if(F.col("severity") == s).alias(n) for n, s in (("errors", "error"), ("warnings", "warn"), ("info", "info"))]
     grouped = findings.groupBy(*by).agg(listed.alias("findings"), F.struct(*counts).alias("summary"))
     meta = F.struct(*[F.lit(v).alias(k) for k, v in metadata.items()]) if metadata else F.struct(F.lit("").alias("source"))

@@ -241,3 +241,20 @@ def test_sizes_are_looked_up_in_one_pass(spark, tmp_path):
     got = sorted((r.path, r.rule) for r in out.collect() if r.rule in ("SA011", "parse-error") or r.message.startswith("Unused"))
     assert got == [("a.sql", "SA011"), ("c.sql", "suppression"), ("e.sql", "parse-error")]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation [path") == 1
+
+
+def test_spread_makes_tasks_of_bounded_length(spark):
+    from changewright.session import spread
+
+    rows = spark.range(0, 1000, 1, 1)
+    out = spread(rows, width=10)
+    assert out.rdd.getNumPartitions() == 100 and out.count() == 1000
+    assert spread(spark.range(0, 1000, 1, 100), width=10).rdd.getNumPartitions() == 100
+
+
+def test_settled_rows_are_dealt_over_the_join(spark):
+    """No row that needs no table size meets the join with a null key, which would be one task's work."""
+    scripts = spark.createDataFrame([("a.sql", "deploy", "TRUNCATE t;"), ("b.sql", "deploy", "UPDATE big SET x = 1 WHERE y = 2;")], "path string, kind string, sql string")
+    out = L.lint(scripts, stats=spark.createDataFrame([("big", 10**6)], "table_name string, rows long"))
+    assert "concat(\u0000, path" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.path, r.rule) for r in out.collect()} >= {("a.sql", "SA008"), ("b.sql", "SA011")}
