@@ -134,7 +134,7 @@ def write_plans(s, d):
     for at, name, value in ((1, "syntax-version", F.lit("1.0.0")), (2, "project", F.col("plan"))):
         every = every.unionByName(rows(names, F.lit(at).cast("long"), F.lit("pragma"), F.lit(name), none, none, uri, uri, uri, value))
     P.write_plans(every, folder)
-    back = P.plan_rows(P.read_written_plans(s, folder))
+    back = P.read_written_rows(s, folder)
     return back.select("plan", "pos", "entry", "name", F.array_join("requires", ",").alias("requires"), F.array_join("conflicts", ",").alias("conflicts"), "planner_name", "note")
 
 

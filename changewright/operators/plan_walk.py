@@ -1,10 +1,12 @@
-"""Walks over one bounded dependency graph inside a task; ``graph`` says which groups are bounded."""
+"""Walks inside a task: over one bounded dependency graph (``graph`` says which are), and along sorted changes in a stream."""
 
 from __future__ import annotations
 
+import hashlib
 import heapq
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 
 
@@ -30,7 +32,48 @@ def _result(table: pa.Table, group: Sequence[str], **columns: list[int]) -> pa.T
 
 
 def order_and_level(table: pa.Table, group: Sequence[str]) -> pa.Table:
-    """Smallest free position first: (pos, rank, level); nodes that never get free, on or behind a cycle, have rank -1."""
+    """Smallest free position first: (pos, rank, level); nodes that never get free, on or behind a cycle, have rank -1.
+
+    Positions become their ranks and edges one array sorted by source, so a row costs bytes, not objects.  Positions that
+    repeat or that no node has go the way of ``_by_names``.
+    """
+    pos, src = table.column("pos").combine_chunks(), table.column("src").combine_chunks()
+    edge = np.asarray(src.is_valid())
+    pos, src = (np.asarray(x.fill_null(0)).astype(np.int64, copy=False) for x in (pos, src))
+    nodes, ends, starts = np.sort(pos[~edge]), pos[edge], src[edge]
+    del pos, src, edge
+    n = len(nodes)
+    if table.column("pos").null_count or n == 0 or np.any(nodes[1:] == nodes[:-1]):
+        return _by_names(table, group)
+    to, of = np.searchsorted(nodes, ends), np.searchsorted(nodes, starts)
+    if np.any(nodes[np.minimum(to, n - 1)] != ends) or np.any(nodes[np.minimum(of, n - 1)] != starts):
+        return _by_names(table, group)
+    del ends, starts
+    first = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=n)))).astype(np.int64)
+    followers = to[np.argsort(of, kind="stable")].astype(np.int64)
+    needs = np.bincount(to, minlength=n).astype(np.int64)
+    del to, of
+    level, order = np.zeros(n, np.int64), np.empty(n, np.int64)
+    free = np.flatnonzero(needs == 0).tolist()  # ascending, so it is a heap
+    first_, followers_, needs_, level_, order_ = (memoryview(x) for x in (first, followers, needs, level, order))
+    done = 0
+    while free:
+        u = heapq.heappop(free)
+        order_[done] = u
+        done += 1
+        near = level_[u] + 1
+        for v in followers_[first_[u] : first_[u + 1]]:
+            if level_[v] < near:
+                level_[v] = near
+            needs_[v] -= 1
+            if not needs_[v]:
+                heapq.heappush(free, v)
+    order[done:] = np.flatnonzero(needs > 0)
+    rank = np.where(np.arange(n) < done, np.arange(n), -1)
+    return _result(table, group, pos=nodes[order], rank=rank, level=level[order])
+
+
+def _by_names(table: pa.Table, group: Sequence[str]) -> pa.Table:
     nodes, after, needs = _adjacency(table)
     free = [v for v in nodes if not needs[v]]
     heapq.heapify(free)
@@ -85,3 +128,27 @@ def nodes_on_cycles(table: pa.Table, group: Sequence[str]) -> pa.Table:
             elif v in on_path:
                 low[u] = min(low[u], number[v])
     return _result(table, group, pos=found)
+
+
+def chained(batches: Iterable[pa.RecordBatch], keys: Sequence[str], chunk: int) -> Iterator[pa.RecordBatch]:
+    """Sorted changes with ``_before`` and ``_after`` -> ``change_id`` and ``parent``; a plan may go on in the next batch."""
+    plan, last = None, None
+    for batch in batches:
+        for at in range(0, batch.num_rows, chunk):
+            part = batch.slice(at, chunk)
+            names = zip(*[part.column(k).to_pylist() for k in keys], strict=True)
+            texts = zip(part.column("_before").to_pylist(), part.column("_after").to_pylist(), strict=True)
+            made, parents = [], []
+            for own, (before, after) in zip(names, texts, strict=True):
+                if own != plan:
+                    plan, last = own, None
+                parents.append(last)
+                if before is None or after is None:
+                    last = None
+                else:
+                    content = (before + after if last is None else f"{before}\nparent {last}{after}").encode()
+                    last = hashlib.sha1(b"change %d\0%b" % (len(content), content)).hexdigest()
+                made.append(last)
+            kept = [n for n in part.schema.names if n not in ("_before", "_after")]
+            columns = [part.column(n) for n in kept] + [pa.array(x, pa.string()) for x in (made, parents)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "change_id", "parent"])

@@ -141,3 +141,30 @@ def test_include_errors(spark, files, word):
     scripts = spark.createDataFrame([(1, "x.sql", 5, "\\i a.sql")], SCRIPTS)
     with pytest.raises(Exception, match=word):
         I.expand_includes(scripts, spark.createDataFrame(files, FILES)).collect()
+
+
+def test_long_plan_is_one_pass(spark, tmp_path, monkeypatch):
+    """A plan of many chunks is walked in one job, whatever its length: no table per chunk."""
+    written = []
+    own = P.cut
+    monkeypatch.setattr(P, "cut", lambda df, *by: written.append(1) or own(df, *by))
+    rows = spark.range(1, 30_001).select(F.lit("p").alias("plan"), F.col("id").alias("pos"), F.concat(F.lit("c"), "id").alias("name")).withColumns({
+        "project": F.lit("x"), "uri": F.lit(None).cast("string"), "planner_name": F.lit("n"), "planner_email": F.lit("e"), "planned_at": F.lit("d"),
+        "requires": F.array().cast("array<string>"), "conflicts": F.array().cast("array<string>"), "note": F.lit("é")})
+    out = P.chain_build(rows)
+    assert len(written) == 1 and out.count() == 30_000 and P.recompute_ids(out).where("computed_id <> change_id").count() == 0
+    assert out.where("parent is null").count() == 1
+
+
+def test_plan_files_are_read_by_line(spark, tmp_path):
+    """Blocks of one file are numbered on; the last pragma counts; carriage returns and blank lines are kept apart."""
+    body = "%syntax-version=1.0.0\r\n%project=old\n\n# remark\n" + "".join(f"c{i} [c{i - 1}] 2024-01-01T00:00:00Z Ann <a@x> # n{i}\n" for i in range(1, 4000)) + "%project = new\n%uri=u"
+    (tmp_path / "a.plan").write_text(body)
+    (tmp_path / "empty.plan").write_text("")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = sorted(tuple(r)[1:] for r in P.read_plan_rows(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = sorted(tuple(r)[1:] for r in P.plan_rows(P.read_plan_texts(spark, str(tmp_path))).collect())
+    assert got == want and len(got) == 3999 + 4 and {r[0] for r in got} == {"new"}
