@@ -3,9 +3,9 @@
 A node is a change, known by its plan position.  An edge goes from a required
 change (``src``) to the change that needs it (``dst``).
 
-A project whose changes and requirements number at most ``LOCAL`` rows is
-walked in one task (``plan_walk``); its size is counted, not guessed.  Larger
-projects are worked on as edge tables: whatever hangs on a single change is
+A project whose changes and requirements number at most ``ORDERED`` rows (for
+cycles, whose walk needs more memory a row, ``LOCAL``) is walked in one task
+(``plan_walk``); its size is counted, not guessed.  Larger projects are worked on as edge tables: whatever hangs on a single change is
 folded onto it by pointer doubling, so straight runs and trees of any depth
 take rounds by the logarithm of their length, and only places where several
 paths meet take a round each.  Every round is a table in the shared checkpoint
@@ -26,8 +26,10 @@ from changewright.operators import history, ordered, plan_walk
 from changewright.operators.history import KEYS
 from changewright.session import cut, drop_table
 
-#: Changes and requirements of a group that one task walks.
+#: Changes and requirements of a group that one task searches for cycles, in dictionaries of some 400 bytes a row.
 LOCAL = 1 << 17
+#: Those of a group that one task puts in order, in arrays of about 100 bytes a row.
+ORDERED = 1 << 22
 
 
 class CycleError(ValueError):
@@ -119,7 +121,7 @@ def _walk(rows: DataFrame, group: Sequence[str], walk: Callable, *columns: str)
     return rows.groupBy(*group).applyInArrow(lambda t: walk(t, group), ", ".join(kinds))
 
 
-def deploy_levels(changes: DataFrame, keys: Sequence[str] = KEYS, local: int = LOCAL) -> DataFrame:
+def deploy_levels(changes: DataFrame, keys: Sequence[str] = KEYS, local: int = ORDERED) -> DataFrame:
     """Longest-path depth of each change; ordering by (level, pos) is a valid order."""
     edges = cut(requirement_edges(changes, keys))
     small, large = _split(changes.select(*keys, F.col("pos").cast("long").alias("pos")), edges, keys, local)
@@ -154,7 +156,7 @@ def _propagate_max(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     return raised.drop("fresh")
 
 
-def deploy_order(changes: DataFrame, keys: Sequence[str] = KEYS, local: int = LOCAL) -> DataFrame:
+def deploy_order(changes: DataFrame, keys: Sequence[str] = KEYS, local: int = ORDERED) -> DataFrame:
     """Topological order that always takes the smallest free plan position.
 
     A group of at most ``local`` rows is walked with a heap in one task.  A larger group is split: a change can only be

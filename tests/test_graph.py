@@ -144,3 +144,28 @@ def test_ladder_of_forward_requirements(spark, local):
     placed = {r.pos: r.seq for r in G.deploy_order(df, local=local).collect()}
     assert sorted(placed, key=placed.get) == order
     assert {r.pos: r.level for r in G.deploy_levels(df, local=local).collect()} == dict(enumerate(level))
+
+
+def test_order_walk_in_arrays_equals_walk_by_names():
+    """The compact walk against the one over dictionaries: cycles, repeated edges, gaps; and it takes a plan of a million rows."""
+    import time
+
+    import pyarrow as pa
+
+    from changewright.operators import plan_walk as W
+
+    def table(nodes, edges):
+        rows = [(v, None) for v in nodes] + edges
+        return pa.table({"k": pa.array(["a"] * len(rows)), "pos": pa.array([r[0] for r in rows], pa.int64()), "src": pa.array([r[1] for r in rows], pa.int64())})
+
+    rng = random.Random(5)
+    for size in (1, 2, 5, 30, 30, 200):
+        nodes = rng.sample(range(-50, 1000), size)
+        edges = [(rng.choice(nodes), rng.choice(nodes)) for _ in range(rng.randrange(size))]
+        got, want = (sorted(zip(*f(table(nodes, edges), ["k"]).to_pydict().values())) for f in (W.order_and_level, W._by_names))
+        assert got == want
+    assert G.ORDERED >= 1 << 22
+    n = 400_000
+    begin = time.perf_counter()
+    out = W.order_and_level(table(range(n), [(v, v // 2) for v in range(1, n)]), ["k"])
+    assert out.num_rows == n and time.perf_counter() - begin < 30
