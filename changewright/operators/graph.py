@@ -5,15 +5,16 @@ change (``src``) to the change that needs it (``dst``).
 
 A project whose changes and requirements number at most ``ORDERED`` rows (for
 cycles, whose walk needs more memory a row, ``LOCAL``) is walked in one task
-(``plan_walk``); its size is counted, not guessed.  Larger projects are worked on as edge tables: whatever hangs on a single change is
-folded onto it by pointer doubling, so straight runs and trees of any depth
-take rounds by the logarithm of their length, and only places where several
-paths meet take a round each.  Every round is a table in the shared checkpoint
+(``plan_walk``); its size is counted, not guessed.  Larger projects are worked on as edge tables: blocks of neighbouring
+positions are folded in a task each, then blocks of what crossed their borders.  Where requirements reach too far for that to
+shrink the table, whatever hangs on a single change is folded onto it by pointer doubling, so straight runs and trees of any
+depth take rounds by the logarithm of their length, and only places where several paths meet take a round each.  Every round is a table in the shared checkpoint
 folder, so lineage stays short and a lost executor costs one round.
 """
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -30,6 +31,10 @@ from changewright.session import cut, drop_table
 LOCAL = 1 << 17
 #: Those of a group that one task puts in order, in arrays of about 100 bytes a row.
 ORDERED = 1 << 22
+#: Requirements of neighbouring changes that one task folds, in lists of some 500 bytes a row.
+BLOCK = 1 << 18
+#: How the weights of a path are folded, as columns and inside a task.
+COMBINE = {"sum": (operator.add, operator.add), "max": (F.greatest, max)}
 
 
 class CycleError(ValueError):
@@ -68,13 +73,43 @@ def _jump(pointers: DataFrame, keys: Sequence[str], combine: Callable[[Column, C
         now, before = after, count
 
 
-def fold_paths(edges: DataFrame, keys: Sequence[str], combine: Callable[[Column, Column], Column]) -> DataFrame:
-    """(node, w): the largest weight over all paths from a node without requirements; w(path) by ``combine`` along edges.
+def fold_paths(edges: DataFrame, keys: Sequence[str], how: str) -> tuple[DataFrame, DataFrame]:
+    """(node, w): the largest weight over all paths from a node without requirements; and (node): those on or behind a cycle.
 
-    ``edges`` has ``src``, ``dst`` and ``w``; ``combine`` must grow with its first argument.  Nodes without
-    requirements, and nodes on or behind a cycle, are not listed.  A round takes every node with a single requirement,
-    follows it up to the next node with several (or to the start), and hangs the edges that leave it there; several
-    edges between two nodes become their largest.
+    ``edges`` has ``src``, ``dst`` and ``w``; ``how`` (of ``COMBINE``) folds the weights of a path.  Nodes without requirements
+    are not listed.  Every block of neighbouring positions is folded in one task (``plan_walk.fold_block``): a node then hangs
+    on starts, on a few nodes of other blocks or on meeting places of its own.  Only what others hang on is folded further,
+    in blocks again while that halves the rows, else in rounds of joins; all further nodes look up what they hang on.
+    """
+    step, walk = COMBINE[how]
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in edges.schema if f.name in keys]
+    rows = edges.select(*keys, *[F.col(c).cast("long").alias(c) for c in ("src", "dst", "w")])
+    placed = rows.where("dst is not null")
+    count = placed.count()
+    blocks = placed.repartitionByRange(max(1, -(-count // BLOCK)), *keys, "dst")
+    held = cut(blocks.mapInArrow(lambda batches: plan_walk.fold_block(batches, keys, walk), ", ".join([*kinds, "node long, up long, w long, n long"])))
+    hung = held.where("up is not null")
+    above = cut(hung.select(*keys, F.col("up").alias("node")).distinct())
+    left = cut(held.join(above, [*keys, "node"], "left_semi").select(*keys, F.col("up").alias("src"), F.col("node").alias("dst"), "w"))
+    many = left.count()
+    ended = left.select(*keys, F.col("dst").alias("node"), "w")
+    if many:
+        ended = fold_paths(left, keys, how)[0] if 2 * many <= count else _fold_rounds(left, keys, step)
+    starts = above.join(left.select(*keys, F.col("dst").alias("node")).distinct(), [*keys, "node"], "left_anti")
+    known = cut(ended.select(*keys, F.col("node").alias("up"), F.col("w").alias("_w")).unionByName(starts.select(*keys, F.col("node").alias("up"), F.lit(None).cast("long").alias("_w"))))
+    total = F.when(F.col("_w").isNull(), F.col("w")).otherwise(step(F.col("_w"), F.col("w")))
+    found = held.where("up is null").select(*keys, "node", "w", "n").unionByName(hung.join(known, [*keys, "up"]).select(*keys, "node", total.alias("w"), "n"))
+    several = found.where("n > 1").groupBy(*keys, "node", "n").agg(F.max("w").alias("w"), F.count(F.lit(1)).alias("_known"))
+    resolved = [found.where("n = 1").select(*keys, "node", "w"), several.where("_known = n").select(*keys, "node", "w")]
+    lost = hung.join(known, [*keys, "up"], "left_anti").select(*keys, "node").distinct()
+    return _union(resolved), rows.where("dst is null").select(*keys, F.col("dst").alias("node")).distinct().unionByName(lost)
+
+
+def _fold_rounds(edges: DataFrame, keys: Sequence[str], combine: Callable[[Column, Column], Column]) -> DataFrame:
+    """(node, w) of the nodes of ``edges`` that are not on or behind a cycle; a row without ``src`` comes from a start.
+
+    A round takes every node with a single requirement, follows it up to the next node with several (or to the start), and
+    hangs the edges that leave it there; several edges between two nodes become their largest.
     """
     def merged(rows: DataFrame) -> DataFrame:
         return cut(rows.groupBy(*keys, "up", "dst").agg(F.max("w").alias("w")))
@@ -104,11 +139,6 @@ def fold_paths(edges: DataFrame, keys: Sequence[str], combine: Callable[[Column,
     return done.where("up is null").select(*keys, "node", "w")
 
 
-def _stuck(edges: DataFrame, resolved: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Nodes with requirements that ``fold_paths`` does not list: those on or behind a cycle."""
-    return edges.select(*keys, F.col("dst").alias("node")).distinct().join(resolved, [*keys, "node"], "left_anti")
-
-
 def _split(nodes: DataFrame, edges: DataFrame, group: Sequence[str], local: int) -> tuple[DataFrame, DataFrame]:
     """(rows of bounded groups, names of the others); a row without ``src`` is a node."""
     rows = nodes.select(*group, "pos", F.lit(None).cast("long").alias("src")).unionByName(edges.select(*group, F.col("dst").cast("long").alias("pos"), F.col("src").cast("long").alias("src")))
@@ -130,8 +160,8 @@ def deploy_levels(changes: DataFrame, keys: Sequence[str] = KEYS, local: int = O
     cyclic = not walked.where("rank < 0").isEmpty()
     if not large.isEmpty():
         own = edges.join(large, list(keys), "left_semi")
-        folded = cut(fold_paths(own.withColumn("w", F.lit(1).cast("long")), keys, lambda a, b: a + b))
-        cyclic = cyclic or not _stuck(own, folded, keys).isEmpty()
+        folded, stuck = fold_paths(own.withColumn("w", F.lit(1)), keys, "sum")
+        cyclic = cyclic or not stuck.isEmpty()
         depth = depth.unionByName(folded.select(*keys, F.col("node").alias("pos"), F.col("w").alias("level")))
     if cyclic:
         raise CycleError("requirements form a cycle; see cycles()")
@@ -177,11 +207,10 @@ def deploy_order(changes: DataFrame, keys: Sequence[str] = KEYS, local: int = OR
         if large.isEmpty():
             break
         work, edges = (cut(x.join(large, group, "left_semi")) for x in (work, edges))
-        weighed = edges.select(*keys, "src", "dst", F.col("src").cast("long").alias("w"))
-        folded = cut(fold_paths(weighed, keys, F.greatest))
-        if not _stuck(edges, folded, keys).isEmpty():
+        folded, stuck = fold_paths(edges.withColumn("w", F.col("src")), keys, "max")
+        if not stuck.isEmpty():
             raise CycleError("requirements form a cycle; see cycles()")
-        raised = folded.where("w > node").select(*keys, F.col("node").alias("pos"), F.col("w").alias("label"))
+        raised = cut(folded.where("w > node").select(*keys, F.col("node").alias("pos"), F.col("w").alias("label")))
         own = work.join(raised, [*keys, "pos"], "left_anti")
         settled.append(own.select(*keys, "pos", F.concat("path", F.array("pos")).alias("path")))
         work = cut(work.join(raised, [*keys, "pos"]).select(*keys, "pos", F.concat("path", F.array("label")).alias("path")))
@@ -270,8 +299,7 @@ def _large_cycles(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
 def _trim(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Edges whose source is on or behind a cycle and whose end is on or before one."""
     for _ in range(2):
-        folded = fold_paths(edges.withColumn("w", F.lit(0).cast("long")), keys, lambda a, b: b)
-        blocked = _stuck(edges, folded, keys).withColumnRenamed("node", "src")
+        blocked = fold_paths(edges.withColumn("w", F.lit(0)), keys, "max")[1].withColumnRenamed("node", "src")
         left = edges.join(blocked, [*keys, "src"], "left_semi")
         edges = cut(left.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst")))
     return edges

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+
+
+#: How many nodes another one may hang on in ``fold_block`` before it is a meeting place of its own.
+WAYS = 4
 
 
 def _adjacency(table: pa.Table) -> tuple[list[int], dict[int, list[int]], dict[int, int]]:
@@ -130,6 +135,97 @@ def nodes_on_cycles(table: pa.Table, group: Sequence[str]) -> pa.Table:
     return _result(table, group, pos=found)
 
 
+def fold_block(batches: Iterable[pa.RecordBatch], keys: Sequence[str], combine: Callable[[int, int], int]) -> Iterator[pa.RecordBatch]:
+    """Edges (keys, src, dst, w) with all that end in one range of (keys, dst) -> (keys, node, up, w, n): what each node hangs on.
+
+    ``up`` is null for a node without requirements, else a node outside the range or one inside where paths from more than
+    ``WAYS`` such ``up`` meet or a cycle is cut open; ``w`` is the largest over the paths from there.  A node has ``n`` rows.
+    """
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
+        return
+    table = pa.Table.from_batches(batches)
+    size = table.num_rows
+    group = np.zeros(size, np.int64)
+    for k in keys:
+        cell = table.column(k).combine_chunks().dictionary_encode()
+        group = np.unique(group * len(cell.dictionary) + np.asarray(cell.indices), return_inverse=True)[1]
+    unknown = np.asarray(table.column("src").is_null())  # a requirement without position: as if from a start
+    src = pc.coalesce(table.column("src"), table.column("dst")).combine_chunks()
+    dst, src, w = (np.asarray(x) for x in (table.column("dst").combine_chunks(), src, table.column("w").combine_chunks()))
+    group, at = np.concatenate((group, group)), np.concatenate((dst, src))
+    order = np.lexsort((at, group))
+    new = np.concatenate(([True], (np.diff(group[order]) != 0) | (np.diff(at[order]) != 0)))
+    ids = np.empty(2 * size, np.int64)
+    ids[order] = np.cumsum(new) - 1
+    to, of, sample = ids[:size], ids[size:], order[new]
+    n = len(sample)
+    inside = np.zeros(n, bool)
+    inside[to] = True
+    # numbers follow (keys, position), so what lies between two ends of a plan and is no end itself requires nothing
+    of_group, ends = group[sample], np.flatnonzero(inside)
+    low, high = np.full(of_group.max() + 1, n), np.full(of_group.max() + 1, -1)
+    np.minimum.at(low, of_group[ends], ends)
+    np.maximum.at(high, of_group[ends], ends)
+    free = ~inside & (np.arange(n) > low[of_group]) & (np.arange(n) < high[of_group])
+    hangs: list[tuple] = [((-1 if f else i, None),) for i, f in enumerate(free.tolist())] + [((-1, None),)]
+    needs = np.bincount(to[inside[of] & ~unknown], minlength=n)
+    of[unknown] = n
+    by_end, by_start = np.argsort(to, kind="stable"), np.argsort(of, kind="stable")
+    begins, leaves = (np.concatenate(([0], np.cumsum(np.bincount(x, minlength=n + 1)))).tolist() for x in (to, of))
+    before, length, after = of[by_end].tolist(), w[by_end].tolist(), to[by_start].tolist()
+    todo = np.flatnonzero(inside & (needs == 0)).tolist()
+    unsettled, needs = iter(np.flatnonzero(inside & (needs > 0)).tolist()), needs.tolist()
+    nodes, ups, weights, counts, opened, seen = [], [], [], [], [], [False] * n
+
+    def merged(v: int, of_one: Callable[[int], tuple]) -> dict[int, int]:
+        found: dict[int, int] = {}
+        for e in range(begins[v], begins[v + 1]):
+            for o, far in of_one(before[e]):
+                x = length[e] if far is None else combine(far, length[e])
+                if o not in found or found[o] < x:
+                    found[o] = x
+        return found
+
+    def hangs_on(v: int) -> dict[int, int]:
+        found = merged(v, hangs.__getitem__)
+        return found if len(found) <= WAYS else merged(v, lambda u: hangs[u] if len(hangs[u]) == 1 else ((u, None),))
+
+    def add(v: int, found: dict[int, int]) -> None:
+        for o, x in found.items():
+            nodes.append(v)
+            ups.append(o)
+            weights.append(x)
+            counts.append(len(found))
+
+    while True:
+        if todo:
+            v = todo.pop()
+            found = hangs_on(v)
+            add(v, found)
+            if len(found) <= WAYS:
+                hangs[v] = tuple(found.items())
+        else:
+            v = next((x for x in unsettled if not seen[x]), None)
+            if v is None:
+                break
+            opened.append(v)
+        seen[v] = True
+        for e in range(leaves[v], leaves[v + 1]):
+            x = after[e]
+            needs[x] -= 1
+            if not needs[x] and not seen[x]:
+                todo.append(x)
+    for v in opened:
+        add(v, hangs_on(v))
+    nodes, ups = np.array(nodes), np.array(ups)
+    same = pa.array(sample[nodes] % size)
+    at = at[sample]
+    columns = [table.column(k).combine_chunks().take(same) for k in keys]
+    columns += [pa.array(at[nodes]), pa.array(at[ups], mask=ups < 0), pa.array(weights, pa.int64()), pa.array(counts, pa.int64())]
+    yield pa.RecordBatch.from_arrays(columns, names=[*keys, "node", "up", "w", "n"])
+
+
 def chained(batches: Iterable[pa.RecordBatch], keys: Sequence[str], chunk: int) -> Iterator[pa.RecordBatch]:
     """Sorted changes with ``_before`` and ``_after`` -> ``change_id`` and ``parent``; a plan may go on in the next batch."""
     plan, last = None, None
