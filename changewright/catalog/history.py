@@ -474,12 +474,9 @@ FROM (SELECT l_suppkey, string_agg('-- ' || day || chr(10), '' ORDER BY day) AS
 def read_scripts(s, d):
     """Scripts on disk, one per supplier with a line per ship date, read as text and as raw bytes."""
     folder = f"{checkpoint_dir(s)}/{uuid.uuid4().hex}"
-    lines = table(s, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("name"), F.concat(F.lit("-- "), F.to_date("l_shipdate").cast("string")).alias("line")).distinct()
-    lines.repartition("name").sortWithinPartitions("name", "line").write.partitionBy("name").text(folder)
-    made = s._jvm.org.apache.hadoop.fs.Path
-    fs = made(folder).getFileSystem(s._jsc.hadoopConfiguration())
-    for part in fs.globStatus(made(f"{folder}/name=*/part-*")):
-        fs.rename(part.getPath(), made(f"{folder}/{part.getPath().getParent().getName()[5:]}.sql"))
+    days = table(s, d, "lineitem").select("l_suppkey", F.to_date("l_shipdate").alias("day")).repartition("l_suppkey").distinct()
+    name, line = F.concat(F.lit("s"), F.col("l_suppkey").cast("string")), F.concat(F.lit("-- "), F.col("day").cast("string"))
+    C.write_scripts(days.select("l_suppkey", name.alias("name"), line.alias("line")), folder, by="l_suppkey")
     texts, hashes = C.read_scripts(s, folder, "revert"), C.read_script_hashes(s, folder)
     return texts.join(hashes.select("name", "script_hash"), "name").select("name", "kind", "sql", "script_hash")
 

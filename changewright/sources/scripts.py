@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterable, Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,39 @@ def read_scripts(spark: SparkSession, folder: str, kind: str = "deploy") -> Data
     return _named(files.select(F.col("_metadata.file_path").alias("path"), F.lit(kind).alias("kind"), F.col("value").alias("sql")))
 
 
+def write_scripts(lines: DataFrame, folder: str, by: str = "name") -> None:
+    """Rows (name, line) as files ``name.sql`` of a shared folder, lines in order; a row without name is left out.
+
+    ``by`` is the name or a column that decides it.  The tasks write the files, each under its name once it is whole: the
+    driver handles no file, and a repeated task writes the same.  The folder is on a file system that Arrow opens.
+    """
+    uri = folder if "://" in folder else "file://" + folder.removeprefix("file:")
+    fs.FileSystem.from_uri(uri)
+    placed = lines.where("name is not null").repartition(by).sortWithinPartitions("name", "line").select("name", "line")
+    placed.mapInArrow(lambda batches: _write_files(batches, uri), "name string").write.format("noop").mode("overwrite").save()
+
+
+def _write_files(batches: Iterable[pa.RecordBatch], uri: str) -> Iterator[pa.RecordBatch]:
+    store, root = fs.FileSystem.from_uri(uri)
+    store.create_dir(root, recursive=True)
+    draft, name, out = f"{root}/.{uuid.uuid4().hex}", None, None
+
+    def done() -> None:
+        out.close()
+        store.move(draft, f"{root}/{name}.sql")
+
+    for batch in batches:
+        for own, line in zip(batch.column("name").to_pylist(), batch.column("line").to_pylist(), strict=True):
+            if own != name:
+                if out is not None:
+                    done()
+                name, out = own, store.open_output_stream(draft)
+            out.write(f"{line or ''}\n".encode())
+    if out is not None:
+        done()
+    yield pa.RecordBatch.from_pydict({"name": pa.array([], pa.string())})
+
+
 def _named(df: DataFrame) -> DataFrame:
     return df.withColumn("name", F.regexp_extract("path", r"([^/]+)\.sql$", 1))
 
