@@ -34,7 +34,8 @@ def directive_column(line: Column) -> Column:
     words = F.split(F.ltrim(line, F.lit(" \t")), r"\s+", 2)
     word, rest = F.substr(words[0], F.lit(2)), F.get(words, F.lit(1))
     kind = F.when(word.isin(*FROM_FILE), "ir").when(word.isin(*FROM_ROOT), "i")
-    found = words[0].startswith("\\") & kind.isNotNull() & (F.coalesce(rest, F.lit("")) != "")
+    # cheap test first: most lines are no includes
+    found = line.rlike(r"^[ \t]*\\i") & words[0].startswith("\\") & kind.isNotNull() & (F.coalesce(rest, F.lit("")) != "")
     return F.when(found, F.struct(kind.alias("type"), _clean_path(rest).alias("path")))
 
 
@@ -87,16 +88,23 @@ def include_version_asof(
     return out.withColumn(version, F.coalesce("_found", "_head")).withColumn("from_head", F.col("_found").isNull()).drop("_found", "_head")
 
 
-def _lines(df: DataFrame, sql: Column, script: Column, *carry: str) -> DataFrame:
-    """(carry, line, text, written, path) for every line of ``sql``; path and written path of an include, else null."""
+def _lines(df: DataFrame, sql: Column, script: Column, *carry: str, texts: bool = True) -> DataFrame:
+    """(carry, line, text, written, path) for every line of ``sql``; path and written path of an include, else null.
+
+    Without ``texts`` only the includes, without their text.  The generator is an outer one, see README.
+    """
     def one(text: Column, i: Column) -> Column:
         return F.struct(i.alias("i"), text.alias("text"))
 
-    numbered = let(_visible_lines(sql), lambda v: F.transform(
-        F.transform(F.split(sql, "\n"), one),
-        lambda x: F.struct(x["i"].alias("i"), x["text"].alias("text"), directive_column(F.get(v, x["i"])).alias("d")),
-    ))
-    rows = df.select(*carry, script.alias("_script"), F.explode(numbered).alias("x"))
+    if texts:
+        numbered = let(_visible_lines(sql), lambda v: F.transform(
+            F.transform(F.split(sql, "\n"), one),
+            lambda x: F.struct(x["i"].alias("i"), x["text"].alias("text"), directive_column(F.get(v, x["i"])).alias("d")),
+        ))
+    else:
+        found = F.transform(_visible_lines(sql), lambda line, i: F.struct(i.alias("i"), F.lit(None).cast("string").alias("text"), directive_column(line).alias("d")))
+        numbered = F.filter(found, lambda x: x["d"].isNotNull())
+    rows = df.select(*carry, script.alias("_script"), F.explode_outer(numbered).alias("x")).where("x is not null")
     target = F.when(F.col("x.d").isNotNull(), include_path(F.col("x.d.type"), F.col("x.d.path"), F.col("_script")))
     return rows.select(*carry, (F.col("x.i") + 1).alias("line"), F.col("x.text").alias("text"), F.col("x.d.path").alias("written"), target.alias("path"))
 
@@ -109,7 +117,7 @@ def _file_times(first: DataFrame, versions: DataFrame) -> DataFrame:
 
     Steps over distinct pairs only; a pair that is there already is not followed again.
     """
-    edges = _lines(versions.where(F.col("sql").rlike(_HAS_INCLUDE)), F.col("sql"), F.col("path"), "path").toDF("file", "line", "text", "written", "path")
+    edges = _lines(versions.where(F.col("sql").rlike(_HAS_INCLUDE)), F.col("sql"), F.col("path"), "path", texts=False).toDF("file", "line", "text", "written", "path")
     edges = cut(edges.where("path is not null").select("file", "path").distinct())
     fresh = cut(first.select("path", "at").distinct())
     parts = [fresh]
@@ -120,10 +128,10 @@ def _file_times(first: DataFrame, versions: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _expansion(scripts: DataFrame, versions: DataFrame, max_depth: int | None, snapshot: bool) -> tuple[DataFrame, DataFrame]:
-    """Lines (id, ord, text) of expanded scripts and their includes (id, ord, path, version, depth)."""
+def _expansion(scripts: DataFrame, versions: DataFrame, max_depth: int | None, snapshot: bool, texts: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Lines (id, ord, text) of expanded scripts and their includes (id, ord, path, version, depth); without ``texts`` no lines."""
     start = scripts.where(F.col("sql").rlike(_HAS_INCLUDE)).select("id", F.col("planned_at").alias("at"), normal_path(F.col("path")).alias("own"), "path", "sql")
-    rows = _lines(start, F.col("sql"), F.col("path"), "id", "at", "own")
+    rows = _lines(start, F.col("sql"), F.col("path"), "id", "at", "own", texts=texts)
     rows = cut(rows.select("id", "at", F.array("line").alias("ord"), F.array("own").alias("visited"), "text", "written", "path"))
     open_ = rows.where("path is not null")
     done = [rows.join(open_.select("id").distinct(), "id", "left_semi").where("path is null").select("id", "ord", "text")]
@@ -136,7 +144,7 @@ def _expansion(scripts: DataFrame, versions: DataFrame, max_depth: int | None, s
     resolved = cut(resolved)
     used = resolved.select("path", "version").distinct()
     files = versions.select("path", F.col("ts").alias("version"), "sql").join(used, ["path", "version"], "left_semi")
-    files = cut(_lines(files, F.col("sql"), F.col("path"), "path", "version").toDF("file", "version", "line", "text", "written", "path"))
+    files = cut(_lines(files, F.col("sql"), F.col("path"), "path", "version", texts=texts).toDF("file", "version", "line", "text", "written", "path"))
     includes = []
     depth = 0
     while not open_.isEmpty():
@@ -176,4 +184,4 @@ def expand_includes(scripts: DataFrame, versions: DataFrame, max_depth: int | No
 
 def included_files(scripts: DataFrame, versions: DataFrame, max_depth: int | None = None, snapshot: bool = True) -> DataFrame:
     """Files that each expanded script pulled in, one row per include in the order of the text: id, ord, path, version, depth."""
-    return _expansion(scripts, versions, max_depth, snapshot)[1]
+    return _expansion(scripts, versions, max_depth, snapshot, texts=False)[1]
